@@ -117,7 +117,7 @@ SELECT user_id AS job_id, event_id AS attempt_id, ts AS started_at, {finished} A
 FROM {events}"""
 SPARK_ATTEMPTS = _ATTEMPTS.replace(
     "{finished}", "timestampadd(MILLISECOND, CAST(floor(value * 10) AS INT), ts)")
-ORACLE_ATTEMPTS = _ATTEMPTS.replace(
+ORACLE_ATTEMPTS = _ATTEMPTS.replace("{events}", "events").replace(
     "{finished}", "ts + to_milliseconds(CAST(floor(value * 10) AS INT))")
 
 _CUSTOMER_JOBS = """
@@ -128,7 +128,8 @@ SELECT c_custkey AS id,
   CAST('2023-12-31 00:00:00' AS {ts}) AS updated_at
 FROM {customer}"""
 SPARK_CUSTOMER_JOBS = _CUSTOMER_JOBS.replace("{ts}", "TIMESTAMP_NTZ")
-ORACLE_CUSTOMER_JOBS = _CUSTOMER_JOBS.replace("{ts}", "TIMESTAMP")
+ORACLE_CUSTOMER_JOBS = _CUSTOMER_JOBS.replace("{customer}", "customer").replace(
+    "{ts}", "TIMESTAMP")
 
 METRICS = """
 SELECT event_type AS name,

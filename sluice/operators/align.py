@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice import functions as fn
+from sluice.operators.barrier import compute_once
 from sluice.plans.targets import Field, Target
 
 
@@ -30,8 +31,8 @@ def align_maps(records: DataFrame, target: Target, fields: str = "fields") -> Da
     """
     rest = [c for c in records.columns if c != fields]
     entries = records.select(*rest, F.array_sort(F.map_entries(fields)).alias("_entries"))
-    return entries.select(
-        *rest, *[field_by_aliases(F.col("_entries"), f).alias(f.name) for f in target.fields])
+    return compute_once(entries, rest, {
+        f.name: field_by_aliases(F.col("_entries"), f) for f in target.fields})
 
 
 def align_exact(records: DataFrame, target: Target, fields: str = "fields") -> DataFrame:

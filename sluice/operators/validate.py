@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluice.operators.barrier import compute_once
 from sluice.operators.skew import first_n
 from sluice.plans.targets import CATEGORIES, PRODUCTS, USERS, Target
 
@@ -46,7 +47,8 @@ def annotate(rows: DataFrame, target: Target, strict: bool = False) -> DataFrame
     found = F.coalesce(F.col("_absent"), first_reason(target.rules()))
     if "reason" in rows.columns:
         found = F.coalesce(F.col("reason"), found)
-    return normal.select(*rest, *target.columns, found.alias("reason"))
+    return compute_once(normal, rest, {**{c: F.col(c) for c in target.columns},
+                                       "reason": found})
 
 
 def validate_users(rows: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sluice.operators.barrier import compute_once
+
 MAX_FILE_BYTES = 2 * 1024 * 1024
 MAX_DATA_ROWS = 1000
 MAX_REPORTED = 200
@@ -104,10 +106,11 @@ def csv_file_admission(files: DataFrame, max_bytes: int = MAX_FILE_BYTES,
                   F.lit("malformed CSV: unexpected '\"' inside an unquoted field"))
             .when(F.size("records") == 0,
                   F.lit(f"{subject} must contain a header row")))
-    return (read.withColumn("file_reason", F.coalesce("_early", late))
-            .withColumn("header", F.when(F.col("file_reason").isNull(),
-                                         split_record(F.element_at("records", 1))))
-            .drop("content", "length", "_early", "stopped"))
+    keep = [c for c in files.columns if c not in ("content", "length")]
+    judged = compute_once(read, keep, {"records": F.col("records"),
+                                       "file_reason": F.coalesce("_early", late)})
+    first = F.when(F.col("file_reason").isNull(), split_record(F.element_at("records", 1)))
+    return compute_once(judged, [*keep, "records", "file_reason"], {"header": first})
 
 
 def header_duplicates(files: DataFrame) -> DataFrame:
@@ -115,7 +118,8 @@ def header_duplicates(files: DataFrame) -> DataFrame:
     second = F.filter("header", lambda c, i: F.array_position(F.col("header"), c) <= i)
     duplicate = F.when(F.size(second) > 0, F.concat(
         F.lit("CSV header has duplicate column '"), F.element_at(second, 1), F.lit("'")))
-    return files.withColumn("file_reason", F.coalesce("file_reason", duplicate))
+    keep = [c for c in files.columns if c != "file_reason"]
+    return compute_once(files, keep, {"file_reason": F.coalesce("file_reason", duplicate)})
 
 
 def header_users_strict(files: DataFrame) -> DataFrame:
@@ -141,7 +145,8 @@ def header_users_strict(files: DataFrame) -> DataFrame:
 
     reason = F.coalesce("file_reason", F.try_element_at(offences, F.lit(1)),
                         missing("name"), missing("email"))
-    return files.withColumn("file_reason", reason)
+    keep = [c for c in files.columns if c != "file_reason"]
+    return compute_once(files, keep, {"file_reason": reason})
 
 
 def data_rows(files: DataFrame) -> DataFrame:
@@ -150,9 +155,10 @@ def data_rows(files: DataFrame) -> DataFrame:
     body = F.slice("records", F.lit(2), F.greatest(F.size("records") - 1, F.lit(0)))
     rows = admitted.select("submission_id", "header", F.posexplode(body)
                            .alias("_position", "_record"))
-    return rows.select("submission_id", (F.col("_position") + 1).cast("bigint")
-                       .alias("row_index"), "header", split_record(F.col("_record"))
-                       .alias("fields"))
+    numbered = rows.select("submission_id", (F.col("_position") + 1).cast("bigint")
+                           .alias("row_index"), "header", "_record")
+    return compute_once(numbered, ["submission_id", "row_index", "header"],
+                        {"fields": split_record(F.col("_record"))})
 
 
 def row_arity_check(rows: DataFrame, noun: str = "fields") -> DataFrame:
@@ -169,7 +175,8 @@ def row_to_record(rows: DataFrame) -> DataFrame:
                       lambda e, i: F.array_position(F.col("header"), e["header"]) == i + 1)
     fits = F.size("fields") == F.size("header")
     record = F.when(fits, F.map_from_entries(firsts))
-    return rows.withColumn("fields", record).drop("header")
+    keep = [c for c in rows.columns if c not in ("header", "fields")]
+    return compute_once(rows, keep, {"fields": record})
 
 
 def extract_csv(files: DataFrame, strict_users: bool = False) -> tuple[DataFrame, DataFrame]:

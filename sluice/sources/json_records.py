@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice import functions as fn
+from sluice.operators.barrier import compute_once
 from sluice.plans.targets import TARGETS
 
 MAX_RECORDS = 1000
@@ -62,8 +63,8 @@ def json_records(bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
             F.try_element_at("_wrong", F.lit(1)), F.lit("' is not)")))
         .when(F.size("_items") > MAX_RECORDS,
               F.lit(f"at most {MAX_RECORDS} records may be confirmed at once")))
-    judged = checked.select("submission_id", target_text.alias("target"), "_records",
-                            reason.alias("reason"))
+    judged = compute_once(checked, ["submission_id"], {
+        "target": target_text, "_records": F.col("_records"), "reason": reason})
     good = judged.filter(F.col("reason").isNull()).select(
         "submission_id", "target", F.posexplode("_records").alias("_position", "_map"))
     records = good.select(
@@ -103,7 +104,7 @@ def json_items(bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(F.exists("payloads", lambda p: p == ""), "every item payload must not be empty")
         .when(F.exists("payloads", lambda p: F.octet_length(p) > MAX_ITEM_BYTES),
               f"every item payload must be <= {MAX_ITEM_BYTES} bytes"))
-    judged = read.withColumn("reason", reason)
+    judged = compute_once(read, ["submission_id", "type", "payloads"], {"reason": reason})
     items = (judged.filter(F.col("reason").isNull())
              .select("submission_id", "type", F.posexplode("payloads")
                      .alias("_position", "payload"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sluice import functions as fn
+from sluice.operators.barrier import compute_once
 from sluice.operators.skew import lookup
 from sluice.sources.csv import row_arity_check, row_to_record
 
@@ -33,8 +34,9 @@ def ocr_word_scan(files: DataFrame) -> DataFrame:
     """
     lines = files.select("submission_id", F.posexplode(F.split("tsv", "\n"))
                          .alias("_line", "_raw")).filter(F.col("_line") > 0)
-    cells = lines.select("submission_id", F.col("_line").alias("word_pos"), F.split(
-        F.regexp_replace("_raw", r"\r\z", ""), "\t", 12).alias("c"))
+    cells = compute_once(
+        lines.withColumnRenamed("_line", "word_pos"), ["submission_id", "word_pos"],
+        {"c": F.split(F.regexp_replace("_raw", r"\r\z", ""), "\t", 12)})
 
     def integer(i: int) -> Column:
         value = F.try_element_at("c", F.lit(i))
@@ -65,22 +67,27 @@ def image_figures(words: DataFrame) -> DataFrame:
         F.lit("%) -- extracted data may contain errors; please review before confirming"))))
 
 
-def table_lines(words: DataFrame, figures: DataFrame) -> DataFrame:
-    """One row per printed line: its first word's position and its cells.
+def column_gaps(words: DataFrame, figures: DataFrame) -> DataFrame:
+    """Column number of every word: a wide gap on its line starts a new one.
 
-    Only the image's threshold is joined to the words; everything after runs
-    per (image, line), so a page with very many words still uses many tasks.
+    Only the image's threshold is joined to the words; the windows run per
+    (image, line), so a page with very many words still uses many tasks.
     """
     threshold = figures.select("submission_id", "gap_threshold")
     sized = lookup(words, threshold, ["submission_id"], spread=["word_pos"],
                    weights=figures.select("submission_id", "_n"))
-    line = ["submission_id", *LINE]
-    along = Window.partitionBy(*line).orderBy("left", "word_pos")
+    along = Window.partitionBy("submission_id", *LINE).orderBy("left", "word_pos")
     gap = F.col("left") - F.lag(F.col("left") + F.col("width")).over(along)
     gapped = sized.withColumn(
         "_new", F.coalesce(gap > F.col("gap_threshold"), F.lit(False)).cast("int"))
-    columns = gapped.withColumn("_column", F.sum("_new").over(
+    return gapped.withColumn("_column", F.sum("_new").over(
         along.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def table_lines(words: DataFrame, figures: DataFrame) -> DataFrame:
+    """One row per printed line: its first word's position and its cells."""
+    line = ["submission_id", *LINE]
+    columns = column_gaps(words, figures)
     word = F.struct("left", "word_pos", "text")
     cells = columns.groupBy(*line, "_column").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(word)), lambda w: w["text"]),
