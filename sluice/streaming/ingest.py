@@ -31,13 +31,18 @@ def apply_records(annotated: DataFrame, target: Target, root: str, batch_id: int
     """
     now = F.current_timestamp() if time_of_batch is None else F.lit(time_of_batch).cast(
         "timestamp")
-    accepted, rejects = validate.split(annotated)
-    workloads, jobs = fan_out_jobs(accepted, target, now)
-    rows = accepted.select(*target.columns, "submission_id", "row_index",
-                           now.alias("created_at"), now.alias("updated_at"))
-    for name, table in (("workloads", workloads), ("jobs", jobs), (target.name, rows),
-                        ("rejects", rejects)):
-        append_changes(table, f"{root}/{name}", batch_id)
+    # Four tables are written from the same rows; a lost block is recomputed.
+    annotated = annotated.persist()
+    try:
+        accepted, rejects = validate.split(annotated)
+        workloads, jobs = fan_out_jobs(accepted, target, now)
+        rows = accepted.select(*target.columns, "submission_id", "row_index",
+                               now.alias("created_at"), now.alias("updated_at"))
+        for name, table in (("workloads", workloads), ("jobs", jobs), (target.name, rows),
+                            ("rejects", rejects)):
+            append_changes(table, f"{root}/{name}", batch_id)
+    finally:
+        annotated.unpersist()
 
 
 def start_ingest(files: DataFrame, target: Target, root: str, checkpoint: str,

@@ -72,9 +72,25 @@ def metric_totals(samples: DataFrame) -> DataFrame:
         F.max_by("value", "ts").alias("last"))
 
 
-def start_metric_stream(samples: DataFrame, table: str, checkpoint: str,
+def start_metric_stream(samples: DataFrame, root: str, checkpoint: str,
                         **trigger) -> StreamingQuery:
-    """Keep the totals in an in-memory table; state is one row per metric."""
-    return (metric_totals(samples).writeStream.outputMode("complete").format("memory")
-            .queryName(table).option("checkpointLocation", checkpoint)
+    """Keep running totals; each micro-batch logs the metrics it changed."""
+    def each(batch: DataFrame, batch_id: int) -> None:
+        append_changes(batch, root, batch_id)
+
+    return (metric_totals(samples).writeStream.outputMode("update").foreachBatch(each)
+            .option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
+
+
+def read_metric_totals(spark: SparkSession, root: str) -> DataFrame:
+    """The newest totals of every metric."""
+    return latest_versions_of(read_changes(spark, root), ["name", "kind"])
+
+
+def latest_versions_of(changes: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key the row of the last batch that wrote it."""
+    values = [c for c in changes.columns if c not in (*keys, "change_seq")]
+    newest = changes.groupBy(*keys).agg(
+        F.max_by(F.struct(*values), "change_seq").alias("_last"))
+    return newest.select(*keys, "_last.*")
