@@ -147,11 +147,12 @@ PRODUCT_COLUMNS = ("submission_id, row_index, sku, name, currency, category, des
                    "CASE WHEN reason IS NULL THEN coalesce(stock, 0) END AS stock_quantity, reason")
 
 
-def product_columns(rows):
+def product_columns(rows, *more):
     valid = F.col("reason").isNull()
     return rows.select("submission_id", "row_index", "sku", "name", "currency", "category",
                        "description", F.when(valid, F.col("price").cast("double")).alias("price"),
-                       F.when(valid, F.col("stock_quantity")).alias("stock_quantity"), "reason")
+                       F.when(valid, F.col("stock_quantity")).alias("stock_quantity"), "reason",
+                       *more)
 
 
 @query("val1_validate_users", f"""{USERS_CTE}
@@ -225,10 +226,8 @@ SELECT {PRODUCT_COLUMNS}, CASE WHEN reason IS NOT NULL THEN 'mapping' END AS sta
 def _(t):
     records = as_maps(t.shape(shapes.PRODUCTS), PRODUCT_LABELS)
     plan = preview(records, PRODUCTS)
-    stage = F.when(F.col("reason").isNotNull(), F.col("stage")).alias("stage")
-    checked = plan.annotated.withColumn("stage", stage)
-    return product_columns(checked.drop("stage")).join(
-        checked.select("submission_id", "row_index", "stage"), ["submission_id", "row_index"])
+    stage = F.when(F.col("reason").isNotNull(), F.col("stage"))
+    return product_columns(plan.annotated, stage.alias("stage"))
 
 
 @query("val7_preview_users", f"""{USERS_CTE}

@@ -14,14 +14,10 @@ def _label(col: Column) -> Column:
     return fn.ascii_lower(fn.trim_header(col))
 
 
-def field_by_aliases(entries: Column, field: Field) -> Column:
-    """Value of the first entry, in byte order of labels, that names ``field``.
-
-    ``entries`` is ``array_sort(map_entries(fields))``.
-    """
-    names = F.array(*[F.lit(a) for a in field.aliases])
-    matching = F.filter(entries, lambda e: F.array_contains(names, _label(e["key"])))
-    return F.try_element_at(matching, F.lit(1))["value"]
+def field_by_aliases(labels: Column, values: Column, field: Field) -> Column:
+    """Value under the first label, in byte order of raw labels, that names ``field``."""
+    places = [F.nullif(F.array_position(labels, alias), F.lit(0)) for alias in field.aliases]
+    return F.try_element_at(values, F.least(*places).cast("int"))
 
 
 def align_maps(records: DataFrame, target: Target, fields: str = "fields") -> DataFrame:
@@ -30,9 +26,13 @@ def align_maps(records: DataFrame, target: Target, fields: str = "fields") -> Da
     A column no label of the record maps to is NULL, unlike a blank value.
     """
     rest = [c for c in records.columns if c != fields]
-    entries = records.select(*rest, F.array_sort(F.map_entries(fields)).alias("_entries"))
-    return compute_once(entries, rest, {
-        f.name: field_by_aliases(F.col("_entries"), f) for f in target.fields})
+    sorted_entries = compute_once(records, rest, {
+        "_entries": F.sort_array(F.map_entries(fields))})
+    read = compute_once(sorted_entries, rest, {
+        "_labels": F.transform("_entries", lambda e: _label(e["key"])),
+        "_values": F.col("_entries.value")})
+    return compute_once(read, rest, {
+        f.name: field_by_aliases(F.col("_labels"), F.col("_values"), f) for f in target.fields})
 
 
 def align_exact(records: DataFrame, target: Target, fields: str = "fields") -> DataFrame:

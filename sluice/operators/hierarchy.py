@@ -12,6 +12,8 @@ from sluice.operators.skew import lookup
 MAX_DEPTH = 64
 # Ancestors worth remembering: one more than the last one that may be looked at.
 PATH_LIMIT = MAX_DEPTH + 2
+# Up to this many rows a round joins directly, whatever their keys.
+PLAIN_JOIN_ROWS = 1_000_000
 
 
 def ancestor_paths(tree: DataFrame, limit: int = PATH_LIMIT) -> DataFrame:
@@ -20,9 +22,27 @@ def ancestor_paths(tree: DataFrame, limit: int = PATH_LIMIT) -> DataFrame:
     ``tree`` has unique ``slug`` and ``parent_slug``.  Adds ``path`` (at most
     ``limit`` slugs) and ``ended``: ``root``, ``missing`` (the last slug of the
     path is not in the tree) or NULL for a chain still open at the limit.
-    Each round doubles the known path, so ``limit`` 66 takes seven rounds, and
-    only rows with an open chain are joined.
+    Each round doubles the known path, so ``limit`` 66 takes seven rounds.  Only
+    slugs that are somebody's parent take part in the rounds, and of those only
+    the ones with an open chain; leaves are answered by one lookup at the end.
     """
+    parents = (tree.filter(F.col("parent_slug").isNotNull())
+               .select(F.col("parent_slug").alias("slug")).distinct())
+    inner = _doubled_paths(tree.join(parents, "slug", "left_semi"), limit)
+    above = inner.select(F.col("slug").alias("parent_slug"), F.col("path").alias("_more"),
+                         F.col("ended").alias("_then"), F.lit(True).alias("_here"))
+    found = lookup(tree, above, ["parent_slug"], spread=["slug"])
+    none = F.array().cast("array<string>")
+    rooted = F.col("parent_slug").isNull()
+    path = F.concat(F.array("parent_slug"), F.coalesce("_more", none))
+    return found.select(
+        "slug", "parent_slug", F.when(rooted, none).otherwise(F.slice(path, 1, limit))
+        .alias("path"),
+        F.when(rooted, "root").when(F.col("_here").isNull(), "missing")
+        .when(F.size(path) <= limit, F.col("_then")).alias("ended"))
+
+
+def _doubled_paths(tree: DataFrame, limit: int) -> DataFrame:
     rooted = F.col("parent_slug").isNull()
     start = tree.select(
         "slug", "parent_slug",
@@ -34,12 +54,17 @@ def ancestor_paths(tree: DataFrame, limit: int = PATH_LIMIT) -> DataFrame:
     while span < limit:
         growing = F.col("ended").isNull() & (F.size("path") < limit)
         still_open = known.filter(growing)
-        if still_open.isEmpty():
+        open_rows = still_open.count()
+        if open_rows == 0:
             break
         tails = known.select(F.col("slug").alias("_tip"), F.col("path").alias("_more"),
                              F.col("ended").alias("_then"), F.lit(True).alias("_here"))
         tipped = still_open.withColumn("_tip", F.element_at("path", -1))
-        grown = lookup(tipped, tails, ["_tip"], spread=["slug"])
+        # Few rows cannot make one task slow; many may share an ancestor.
+        if open_rows <= PLAIN_JOIN_ROWS:
+            grown = tipped.join(tails, "_tip", "left")
+        else:
+            grown = lookup(tipped, tails, ["_tip"], spread=["slug"])
         longer = F.slice(F.concat("path", F.coalesce(
             F.col("_more"), F.array().cast("array<string>"))), 1, limit)
         cut_short = F.size("path") + F.coalesce(F.size("_more"), F.lit(0)) > limit
@@ -54,10 +79,13 @@ def ancestor_paths(tree: DataFrame, limit: int = PATH_LIMIT) -> DataFrame:
 
 
 def _first_repeat(chain: Column) -> Column:
-    """1-based position in ``chain`` of the first slug seen before, else NULL."""
-    positions = F.sequence(F.lit(2), F.size(chain))
-    repeated = F.filter(positions, lambda i: F.array_position(chain, chain[i - 1]) < i)
-    return F.when(F.size(chain) > 1, F.try_element_at(repeated, F.lit(1)))
+    """1-based position in ``chain`` of the first slug seen before, else NULL.
+
+    A chain that returns to a slug stays on that cycle, so everything before
+    the first return is distinct and everything after it is known.
+    """
+    distinct = F.size(F.array_distinct(chain))
+    return F.when(distinct < F.size(chain), distinct + 1)
 
 
 def _judged(paths: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:

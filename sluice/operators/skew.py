@@ -52,7 +52,9 @@ def lookup(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], spread: Seq
     answered = F.col("_is_hot").isNotNull() | null_key
     salt = F.when(answered, F.pmod(F.xxhash64(*spread), F.lit(SPREAD)) + 1).otherwise(F.lit(0))
     tagged = tagged.withColumn("_salt", salt.cast("bigint"))
-    cold = packed.withColumn("_salt", F.lit(0).cast("bigint"))
+    # Always 0, but not a literal: a literal would be taken out of the join key.
+    zero = F.pmod(F.xxhash64(*keys), F.lit(1))
+    cold = packed.withColumn("_salt", zero.cast("bigint"))
     joined = tagged.join(cold, [*keys, "_salt"], "left")
     value = F.coalesce(F.col("_hot_value"), F.col("_value"))
     return joined.select(*rows.columns, *[value[v].alias(v) for v in values])

@@ -12,6 +12,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Methods the JVM would not compile are split by operator instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # `row_number() <= n` is cut to n rows per group before the shuffle.
     "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
 }
