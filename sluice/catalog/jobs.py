@@ -260,13 +260,13 @@ def _(t):
 
 
 @query("win4_index_remap", """
-SELECT event_id AS row_index, row_number() OVER (ORDER BY event_id) AS position FROM events
-WHERE event_type <> 'error'""")
+SELECT user_id AS submission_id, event_id AS row_index, row_number() OVER (PARTITION BY user_id
+  ORDER BY event_id) AS position FROM events WHERE event_type <> 'error'""")
 def _(t):
     surviving = t["events"].filter(F.col("event_type") != "error").select(
-        F.lit("all").alias("submission_id"), F.col("event_id").alias("row_index"))
-    return number_rows(surviving, ["submission_id"], F.floor(F.col("row_index") / 1000),
-                       [F.col("row_index")], "position").drop("submission_id")
+        F.col("user_id").alias("submission_id"), F.col("event_id").alias("row_index"))
+    return number_rows(surviving, ["submission_id"], F.floor(F.col("row_index") / 1_000_000),
+                       [F.col("row_index")], "position")
 
 
 @query("win5_column_gaps", f"""{ORACLE_LINES}

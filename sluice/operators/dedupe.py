@@ -25,9 +25,7 @@ def _reject_repeats(annotated: DataFrame, key: str, reason: Column,
                     group: Sequence[str]) -> DataFrame:
     """Only repeated keys are looked up; unique keys never need the join's answer."""
     repeated = first_occurrences(annotated, key, group)
-    keys = [*group, key]
-    found = lookup(annotated, repeated.drop("_n"), keys, spread=["row_index"],
-                   weights=repeated.select(*keys, "_n"))
+    found = lookup(annotated, repeated, [*group, key], spread=["row_index"])
     later = F.col("reason").isNull() & (F.col("row_index") > F.col("first_row"))
     return (found.withColumn("reason", F.coalesce(F.col("reason"), F.when(later, reason)))
             .drop("first_row"))

@@ -152,8 +152,8 @@ def still_retrying(candidates: DataFrame, latest: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- attempts
 
 def number_attempts(attempts: DataFrame, base: str = "attempt_number") -> DataFrame:
-    """Attempt number per job by start time; busy jobs are numbered day by day."""
-    return number_rows(attempts, ["job_id"], F.date_trunc("day", "started_at"),
+    """Attempt number per job by start time; busy jobs are numbered hour by hour."""
+    return number_rows(attempts, ["job_id"], F.date_trunc("hour", "started_at"),
                        [F.col("started_at"), F.col("attempt_id")], base)
 
 
@@ -173,13 +173,15 @@ def apply_attempts(jobs: DataFrame, attempts: DataFrame) -> DataFrame:
                          F.greatest(F.col("max_attempts") - F.col("attempt_count"),
                                     F.lit(1)).alias("_left"))
     numbered = number_attempts(attempts, "_n")
-    limited = lookup(numbered, limits, ["job_id"], spread=["attempt_id"])
+    tries = attempts.groupBy("job_id").agg(F.count(F.lit(1)).alias("_n"))
+    limited = lookup(numbered.withColumnRenamed("_n", "_nth"), limits, ["job_id"],
+                     spread=["attempt_id"], weights=tries)
     failed_retryable = (F.col("outcome") == "failed") & F.col("retryable")
     ending = (F.col("outcome").isin("succeeded", "cancelled")
-              | (failed_retryable & (F.col("_n") >= F.col("_left"))))
+              | (failed_retryable & (F.col("_nth") >= F.col("_left"))))
     stops = (limited.filter(F.col("_left").isNotNull()).groupBy("job_id")
-             .agg(F.min(F.when(ending, F.col("_n"))).alias("_end"),
-                  F.max("_n").alias("_count")))
+             .agg(F.min(F.when(ending, F.col("_nth"))).alias("_end"),
+                  F.max("_nth").alias("_count")))
     stops = stops.withColumn("_stop", F.coalesce("_end", "_count"))
     wanted = stops.select("job_id", F.explode(F.array(F.col("_stop"), F.col("_stop") - 1))
                           .alias("_n"))

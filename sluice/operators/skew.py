@@ -26,38 +26,46 @@ def lookup(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], spread: Seq
            weights: DataFrame | None = None) -> DataFrame:
     """Left join ``rows`` to ``per_key``, which has one row per value of ``keys``.
 
-    ``spread`` names columns of ``rows`` that vary within a key.  ``weights``
-    (``keys`` + ``_n``) may be passed when the caller already has row counts.
+    ``spread`` names columns of ``rows`` that vary within a key.  Row counts per
+    key come from a column ``_n`` of ``per_key`` if it has one (it is an
+    aggregate of ``rows``), else from ``weights`` (``keys`` and ``_n``), else
+    from a count of ``rows``.
+
     Rows of the heaviest keys, and rows with a NULL key, never meet in one task:
     the former are answered from a broadcast of at most ``HOT_KEYS`` rows, and
     both go through the shuffled join under a salt that matches nothing.
     """
     keys = list(keys)
-    values = [c for c in per_key.columns if c not in keys]
-    if weights is None:
-        weights = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    heaviest = (weights.dropna(subset=keys).orderBy(F.desc("_n"), *keys)
-                .limit(HOT_KEYS).select(*keys))
-    packed = per_key.select(*keys, F.struct(*values).alias("_value"))
-    hot_values = packed.join(F.broadcast(heaviest), keys, "left_semi")
-    hot = F.broadcast(
-        heaviest.join(F.broadcast(hot_values), keys, "left")
-        .select(*[F.col(k).alias(f"_hot_{k}") for k in keys],
-                F.col("_value").alias("_hot_value"), F.lit(True).alias("_is_hot")))
+    values = [c for c in per_key.columns if c not in (*keys, "_n")]
+    value = F.struct(*values).alias("_value")
+    heavy_first = [F.desc("_n"), *keys]
+    if "_n" in per_key.columns:
+        # The same aggregate serves both joins; its shuffle is reused.
+        ranked = per_key.dropna(subset=keys).orderBy(*heavy_first).limit(HOT_KEYS)
+        hot_values = ranked.select(*keys, value)
+    else:
+        if weights is None:
+            weights = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        heaviest = (weights.dropna(subset=keys).orderBy(*heavy_first).limit(HOT_KEYS)
+                    .select(*keys))
+        found = per_key.select(*keys, value).join(F.broadcast(heaviest), keys, "left_semi")
+        hot_values = heaviest.join(F.broadcast(found), keys, "left")
+    hot = F.broadcast(hot_values.select(
+        *[F.col(k).alias(f"_hot_{k}") for k in keys], F.col("_value").alias("_hot_value"),
+        F.lit(True).alias("_is_hot")))
     same_key, null_key = F.lit(True), F.lit(False)
     for k in keys:
         same_key = same_key & (F.col(k) == F.col(f"_hot_{k}"))
         null_key = null_key | F.col(k).isNull()
-    tagged = rows.join(hot, same_key, "left")
     answered = F.col("_is_hot").isNotNull() | null_key
     salt = F.when(answered, F.pmod(F.xxhash64(*spread), F.lit(SPREAD)) + 1).otherwise(F.lit(0))
-    tagged = tagged.withColumn("_salt", salt.cast("bigint"))
+    tagged = rows.join(hot, same_key, "left").withColumn("_salt", salt.cast("bigint"))
     # Always 0, but not a literal: a literal would be taken out of the join key.
-    zero = F.pmod(F.xxhash64(*keys), F.lit(1))
-    cold = packed.withColumn("_salt", zero.cast("bigint"))
+    zero = F.pmod(F.xxhash64(*keys), F.lit(1)).cast("bigint")
+    cold = per_key.select(*keys, value, zero.alias("_salt"))
     joined = tagged.join(cold, [*keys, "_salt"], "left")
-    value = F.coalesce(F.col("_hot_value"), F.col("_value"))
-    return joined.select(*rows.columns, *[value[v].alias(v) for v in values])
+    answer = F.coalesce(F.col("_hot_value"), F.col("_value"))
+    return joined.select(*rows.columns, *[answer[v].alias(v) for v in values])
 
 
 def first_n(rows: DataFrame, group: Sequence[str], order: Sequence[Column], n: int,

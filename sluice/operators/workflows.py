@@ -17,10 +17,9 @@ def step_dependencies(steps: DataFrame, edges: DataFrame) -> DataFrame:
     ``edges`` is (step_id, depends_on_step_id) with unique pairs.  A step with
     no dependencies has one part with an empty array.
     """
-    degrees = edges.groupBy("step_id").agg(F.count(F.lit(1)).alias("_degree"))
-    parts = degrees.select("step_id", F.ceil(F.col("_degree") / PART).alias("_parts"))
-    sized = lookup(edges, parts, ["step_id"], spread=["depends_on_step_id"],
-                   weights=degrees.withColumnRenamed("_degree", "_n"))
+    degrees = edges.groupBy("step_id").agg(F.count(F.lit(1)).alias("_n"))
+    parts = degrees.withColumn("_parts", F.ceil(F.col("_n") / PART))
+    sized = lookup(edges, parts, ["step_id"], spread=["depends_on_step_id"])
     part = F.pmod(F.xxhash64("depends_on_step_id"), F.col("_parts"))
     grouped = (sized.groupBy("step_id", part.cast("bigint").alias("dependency_part"))
                .agg(F.array_sort(F.collect_list("depends_on_step_id")).alias("depends_on")))

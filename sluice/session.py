@@ -34,6 +34,8 @@ def local_session(cores: int | str = "*", app: str = "sluice", shuffle_partition
              .config("spark.driver.memory", memory)
              .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
              .config("spark.ui.showConsoleProgress", "false")
+             # Recording a Python stack per column expression slows plan building.
+             .config("spark.python.sql.dataFrameDebugging.enabled", "false")
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return tune(spark)

@@ -28,17 +28,19 @@ SPLIT = rf'\G({FIELD})(,|\z)'
 UNTERMINATED = rf'^(?:{FIELD},)*+"[^"]*+(?:""[^"]*+)*+\z'
 
 
-def read_files(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
+def read_files(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """Whole files as ``(submission_id, content, length)``.
 
-    With ``max_bytes`` larger files are not read at all; without it they are
-    listed and refused by ``extract_csv``.  Spark's scan passes over files of
-    zero bytes, so those give no row here.
+    Files over ``max_bytes`` are listed without reading them (the length test
+    reaches the scan).  Spark's scan passes over files of zero bytes, so those
+    give no row here.
     """
     files = spark.read.format("binaryFile").load(path)
-    if max_bytes is not None:
-        files = files.filter(F.col("length") <= max_bytes)
-    return files.select(F.col("path").alias("submission_id"), "content", "length")
+    name = F.col("path").alias("submission_id")
+    read = files.filter(F.col("length") <= max_bytes).select(name, "content", "length")
+    listed = files.filter(F.col("length") > max_bytes).select(
+        name, F.lit(None).cast("binary").alias("content"), "length")
+    return read.unionByName(listed)
 
 
 def _unquote(field: Column) -> Column:
@@ -88,7 +90,8 @@ def csv_file_admission(files: DataFrame, max_bytes: int = MAX_FILE_BYTES,
     The first rule that fails names the reason: empty, too large, not UTF-8,
     too many rows or malformed (whichever comes first in the file), no header.
     """
-    length = F.coalesce(F.octet_length("content"), F.lit(0))
+    size = F.col("length") if "length" in files.columns else F.octet_length("content")
+    length = F.coalesce(size, F.lit(0))
     early = (F.when(length == 0, F.lit(f"{subject} is empty"))
              .when(length > max_bytes, F.lit(f"{subject} must be <= {max_bytes} bytes"))
              .when(~F.is_valid_utf8(F.col("content").cast("string")),

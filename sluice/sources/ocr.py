@@ -73,9 +73,8 @@ def column_gaps(words: DataFrame, figures: DataFrame) -> DataFrame:
     Only the image's threshold is joined to the words; the windows run per
     (image, line), so a page with very many words still uses many tasks.
     """
-    threshold = figures.select("submission_id", "gap_threshold")
-    sized = lookup(words, threshold, ["submission_id"], spread=["word_pos"],
-                   weights=figures.select("submission_id", "_n"))
+    threshold = figures.select("submission_id", "gap_threshold", "_n")
+    sized = lookup(words, threshold, ["submission_id"], spread=["word_pos"])
     along = Window.partitionBy("submission_id", *LINE).orderBy("left", "word_pos")
     gap = F.col("left") - F.lag(F.col("left") + F.col("width")).over(along)
     gapped = sized.withColumn(
@@ -124,12 +123,11 @@ def ocr_table_rebuild(lines: DataFrame, checks: DataFrame) -> DataFrame:
     After the checks an image has at most ``MAX_TABLE_ROWS`` + 1 lines, so the
     per-image numbering works on small groups.
     """
-    weights = checks.select("submission_id", F.coalesce("lines", F.lit(0)).alias("_n"))
-    passed = checks.select("submission_id", F.col("file_reason").isNull().alias("_ok"))
-    admitted = lookup(lines, passed, ["submission_id"], spread=list(LINE),
-                      weights=weights).filter("_ok").drop("_ok")
+    passed = checks.select("submission_id", F.col("file_reason").isNull().alias("_ok"),
+                           F.coalesce("lines", F.lit(0)).alias("_n"))
+    admitted = lookup(lines, passed, ["submission_id"], spread=list(LINE)).filter("_ok")
     reading = Window.partitionBy("submission_id").orderBy("first_pos")
-    placed = (admitted.withColumn("row_index", F.row_number().over(reading) - 1)
+    placed = (admitted.drop("_ok").withColumn("row_index", F.row_number().over(reading) - 1)
               .withColumn("header", F.first("fields").over(reading)))
     rows = placed.filter(F.col("row_index") > 0).select(
         "submission_id", F.col("row_index").cast("bigint").alias("row_index"), "header",

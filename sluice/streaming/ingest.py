@@ -14,10 +14,14 @@ from sluice.sources.csv import extract_csv
 from sluice.sources.tables import append_changes
 
 
+FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+
+
 def file_stream(spark: SparkSession, folder: str, glob: str = "*.csv",
                 files_per_batch: int = 1000) -> DataFrame:
     """New files of a drop folder as ``(submission_id, content, length)``."""
-    stream = (spark.readStream.format("binaryFile").option("pathGlobFilter", glob)
+    stream = (spark.readStream.schema(FILE_SCHEMA).format("binaryFile")
+              .option("pathGlobFilter", glob)
               .option("maxFilesPerTrigger", files_per_batch).load(folder))
     return stream.select(F.col("path").alias("submission_id"), "content", "length")
 

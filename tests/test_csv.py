@@ -172,3 +172,13 @@ def test_bulk_rows_are_numbered_in_file_order(spark, tmp_path):
     assert got[1].phone == "" and got[7].phone == "5"
     assert got[100].reason == "expected 3 fields, found 2"
     assert sum(r.reason is not None for r in got.values()) == 1
+
+
+def test_large_files_are_listed_but_not_read(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("name,email\nAnn,ann@x.co\n")
+    (tmp_path / "b.csv").write_text("name,email\n" + "x" * source.MAX_FILE_BYTES)
+    files = source.read_files(spark, str(tmp_path))
+    assert "LessThanOrEqual(length,2097152)" in files._jdf.queryExecution().toString()
+    records, refused = source.extract_csv(files, strict_users=True)
+    assert records.count() == 1
+    assert [r.reason for r in refused.collect()] == ["CSV file must be <= 2097152 bytes"]
