@@ -274,9 +274,9 @@ SELECT submission_id, line_num, max(col) + 1 AS columns, count(*) AS words FROM
 """)
 def _(t):
     words = t.shape(shapes.SPARK_WORDS)
-    placed = ocr.column_gaps(words, ocr.image_figures(words))
-    return placed.groupBy("submission_id", "line_num").agg(
-        (F.max("_column") + 1).alias("columns"), F.count(F.lit(1)).alias("words"))
+    lines = ocr.column_starts(words, ocr.image_figures(words))
+    return lines.select("submission_id", "line_num", F.size("starts").cast("bigint")
+                        .alias("columns"), F.size("words").cast("bigint").alias("words"))
 
 
 @query("win6_attempt_number", f"SELECT attempt_id, job_id, attempt_number FROM {NUMBERED_SQL}")

@@ -67,35 +67,40 @@ def image_figures(words: DataFrame) -> DataFrame:
         F.lit("%) -- extracted data may contain errors; please review before confirming"))))
 
 
-def column_gaps(words: DataFrame, figures: DataFrame) -> DataFrame:
-    """Column number of every word: a wide gap on its line starts a new one.
+def column_starts(words: DataFrame, figures: DataFrame) -> DataFrame:
+    """Printed lines with their words in order and where each column starts.
 
-    Only the image's threshold is joined to the words; the windows run per
-    (image, line), so a page with very many words still uses many tasks.
+    The words are shuffled once, by (image, line); the image's threshold is
+    joined to the far fewer lines.  A line is bounded by the width of the page,
+    so its words fit one row; a page with very many words uses many tasks.
     """
+    line = ["submission_id", *LINE]
+    lines = words.groupBy(*line).agg(
+        F.sort_array(F.collect_list(F.struct("left", "word_pos", "width", "text")))
+        .alias("words"), F.min("word_pos").alias("first_pos"))
     threshold = figures.select("submission_id", "gap_threshold", "_n")
-    sized = lookup(words, threshold, ["submission_id"], spread=["word_pos"])
-    along = Window.partitionBy("submission_id", *LINE).orderBy("left", "word_pos")
-    gap = F.col("left") - F.lag(F.col("left") + F.col("width")).over(along)
-    gapped = sized.withColumn(
-        "_new", F.coalesce(gap > F.col("gap_threshold"), F.lit(False)).cast("int"))
-    return gapped.withColumn("_column", F.sum("_new").over(
-        along.rowsBetween(Window.unboundedPreceding, 0)))
+    sized = lookup(lines, threshold, ["submission_id"], spread=list(LINE))
+
+    def opens_column(i: Column) -> Column:
+        word, before = F.col("words")[i - 1], F.col("words")[i - 2]
+        return (i == 1) | (word["left"] - (before["left"] + before["width"])
+                           > F.col("gap_threshold"))
+
+    return compute_once(sized, [*line, "words", "first_pos"], {
+        "starts": F.filter(F.sequence(F.lit(1), F.size("words")), opens_column)})
 
 
 def table_lines(words: DataFrame, figures: DataFrame) -> DataFrame:
     """One row per printed line: its first word's position and its cells."""
-    line = ["submission_id", *LINE]
-    columns = column_gaps(words, figures)
-    word = F.struct("left", "word_pos", "text")
-    cells = columns.groupBy(*line, "_column").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(word)), lambda w: w["text"]),
-                     " ").alias("_text"),
-        F.min("word_pos").alias("_pos"))
-    return cells.groupBy(*line).agg(
-        F.min("_pos").alias("first_pos"),
-        F.transform(F.array_sort(F.collect_list(F.struct("_column", "_text"))),
-                    lambda c: fn.trim_header(c["_text"])).alias("fields"))
+    lines = column_starts(words, figures)
+    texts = F.col("words.text")
+
+    def cell(start: Column, i: Column) -> Column:
+        after = F.coalesce(F.get("starts", i + 1), F.size("words") + 1)
+        return fn.trim_header(F.array_join(F.slice(texts, start, after - start), " "))
+
+    return compute_once(lines, ["submission_id", *LINE, "first_pos"],
+                        {"fields": F.transform("starts", cell)})
 
 
 def ocr_table_checks(lines: DataFrame, images: DataFrame | None = None,
