@@ -111,3 +111,37 @@ def test_retry_release_skips_cancelled_jobs(spark, tmp_path):
         live.release_due_retries(spark, root, now, 2)
     state = tables.current_rows(tables.read_changes(spark, root), ["id"])
     assert {r.id: r.status for r in state.collect()} == {1: "queued", 2: "cancelled", 3: "failed"}
+
+
+def test_retry_timers(spark, tmp_path):
+    import time
+
+    from sluice.streaming.timers import start_retry_timers
+    source, root = str(tmp_path / "in"), str(tmp_path / "out")
+    policy = F.struct(F.col("wait").alias("initial_backoff_ms"),
+                      F.lit(10**9).alias("max_backoff_ms"), F.lit(2.0).alias("backoff_multiplier"))
+
+    def arrive(*rows):
+        frame = spark.createDataFrame(list(rows), "id long, status string, wait long, ago int")
+        frame.select("id", "status", F.lit(1).alias("attempt_count"),
+                     (F.current_timestamp() - F.make_dt_interval(secs=F.col("ago")))
+                     .alias("updated_at"), policy.alias("retry_policy")
+                     ).coalesce(1).write.mode("append").parquet(source)
+
+    # 1 is due, 2 soon, 3 far away, 4 soon but cancelled, 5 never retrying.
+    arrive((1, "retrying", 1000, 60), (2, "retrying", 12000, 0), (3, "retrying", 10**8, 0),
+           (4, "retrying", 12000, 0), (4, "cancelled", 0, -1), (5, "queued", 0, 0))
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
+    query = start_retry_timers(stream, root, str(tmp_path / "check"))
+    try:
+        deadline = time.time() + 60
+        seen = set()
+        while seen != {1, 2} and time.time() < deadline and query.isActive:
+            time.sleep(1)
+            if list(tmp_path.glob("out/batch_id=*/_SUCCESS")):
+                seen = {r.id for r in tables.read_changes(spark, root).collect()}
+        assert seen == {1, 2}, query.exception()
+        row = tables.read_changes(spark, root).filter("id = 2").first()
+        assert row.released_ms >= row.due_ms
+    finally:
+        query.stop()
