@@ -39,29 +39,34 @@ def lookup(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], spread: Seq
     values = [c for c in per_key.columns if c not in (*keys, "_n")]
     value = F.struct(*values).alias("_value")
     heavy_first = [F.desc("_n"), *keys]
+    null_key = F.lit(False)
+    for k in keys:
+        null_key = null_key | F.col(k).isNull()
+    # The join implies this filter; stating it keeps both uses of the aggregate
+    # identical, so that one shuffle serves them.
+    per_key = per_key.filter(~null_key)
     if "_n" in per_key.columns:
-        # The same aggregate serves both joins; its shuffle is reused.
-        ranked = per_key.dropna(subset=keys).orderBy(*heavy_first).limit(HOT_KEYS)
+        ranked = per_key.orderBy(*heavy_first).limit(HOT_KEYS)
         hot_values = ranked.select(*keys, value)
     else:
         if weights is None:
             weights = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        heaviest = (weights.dropna(subset=keys).orderBy(*heavy_first).limit(HOT_KEYS)
+        heaviest = (weights.filter(~null_key).orderBy(*heavy_first).limit(HOT_KEYS)
                     .select(*keys))
         found = per_key.select(*keys, value).join(F.broadcast(heaviest), keys, "left_semi")
         hot_values = heaviest.join(F.broadcast(found), keys, "left")
     hot = F.broadcast(hot_values.select(
         *[F.col(k).alias(f"_hot_{k}") for k in keys], F.col("_value").alias("_hot_value"),
         F.lit(True).alias("_is_hot")))
-    same_key, null_key = F.lit(True), F.lit(False)
+    same_key = F.lit(True)
     for k in keys:
         same_key = same_key & (F.col(k) == F.col(f"_hot_{k}"))
-        null_key = null_key | F.col(k).isNull()
     answered = F.col("_is_hot").isNotNull() | null_key
     salt = F.when(answered, F.pmod(F.xxhash64(*spread), F.lit(SPREAD)) + 1).otherwise(F.lit(0))
     tagged = rows.join(hot, same_key, "left").withColumn("_salt", salt.cast("bigint"))
     # Always 0, but not a literal: a literal would be taken out of the join key.
-    zero = F.pmod(F.xxhash64(*keys), F.lit(1)).cast("bigint")
+    # Never NULL, or the join would add a filter and undo the shared shuffle.
+    zero = F.coalesce(F.pmod(F.xxhash64(*keys), F.lit(1)).cast("bigint"), F.lit(0))
     cold = per_key.select(*keys, value, zero.alias("_salt"))
     joined = tagged.join(cold, [*keys, "_salt"], "left")
     answer = F.coalesce(F.col("_hot_value"), F.col("_value"))

@@ -54,3 +54,10 @@ def test_query_matches_oracle(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_duplicate_search_shuffles_its_aggregate_once(spark):
+    frame = entry.queries()["win1_dedupe_keep_first"](spark, FOLDER)
+    frame.collect()
+    plan = frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in plan and plan.count("FileScan") == 2
