@@ -8,11 +8,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from sluice import catalog
 from sluice.catalog.base import TABLES
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="test tables are not here")
-ORACLES = entry.oracle_sql()
+ORACLES = catalog.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -34,7 +35,7 @@ def table(columns, rows):
 
 
 def test_every_query_has_an_oracle():
-    assert set(ORACLES) == set(entry.queries())
+    assert set(ORACLES) == set(catalog.queries())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
