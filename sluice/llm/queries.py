@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import decontam, mixing, quality
+from sluice.llm import chat, decontam, html, langid, mixing, pii, quality
 from sluice.llm.common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,26 @@ def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
         (F.col(name["copies"]) * F.col(name["size"])).alias("taken"))
 
 
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs)
+    return docs.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"),
+                       langid.predict(F.col("text"), model).alias("p")).select(
+        "doc_id", "held_out", "p.*")
+
+
+def op4_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = docs.select("doc_id", pii.find(F.col("text"), pii.train(docs)).alias("f"))
+    base, added = F.col("f.base"), F.col("f.added")
+    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("bigint")
+              .alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    return found.select(
+        "doc_id", *counts, F.sha2(pii.as_text(base).cast("binary"), 256).alias("base_sha256"),
+        pii.as_text(F.concat(base, added)).alias("spans"),
+        F.size(added).cast("bigint").alias("n_added"))
+
+
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return docs.select("doc_id", quality.verdict(F.col("text")).alias("v")).select("doc_id", "v.*")
@@ -41,8 +61,20 @@ def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
         decontam.contaminated(hits).alias("contaminated"))
 
 
-QUERIES: dict[str, Run] = {
-    "op2_mix_sources": op2_mix_sources,
-    "op6_quality_rules": op6_quality_rules,
-    "op7_decontaminate": op7_decontaminate,
-}
+def op8_format_chats(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)],
+                                  turns.schema)
+    return chat.digests(chat.windows(turns.unionByName(extra)))
+
+
+def op9_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    return (pages.select("page_id", "url", html.extract(F.col("html")).alias("text"))
+            .withColumn("n_chars", F.length("text").cast("bigint")))
+
+
+QUERIES: dict[str, Run] = {f.__name__: f for f in (
+    op2_mix_sources, op3_language_id, op4_personal_data, op6_quality_rules, op7_decontaminate,
+    op8_format_chats, op9_main_text)}
