@@ -7,12 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import chat, decontam, html, langid, mixing, pii, quality
+from sluice.llm import chat, decontam, html, langid, line_dedup, mixing, pii, quality
 from sluice.llm.common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found, name = line_dedup.annotate(docs)
+    lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
+    return found.select("doc_id", lines.cast("bigint").alias("n_lines"),
+                        F.size(name).cast("bigint").alias("n_removed"),
+                        F.array_join(F.col(name), ",").alias("removed_lines"))
+
+
 def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     planned, name = mixing.plan_copies(table(spark, folder, "documents").select(
         "doc_id", "text", "source"))
@@ -76,5 +85,5 @@ def op9_main_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Run] = {f.__name__: f for f in (
-    op2_mix_sources, op3_language_id, op4_personal_data, op6_quality_rules, op7_decontaminate,
+    op1_line_dedup, op2_mix_sources, op3_language_id, op4_personal_data, op6_quality_rules, op7_decontaminate,
     op8_format_chats, op9_main_text)}
