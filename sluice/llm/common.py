@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,9 @@ BYTES_PER_BATCH = 16 << 20
 def ready(spark: SparkSession) -> SparkSession:
     """Session settings of the package plus bounded Arrow batches."""
     tune(spark)
+    # Where the package lies at the same path for executors, Python workers find it.
+    spark.sparkContext.environment.setdefault("PYTHONPATH",
+                                              str(Path(__file__).resolve().parents[2]))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_PER_BATCH))
     return spark
@@ -38,3 +43,35 @@ def unused(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+# Bits of the fixed-size bitmaps that thin out a scan before an exact join.
+BITMAP_BITS = 1 << 20
+
+
+def bitmap(rows: DataFrame, loc: Column, label: str) -> Column:
+    """A bitmap over the hashes ``loc`` of ``rows``, as one array of BITMAP_BITS / 64 longs.
+
+    Its size does not depend on the rows; with many of them it only lets more through.
+    """
+    spark = rows.sparkSession
+    words = (rows.select(F.pmod(loc, F.lit(BITMAP_BITS)).alias("p"))
+             .select(F.shiftright("p", 6).cast("int").alias("w"),
+                     F.expr("shiftleft(1L, cast(p & 63 as int))").alias("bit"))
+             .groupBy("w").agg(F.bit_or("bit").alias("bits")))
+    whole = spark.range(BITMAP_BITS // 64).select(F.col("id").cast("int").alias("w")).join(
+        words, "w", "left")
+    pair = F.struct("w", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits"))
+    packed = whole.agg(F.transform(F.array_sort(F.collect_list(pair)),
+                                   lambda x: x["bits"]).alias("m"))
+    return cut(packed, label).scalar()
+
+
+def in_bitmap(rows: DataFrame, loc: Column, bits: Column) -> DataFrame:
+    """The rows whose hash ``loc`` is set in the bitmap, and perhaps some others."""
+    spot, word = unused(rows, "spot"), unused(rows, "bits")
+    place = F.pmod(loc, F.lit(BITMAP_BITS))
+    marked = rows.withColumn(spot, place).withColumn(
+        word, F.element_at(bits, F.shiftright(place, 6).cast("int") + 1))
+    return (marked.filter(F.expr(f"shiftright({word}, cast({spot} & 63 as int)) & 1") == 1)
+            .drop(spot, word))

@@ -23,7 +23,7 @@ line still serves as the earlier partner of others.
 Joins are on plain keys, so adaptive execution can split hot ones; aggregates are partial
 before their shuffle.  Lines are cut once to narrow rows (no text) in the shared
 folder; verification reads the lines of candidates from the documents again, picked
-out by a bitmap of fixed size (``BITS``) before any of their words are split.
+out by a bitmap of fixed size before any of their words are split.
 
 Defined cases: NULL and empty texts have no lines to remove; repeated rows (same doc_id
 and text) are one document and keep or lose the same lines; an empty table stays
@@ -35,12 +35,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import WORD, cut, unused
+from sluice.llm.common import WORD, bitmap, cut, in_bitmap, unused
 
 THRESHOLD = 0.8
 BUCKETS = 1 << 16
 LEADS = 4
-BITS = 1 << 20
 EPS = 1e-9
 
 
@@ -117,33 +116,15 @@ def _close(a: str, b: str, threshold: float, positions: bool) -> Column:
     return ok
 
 
-def _bitmap(keys: DataFrame) -> Column:
-    """A bitmap of BITS bits over the hashes in column ``loc``, as one array."""
-    place = F.pmod("loc", F.lit(BITS))
-    words = (keys.select(F.shiftright(place, 6).cast("int").alias("w"),
-                         F.expr(f"shiftleft(1L, cast(pmod(loc, {BITS}) & 63 as int))").alias("bit"))
-             .groupBy("w").agg(F.bit_or("bit").alias("bits")))
-    whole = keys.sparkSession.range(BITS // 64).select(F.col("id").cast("int").alias("w")).join(
-        words, "w", "left")
-    packed = whole.agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("w", F.coalesce("bits", F.lit(0).cast("bigint"))
-                                             .alias("bits")))), lambda x: x["bits"]).alias("m"))
-    return cut(packed, "bitmap").scalar()
-
-
 def _later(docs: DataFrame, ranks: Column, reps: DataFrame, pairs: DataFrame,
            threshold: float) -> DataFrame:
     """Keys of the sets that have an earlier match among the candidate ``pairs``."""
     pairs = cut(pairs.distinct(), "pairs")
     keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b"))
     loc = F.xxhash64("doc", "h", "line")
-    mask = _bitmap(reps.join(keys.distinct(), "key", "left_semi")
-                   .select("place.*").select(loc.alias("loc")))
-    spot = F.pmod(loc, F.lit(BITS))
-    bit = F.shiftrightunsigned(F.element_at(mask, F.shiftright(spot, 6).cast("int") + 1), 0)
-    found = F.expr("shiftright(_word, cast(_spot & 63 as int)) & 1") == 1
-    chosen = (_rows(docs).withColumn("_spot", spot).withColumn("_word", bit).filter(found)
-              .select("doc", "h", "line", _tokens(F.col("words"), ranks).alias("t")))
+    mask = bitmap(reps.join(keys.distinct(), "key", "left_semi").select("place.*"), loc, "bitmap")
+    chosen = in_bitmap(_rows(docs), loc, mask).select(
+        "doc", "h", "line", _tokens(F.col("words"), ranks).alias("t"))
     sets = (chosen.groupBy(F.xxhash64("t").alias("key"))
             .agg(F.min(F.struct(_place().alias("place"), "t")).alias("s")))
     sets = cut(sets.join(keys.distinct(), "key", "left_semi")

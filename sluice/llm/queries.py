@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import chat, decontam, html, langid, line_dedup, mixing, pii, quality
+from sluice.llm import chat, decontam, html, langid, line_dedup, mixing, near_dups, pii, quality
 from sluice.llm.common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -84,6 +84,19 @@ def op9_main_text(spark: SparkSession, folder: str) -> DataFrame:
             .withColumn("n_chars", F.length("text").cast("bigint")))
 
 
+def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    # Only the place of a text is needed once the classes are known.
+    narrow = docs.select("doc_id", F.xxhash64("text").alias("h"))
+    found = near_dups.classes(docs).select(
+        F.col("doc").alias("_d"), F.col("h").alias("_h"), F.col("class_doc").alias("class_id"),
+        F.lit(True).alias("_in"))
+    joined = narrow.join(found, F.col("doc_id").eqNullSafe(F.col("_d"))
+                         & (F.col("h") == F.col("_h")), "left")
+    return joined.select("doc_id", F.when(F.col("_in"), F.col("class_id"))
+                         .otherwise(F.col("doc_id")).alias("class_id"))
+
+
 QUERIES: dict[str, Run] = {f.__name__: f for f in (
     op1_line_dedup, op2_mix_sources, op3_language_id, op4_personal_data, op6_quality_rules, op7_decontaminate,
-    op8_format_chats, op9_main_text)}
+    op8_format_chats, op9_main_text, op10_near_duplicates)}
