@@ -311,8 +311,7 @@ def all_spans(texts: list[str], field: Field | None) -> list[tuple[list, list]]:
             text = texts[graph.spans[i][0]]
             # A phone number may span tokens; a plus sign starts another.
             while (kind == 3 and j < len(label) and label[j] == label[i]
-                   and (j - 1, j) in joined and text[graph.spans[j][1] - 1:] != ""
-                   and text[graph.spans[j][0]] != "+"):
+                   and (j - 1, j) in joined and text[graph.spans[j][1]] != "+"):
                 j += 1
             doc, start, _ = graph.spans[i]
             end = graph.spans[j - 1][2]
