@@ -46,7 +46,7 @@ def unused(df: DataFrame, name: str) -> str:
 
 
 # Bits of the fixed-size bitmaps that thin out a scan before an exact join.
-BITMAP_BITS = 1 << 20
+BITMAP_BITS = 1 << 22
 
 
 def bitmap(rows: DataFrame, loc: Column, label: str) -> Column:

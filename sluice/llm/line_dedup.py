@@ -39,20 +39,27 @@ from sluice.llm.common import WORD, bitmap, cut, in_bitmap, unused
 
 THRESHOLD = 0.8
 BUCKETS = 1 << 16
-LEADS = 4
+LEADS = 3
 EPS = 1e-9
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """doc, hash of the text, line number from 0, line; lines with a word only."""
+    """doc, hash of the text, line number from 0, line."""
+    # The hash comes first: beside the generator it would be taken once per line.
     return (docs.filter(F.col("text").isNotNull())
             .select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("h"),
-                    F.posexplode(F.split("text", "\n")).alias("line", "words"))
-            .filter(F.col("words").rlike(WORD)))
+                    F.split("text", "\n").alias("parts"))
+            .select("doc", "h", F.posexplode("parts").alias("line", "words")))
 
 
-def _words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+def _words(line: Column) -> Column:
+    """The words of a line; a plain split where single spaces are all that divides them."""
+    odd = F.contains(line, F.lit("  ")) | F.startswith(line, F.lit(" ")) | F.endswith(
+        line, F.lit(" "))
+    for white in "\t\v\f\r":
+        odd = odd | F.contains(line, F.lit(white))
+    return F.when(odd, F.regexp_extract_all(line, F.lit(WORD), F.lit(0))).otherwise(
+        F.split(line, " "))
 
 
 def _bucket(h: Column) -> Column:
@@ -60,9 +67,12 @@ def _bucket(h: Column) -> Column:
 
 
 def rarity(docs: DataFrame) -> Column:
-    """Rank of each bucket of words by how often its words occur, as a constant array."""
+    """Rank of each bucket of words by how often its words occur, in the upper 16 bits, as
+    a constant array."""
+    # Words that other white space divides stay together here; only the order would tell.
     counts = (docs.filter(F.col("text").isNotNull())
-              .select(F.explode(_words(F.col("text"))).alias("w"))
+              .select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "))
+                      .alias("w"))
               .select(_bucket(F.xxhash64("w")).alias("b"))
               .groupBy("b").agg(F.count(F.lit(1)).alias("n")))
     known = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(
@@ -72,7 +82,7 @@ def rarity(docs: DataFrame) -> Column:
     ranked = ordered.select(F.posexplode("o").alias("rank", "x")).select("rank", "x.b")
     joined = ranked.agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("b", "rank"))),
-        lambda x: x["rank"].cast("string")), ",").alias("r")).first()["r"]
+        lambda x: F.shiftleft(x["rank"].cast("bigint"), 47).cast("string")), ",").alias("r")).first()["r"]
     # A literal of BUCKETS numbers: subqueries may not stand inside higher-order functions.
     return F.split(F.lit(joined), ",").cast("array<bigint>")
 
@@ -81,14 +91,14 @@ def _tokens(line: Column, ranks: Column) -> Column:
     """The line's set of words as numbers, rarest first."""
     def number(w: Column) -> Column:
         h = F.xxhash64(w)
-        rank = F.element_at(ranks, _bucket(h) + 1)
-        return F.shiftleft(rank, 47).bitwiseOR(h.bitwiseAND(F.lit((1 << 47) - 1)))
+        return F.get(ranks, _bucket(h)).bitwiseOR(h.bitwiseAND(F.lit((1 << 47) - 1)))
     return F.sort_array(F.array_distinct(F.transform(_words(line), number)))
 
 
 def line_sets(docs: DataFrame, ranks: Column, threshold: float) -> DataFrame:
     """Narrow rows of all lines: place, size, key of the set, parity, prefix."""
-    rows = _rows(docs).select("doc", "h", "line", _tokens(F.col("words"), ranks).alias("t"))
+    rows = (_rows(docs).filter(F.col("words").rlike(WORD))
+            .select("doc", "h", "line", _tokens(F.col("words"), ranks).alias("t")))
     length = F.size("t") - F.ceil(F.size("t") * F.lit(threshold) - EPS).cast("int") + 1
     parity = F.expr("aggregate(t, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int)))")
     # Prefix words by the upper 31 bits: order is kept, and clashes only add candidates.
@@ -174,20 +184,27 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return gone.groupBy("doc", "h").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
-def annotate(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, str]:
-    """``docs`` with one more column, and its name: numbers of the lines to remove."""
-    name, doc, h = (unused(docs, n) for n in ("removed_lines", "_line_doc", "_line_h"))
+def annotate(docs: DataFrame, rows: DataFrame | None = None, text_hash: Column | None = None,
+             threshold: float = THRESHOLD) -> tuple[DataFrame, str]:
+    """``docs`` with one more column, and its name: numbers of the lines to remove.
+
+    Where the texts are not needed beside the result, ``rows`` is a narrower form of
+    ``docs`` with doc_id, and ``text_hash`` its column with the hash of the text.
+    """
+    rows = docs if rows is None else rows
+    name, doc, h = (unused(rows, n) for n in ("removed_lines", "_line_doc", "_line_h"))
     gone = removed_lines(docs, threshold).select(
         F.col("doc").alias(doc), F.col("h").alias(h), F.col("lines").alias(name))
-    same = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(h))
-    joined = docs.join(gone, same, "left").drop(doc, h)
+    text_hash = F.xxhash64("text") if text_hash is None else text_hash
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & (text_hash == F.col(h))
+    joined = rows.join(gone, same, "left").drop(doc, h)
     return joined.withColumn(name, F.coalesce(name, F.array().cast("array<int>"))), name
 
 
 def remove_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the removed lines; documents left without a word go if they
     had one.  ``n_chars`` follows the text where the table has that column."""
-    found, name = annotate(docs, threshold)
+    found, name = annotate(docs, threshold=threshold)
     lines = F.split("text", "\n")
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col(name), i)), "\n")
     before, word = unused(found, "had_words"), F.lit(WORD)

@@ -15,9 +15,11 @@ Run = Callable[[SparkSession, str], DataFrame]
 
 def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    found, name = line_dedup.annotate(docs)
     lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
-    return found.select("doc_id", lines.cast("bigint").alias("n_lines"),
+    narrow = docs.select("doc_id", F.xxhash64("text").alias("h"),
+                         lines.cast("bigint").alias("n_lines"))
+    found, name = line_dedup.annotate(docs, narrow, F.col("h"))
+    return found.select("doc_id", "n_lines",
                         F.size(name).cast("bigint").alias("n_removed"),
                         F.array_join(F.col(name), ",").alias("removed_lines"))
 
