@@ -23,8 +23,7 @@ levels AS (
                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 targets AS (
   SELECT source, source_size,
-         least(cap, coalesce(
-           min(CASE WHEN level <= cap / weight THEN level END) OVER () * weight, cap)) AS target
+         least(cap, max(level) OVER () * weight) AS target
   FROM levels),
 rated AS (
   SELECT doc_id, size, source_size, target,
@@ -78,4 +77,114 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM words LEFT JOIN hit USING (row) LEFT JOIN named USING (row)
 """
 
-ORACLES = {"op2_mix_sources": OP2, "op7_decontaminate": OP7}
+# Lines as sorted word lists; prefixes by document frequency find the candidates.
+OP1 = r"""
+WITH texts AS (
+  SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
+lines AS (
+  SELECT doc_id, text, line, list_distinct(regexp_extract_all(body, '[^\x20\x09-\x0D]+')) AS w
+  FROM (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS body,
+               generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM texts)),
+placed AS (
+  SELECT doc_id, line, w, len(w) AS n,
+         row_number() OVER (ORDER BY doc_id NULLS LAST, text, line) AS place
+  FROM lines WHERE len(w) > 0),
+words AS (SELECT place, n, unnest(w) AS word FROM placed),
+rare AS (SELECT word, count(*) AS f FROM words GROUP BY word),
+prefixes AS (
+  SELECT place, word FROM words JOIN rare USING (word)
+  QUALIFY row_number() OVER (PARTITION BY place ORDER BY f, word)
+          <= n - CAST(ceil(n * 4 / 5) AS BIGINT) + 1),
+pairs AS (
+  SELECT DISTINCT x.place AS a, y.place AS b
+  FROM prefixes x JOIN prefixes y ON x.word = y.word AND x.place < y.place),
+late AS (
+  SELECT DISTINCT b FROM (
+    SELECT b, x.n + y.n AS total, len(list_intersect(x.w, y.w)) AS common
+    FROM pairs JOIN placed x ON x.place = a JOIN placed y ON y.place = b
+    WHERE 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n))
+  WHERE 5 * common >= 4 * (total - common)),
+gone AS (
+  SELECT doc_id, count(*) AS n_removed,
+         string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) AS removed_lines
+  FROM placed JOIN late ON place = b GROUP BY doc_id)
+SELECT d.doc_id, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END
+                      AS BIGINT) AS n_lines,
+       CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       coalesce(removed_lines, '') AS removed_lines
+FROM documents d LEFT JOIN gone ON d.doc_id IS NOT DISTINCT FROM gone.doc_id
+"""
+
+# Spans by their words in place of hashes.
+OP5 = r"""
+WITH pieces AS (
+  SELECT doc_id, text, unnest(p) AS body, generate_subscripts(p, 1) AS place
+  FROM (SELECT DISTINCT doc_id, text,
+               regexp_extract_all(text, '[^.!?\n]*([.!?]+|\n)|[^.!?\n]+') AS p
+        FROM documents WHERE text IS NOT NULL)),
+worded AS (
+  SELECT doc_id, text, place,
+         regexp_extract_all(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                      'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM pieces),
+numbered AS (
+  SELECT doc_id, text, w, row_number() OVER (PARTITION BY doc_id, text ORDER BY place) - 1 AS i
+  FROM worded WHERE len(w) > 0),
+grown AS (
+  SELECT s.doc_id, s.text, s.i AS first, e.i AS last, sum(len(e.w)) OVER g AS n,
+         string_agg(array_to_string(e.w, ' '), '|') OVER g AS span
+  FROM numbered s JOIN numbered e
+    ON s.doc_id = e.doc_id AND s.text = e.text AND e.i BETWEEN s.i AND s.i + 20
+  WINDOW g AS (PARTITION BY s.doc_id, s.text, s.i ORDER BY e.i)),
+spans AS (
+  SELECT * FROM grown WHERE n >= 20 AND last > first
+  QUALIFY row_number() OVER (PARTITION BY doc_id, text, first ORDER BY last) = 1
+       OR row_number() OVER (PARTITION BY doc_id, text, last ORDER BY first DESC) = 1),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY span ORDER BY doc_id NULLS LAST, text, first) AS r
+  FROM spans),
+gone AS (
+  SELECT doc_id, text, count(*) AS n, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS ids
+  FROM (SELECT DISTINCT doc_id, text, unnest(generate_series(first, last)) AS i
+        FROM ranked WHERE r > 1) GROUP BY doc_id, text),
+counts AS (SELECT doc_id, text, count(*) AS n FROM numbered GROUP BY doc_id, text)
+SELECT d.doc_id, CAST(coalesce(counts.n, 0) AS BIGINT) AS n_sentences,
+       CAST(coalesce(gone.n, 0) AS BIGINT) AS n_removed,
+       coalesce(gone.ids, '') AS removed_sentences
+FROM documents d LEFT JOIN counts USING (doc_id, text) LEFT JOIN gone USING (doc_id, text)
+"""
+
+# Exact Jaccard over all pairs that share a shingle, then connected components.
+OP10 = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                              'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents WHERE text IS NOT NULL),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i
+        FROM worded WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
+  FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id != y.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 5 * c >= 4 * (x.n + y.n - c)),
+reach(a, b) AS (
+  SELECT a, b FROM links
+  UNION
+  SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT doc_id, CAST(least(doc_id, coalesce(m, doc_id)) AS BIGINT) AS class_id
+FROM documents LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a) USING (doc_id)
+"""
+
+ORACLES = {
+    "op1_line_dedup": OP1,
+    "op2_mix_sources": OP2,
+    "op5_sentence_spans": OP5,
+    "op7_decontaminate": OP7,
+    "op10_near_duplicates": OP10,
+}

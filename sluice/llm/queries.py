@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import chat, decontam, html, langid, line_dedup, mixing, near_dups, pii, quality
+from sluice.llm import chat, decontam, html, langid, line_dedup, mixing, near_dups, pii, quality, spans
 from sluice.llm.common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +54,19 @@ def op4_personal_data(spark: SparkSession, folder: str) -> DataFrame:
         F.size(added).cast("bigint").alias("n_added"))
 
 
+def op5_sentence_spans(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+
+    def count(texts: pd.Series) -> pd.Series:
+        return pd.Series([len(spans.sentences(t)) for t in texts], dtype="int64")
+
+    narrow = docs.select("doc_id", F.xxhash64("text").alias("h"),
+                         F.pandas_udf(count, "bigint")("text").alias("n_sentences"))
+    found, name = spans.annotate(docs, narrow, F.col("h"))
+    return found.select("doc_id", "n_sentences", F.size(name).cast("bigint").alias("n_removed"),
+                        F.array_join(F.col(name), ",").alias("removed_sentences"))
+
+
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return docs.select("doc_id", quality.verdict(F.col("text")).alias("v")).select("doc_id", "v.*")
@@ -100,5 +114,6 @@ def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Run] = {f.__name__: f for f in (
-    op1_line_dedup, op2_mix_sources, op3_language_id, op4_personal_data, op6_quality_rules, op7_decontaminate,
-    op8_format_chats, op9_main_text, op10_near_duplicates)}
+    op1_line_dedup, op2_mix_sources, op3_language_id, op4_personal_data, op5_sentence_spans,
+    op6_quality_rules, op7_decontaminate, op8_format_chats, op9_main_text,
+    op10_near_duplicates)}
