@@ -42,8 +42,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
     are proportional to weight and sum to ``share`` of all sizes, but stop at
     ``most`` times the source's size; the excess is reshared by weight until none
     is above.  That is a water level L with target = min(most * size, L * weight):
-    sources fill up in the order of cap / weight, and L is what is left over the
-    weight that is left at the first source that does not fill up.
+    sources fill up in the order of cap / weight, and L is what is left of the words
+    over what is left of the weights at the first source that does not fill up.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     turn = F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights)))
@@ -59,9 +59,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
     weight_left = F.sum("_weight").over(whole) - F.coalesce(
         F.sum("_weight").over(before), F.lit(0.0))
     levels = named.withColumn("_level", left / weight_left)
-    # Levels rise while sources fill up, so the lowest that holds is the first.
-    level = F.min(F.when(F.col("_level") <= fill, F.col("_level"))).over(whole)
-    target = F.least("_cap", F.coalesce(level * F.col("_weight"), F.col("_cap")))
+    # Levels rise while sources fill up and fall after that: the highest is the one.
+    target = F.least("_cap", F.max("_level").over(whole) * F.col("_weight"))
     return (levels.withColumn("target", target)
             .select("source", "source_size", "target"))
 
