@@ -17,7 +17,7 @@ last, then a hash of the text, then line number) has a Jaccard similarity of at
 Groups of thousands of variants of one line would pair up quadratically.  So the first
 ``LEADS`` words of each prefix are looked up first against the earliest set under the
 same word only, and lines this decides need no further partner: the full join then
-emits only pairs with an undecided side.  Nothing is capped by that, as a removed
+emits only pairs whose later side is undecided.  Nothing is capped by that, as a removed
 line still serves as the earlier partner of others.
 
 Joins are on plain keys, so adaptive execution can split hot ones; aggregates are partial
@@ -126,6 +126,15 @@ def _close(a: str, b: str, threshold: float, positions: bool) -> Column:
     return ok
 
 
+def _undecided(a: str, b: str) -> Column:
+    """Whether the later of two sets is still undecided, as far as documents tell."""
+    def follows(x: str, y: str) -> Column:
+        return F.coalesce(F.col(f"{x}.doc") < F.col(f"{y}.doc"),
+                          F.col(f"{x}.doc").isNotNull() & F.col(f"{y}.doc").isNull())
+    return ~((F.col(f"{a}.done") & F.col(f"{b}.done")) | (F.col(f"{b}.done") & follows(a, b))
+             | (F.col(f"{a}.done") & follows(b, a)))
+
+
 def _later(docs: DataFrame, ranks: Column, reps: DataFrame, pairs: DataFrame,
            threshold: float) -> DataFrame:
     """Keys of the sets that have an earlier match among the candidate ``pairs``."""
@@ -168,11 +177,12 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                                                        F.col("y.key").alias("b")), threshold),
                   "decided")
     marked = able.join(decided.withColumn("done", F.lit(True)), "key", "left").select(
-        "key", "sig", "size", F.coalesce("done", F.lit(False)).alias("done"), "prefix")
-    postings = marked.select("key", "sig", "size", "done",
+        "key", "sig", "size", F.coalesce("done", F.lit(False)).alias("done"),
+        F.col("place.doc").alias("doc"), "prefix")
+    postings = marked.select("key", "sig", "size", "done", "doc",
                              F.posexplode("prefix").alias("at", "word"))
     both = postings.alias("x").join(postings.alias("y"), "word").filter(
-        (F.col("x.key") < F.col("y.key")) & ~(F.col("x.done") & F.col("y.done"))
+        (F.col("x.key") < F.col("y.key")) & _undecided("x", "y")
         & _close("x", "y", threshold, True))
     more = _later(docs, ranks, reps, both.select(F.col("x.key").alias("a"),
                                                  F.col("y.key").alias("b")), threshold)
