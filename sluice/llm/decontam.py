@@ -44,6 +44,7 @@ _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122
                else 32 for c in range(256))
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER = _UPPER.lower()
+_TO_LOWER = str.maketrans(_UPPER, _LOWER)
 _WORD = re.compile(TOKEN)
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -123,7 +124,7 @@ def _without(texts: pd.Series, hits: pd.Series) -> pd.Series:
         if text is None or hit is None or not len(hit):
             done.append(text)
             continue
-        spans = [m.span() for m in _WORD.finditer(text)]
+        spans = [m.span() for m in _WORD.finditer(text.translate(_TO_LOWER))]
         kept, at = [], 0
         breaks = np.flatnonzero(np.diff(hit) > 1)
         for first, last in zip([0, *(breaks + 1)], [*breaks, len(hit) - 1], strict=True):

@@ -31,10 +31,10 @@ from sluice.llm.common import unused
 BANDS = (
     (127, 0.35, 9.99),
     (255, 0.30, 1.10),
-    (511, 0.25, 0.95),
-    (1023, 0.22, 0.90),
-    (4095, 0.20, 0.85),
-    (None, 0.15, 0.80),
+    (511, 0.25, 0.90),
+    (1023, 0.22, 0.80),
+    (4095, 0.20, 0.75),
+    (None, 0.15, 0.70),
 )
 CHUNK = 4096
 # A last chunk shorter than this says little and is left to the whole's ratio.
