@@ -12,7 +12,8 @@ last, then a hash of the text, then line number) has a Jaccard similarity of at
    Only those words are joined on.  Candidates must pass the length filter, the
    positional filter (what can still be common after this word) and a bitmap filter
    (a 64-bit parity of the words differs in at most as many bits as the sets in words).
-4. Verification compares the whole sets of the candidates.
+4. Verification compares the whole sets of the candidates: a set's best partner first,
+   then, where that does not decide it, all others.
 
 Groups of thousands of variants of one line would pair up quadratically.  So the first
 ``LEADS`` words of each prefix are looked up first against the earliest set under the
@@ -126,13 +127,20 @@ def _close(a: str, b: str, threshold: float, positions: bool) -> Column:
     return ok
 
 
-def _undecided(a: str, b: str) -> Column:
-    """Whether the later of two sets is still undecided, as far as documents tell."""
+def _later_key(a: str, b: str) -> Column:
+    """Key of the later of two sets; NULL within one document."""
     def follows(x: str, y: str) -> Column:
         return F.coalesce(F.col(f"{x}.doc") < F.col(f"{y}.doc"),
                           F.col(f"{x}.doc").isNotNull() & F.col(f"{y}.doc").isNull())
-    return ~((F.col(f"{a}.done") & F.col(f"{b}.done")) | (F.col(f"{b}.done") & follows(a, b))
-             | (F.col(f"{a}.done") & follows(b, a)))
+    return F.when(follows(a, b), F.col(f"{b}.key")).when(follows(b, a), F.col(f"{a}.key"))
+
+
+def _undecided(a: str, b: str) -> Column:
+    """Whether the later of two sets is still undecided, as far as documents tell."""
+    late = _later_key(a, b)
+    return ~(F.col(f"{a}.done") & F.col(f"{b}.done")) & ~F.coalesce(
+        (F.col(f"{b}.done") & (late == F.col(f"{b}.key")))
+        | (F.col(f"{a}.done") & (late == F.col(f"{a}.key"))), F.lit(False))
 
 
 def _later(docs: DataFrame, ranks: Column, reps: DataFrame, pairs: DataFrame,
@@ -184,9 +192,16 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     both = postings.alias("x").join(postings.alias("y"), "word").filter(
         (F.col("x.key") < F.col("y.key")) & _undecided("x", "y")
         & _close("x", "y", threshold, True))
-    more = _later(docs, ranks, reps, both.select(F.col("x.key").alias("a"),
-                                                 F.col("y.key").alias("b")), threshold)
-    late = decided.union(more).distinct().withColumn("late", F.lit(True))
+    # A pair is found once per shared word; a set's best partner shares the most.
+    pairs = cut(both.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"),
+                            _later_key("x", "y").alias("late"))
+                .groupBy("a", "b", "late").agg(F.count(F.lit(1)).alias("n")), "candidates")
+    best = (pairs.filter(F.col("late").isNotNull()).groupBy("late")
+            .agg(F.max(F.struct("n", "a", "b")).alias("p")).select("p.a", "p.b"))
+    found = cut(_later(docs, ranks, reps, best, threshold), "found")
+    rest = pairs.join(found.select(F.col("key").alias("late")), "late", "left_anti")
+    more = _later(docs, ranks, reps, rest.select("a", "b"), threshold)
+    late = decided.union(found).union(more).distinct().withColumn("late", F.lit(True))
     verdict = reps.select("key", "sig", "size", F.col("place").alias("first")).join(
         late, "key", "left")
     gone = (lines.join(verdict, ["key", "sig", "size"])
