@@ -13,9 +13,9 @@ bucket with probability (1 - 0.8**4)**20 = 0.00003.
 Copies (equal words in equal order) are one text, found by one aggregate, and only
 texts enter the buckets.  Groups of near copies may hold thousands of texts:
 
-1. star: in the first ``LEAD_BANDS`` bands each text is held against one text of its
-   bucket (another one per band);
-2. star again over all bands, for texts still in different classes;
+1. star: each text is held against the most central text of its buckets, the one that
+   shares its buckets with the most texts (in a group, what the others are copies of);
+2. star again, against a random text of each bucket, for texts still in different classes;
 3. all pairs of a bucket that are still in different classes.
 
 Links join classes after each step, so step 3 meets few pairs, and loses none.  Classes
@@ -37,7 +37,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm import shingles
@@ -45,7 +45,6 @@ from sluice.llm.common import bitmap, cut, in_bitmap, unused
 
 THRESHOLD = 0.8
 BANDS, ROWS = 20, 4
-LEAD_BANDS = 4
 _UNIT = 2.0 ** -53
 
 
@@ -55,11 +54,12 @@ def signature(elements: np.ndarray, weights: np.ndarray, size: int) -> np.ndarra
     first = np.full(size, np.inf)
     drawn = np.zeros(len(elements), np.uint64)
     clock = np.zeros(len(elements))
-    limit = size * (math.log(size) + 2.0) / weights.sum()
+    heaviest = weights.max()
+    limit = size * (math.log(size) + 3.0) / weights.sum()
     while True:
         active = np.flatnonzero(clock < limit)
         while len(active):
-            block = int(np.clip(2000 // len(active), 1, 256))
+            block = int(np.clip(2 * limit * heaviest + 3, 3, max(3, (1 << 20) // len(active))))
             steps = np.arange(1, block + 1, dtype=np.uint64)
             seeds = shingles.mix(elements[active, None]
                                  + (drawn[active, None] + steps) * np.uint64(0xA0761D6478BD642F))
@@ -160,6 +160,14 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The ``pairs`` whose two texts are not in one class."""
+    a = roots.select(F.col("key").alias("a"), F.col("root").alias("ra"))
+    b = roots.select(F.col("key").alias("b"), F.col("root").alias("rb"))
+    return (pairs.distinct().join(a, "a", "left").join(b, "b", "left")
+            .filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
+
+
 def _relabel(roots: DataFrame, links: DataFrame) -> DataFrame:
     """``roots`` (key, root) after joining the classes that ``links`` connect."""
     between = (links.join(roots.select(F.col("key").alias("a"), F.col("root").alias("ra")), "a",
@@ -187,23 +195,27 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     texts = cut(signed.groupBy("key", "key2").agg(F.min(F.struct(place.alias("p"), "bands"))
                                                   .alias("x"))
                 .select("key", F.col("x.p").alias("place"), "x.bands"), "texts")
-    buckets = texts.select("key", F.posexplode("bands").alias("band", "bucket"))
+    buckets = texts.select("key", F.explode("bands").alias("bucket"))
+    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = cut(buckets.join(sizes, "bucket"), "shared")
+    weight = shared.groupBy("key").agg(F.sum("n").alias("weight"))
+    shared = cut(shared.join(weight, "key").select("key", "bucket", "weight"), "weighed")
     roots = spark.createDataFrame([], "key bigint, root bigint")
 
     def rooted(rows: DataFrame) -> DataFrame:
         return rows.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
 
-    def star(rows: DataFrame) -> DataFrame:
-        centre = (rows.groupBy("bucket").agg(
-            F.min_by(F.struct("key", "root"), F.xxhash64("key", "bucket")).alias("c"),
-            F.count(F.lit(1)).alias("n")).filter("n > 1"))
-        return (rows.join(centre, "bucket").filter(F.col("root") != F.col("c.root"))
-                .select(F.least("key", "c.key").alias("a"), F.greatest("key", "c.key").alias("b")))
-
-    first = rooted(buckets.filter(F.col("band") < LEAD_BANDS))
-    roots = _relabel(roots, _linked(docs, texts, star(first), threshold))
-    roots = _relabel(roots, _linked(docs, texts, star(rooted(buckets)), threshold))
-    rows = rooted(buckets)
+    def star(rank: Column) -> DataFrame:
+        rows = rooted(shared)
+        centre = rows.groupBy("bucket").agg(F.max_by("key", rank).alias("c"),
+                                            F.min("root").alias("lo"), F.max("root").alias("hi"))
+        return (rows.join(centre.filter("lo != hi"), "bucket").filter("key != c")
+                .select(F.least("key", "c").alias("a"), F.greatest("key", "c").alias("b")))
+
+    roots = _relabel(roots, _linked(docs, texts, star(F.col("weight")), threshold))
+    roots = _relabel(roots, _linked(
+        docs, texts, _apart(star(F.xxhash64("key", "bucket")), roots), threshold))
+    rows = rooted(shared)
     mixed = (rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
              .filter("lo != hi").select("bucket"))
     open_rows = cut(rows.join(mixed, "bucket", "left_semi").select("bucket", "key", "root"), "open")
