@@ -132,24 +132,49 @@ def _(t):
     return progress.provenance(records, job_rows, workload_rows, "l_partkey").drop("job_id")
 
 
-@query("jn8_workflow_assemble", """
-SELECT conv_id AS id, 0 AS part, string_agg(turn || ':' || role || '<' || CASE WHEN turn > 0 THEN
-  CAST(conv_id * 1000 + turn - 1 AS VARCHAR) ELSE '' END, ' ' ORDER BY turn) AS steps
-FROM conversations GROUP BY conv_id""")
-def _(t):
+def _workflows(t, position):
+    """Conversations as workflows; each turn is a step."""
     turns = t["conversations"]
     number = F.col("conv_id") * 1000 + F.col("turn")
     steps = turns.select(number.alias("id"), F.col("conv_id").alias("workflow_id"),
                          number.alias("job_id"), F.col("role").alias("name"),
-                         F.col("turn").alias("position"))
+                         F.col("turn").alias(position))
     edges = turns.filter(F.col("turn") > 0).select(
         number.alias("step_id"), (number - 1).alias("depends_on_step_id"))
-    flows = turns.select(F.col("conv_id").alias("id")).distinct()
+    return turns.select(F.col("conv_id").alias("id")).distinct(), steps, edges
+
+
+@query("jn8_workflow_assemble", """
+SELECT conv_id AS id, string_agg(turn || ':' || role || '<' || CASE WHEN turn > 0 THEN
+  CAST(conv_id * 1000 + turn - 1 AS VARCHAR) ELSE '' END, ' ' ORDER BY turn) AS steps
+FROM conversations GROUP BY conv_id""")
+def _(t):
     text = F.transform("steps", lambda s: F.concat(
         s["position"].cast("string"), F.lit(":"), s["name"], F.lit("<"),
         F.array_join(s["depends_on"].cast("array<string>"), ",")))
-    return workflows.workflow_assemble(flows, steps, edges).select(
-        "id", "part", F.array_join(text, " ").alias("steps"))
+    return workflows.workflow_documents(*_workflows(t, "position")).select(
+        "id", F.array_join(text, " ").alias("steps"))
+
+
+@query("jn8_workflow_steps", """
+SELECT o_orderkey % 5 AS workflow_id, o_orderkey AS step_id, o_orderstatus AS name,
+  o_orderkey % 4 AS dependencies FROM orders""")
+def _(t):
+    # Five workflows hold all orders; an order depends on up to three before it.
+    key = F.col("o_orderkey")
+    steps = t["orders"].select(key.alias("id"), (key % 5).alias("workflow_id"),
+                               key.alias("job_id"), F.col("o_orderstatus").alias("name"),
+                               key.alias("position"))
+    edges = (t["orders"].filter(key % 4 > 0)
+             .select(key.alias("step_id"), F.explode(F.sequence(F.lit(1).cast("bigint"), key % 4))
+                     .alias("back"))
+             .select("step_id", (F.col("step_id") - F.col("back")).alias("depends_on_step_id")))
+    flows = steps.select(F.col("workflow_id").alias("id")).distinct()
+    counted = workflows.step_dependencies(flows, steps, edges).groupBy("step_id").agg(
+        F.count(F.lit(1)).alias("dependencies"))
+    return (workflows.workflow_steps(flows, steps).join(counted, "step_id", "left")
+            .select("workflow_id", "step_id", "name",
+                    F.coalesce("dependencies", F.lit(0).cast("bigint")).alias("dependencies")))
 
 
 @query("jn9_due_retry_recheck", f"""

@@ -64,7 +64,8 @@ UNION ALL SELECT 'd' || doc_id,
 def _(t):
     files = _files(t["pages"], F.col("page_id"), F.col("html")).unionByName(
         _files(t["documents"], F.concat(F.lit("d"), "doc_id"), F.col("text")))
-    return csv.csv_file_admission(files).select("submission_id", "file_reason")
+    return csv.csv_file_admission(files, csv.MAX_FILE_BYTES, csv.MAX_DATA_ROWS).select(
+        "submission_id", "file_reason")
 
 
 LINES = """(SELECT doc_id, unnest(string_split(replace(replace(text, '"', ''), ' ', ','), chr(10)))
@@ -184,7 +185,7 @@ lines AS (SELECT submission_id, line_num, count(*) AS width, min(pos) AS pos,
 shape AS (SELECT submission_id, count(*) AS lines, max(width) AS widest FROM lines GROUP BY ALL),
 placed AS (SELECT l.*, row_number() OVER image - 1 AS row_index,
     first_value(width) OVER image AS header_width
-  FROM lines l JOIN shape USING (submission_id) WHERE lines >= 2 AND widest >= 2 AND lines <= 201
+  FROM lines l JOIN shape USING (submission_id) WHERE lines >= 2 AND widest >= 2
   WINDOW image AS (PARTITION BY submission_id ORDER BY pos))"""
 
 
@@ -210,7 +211,7 @@ def _(t):
     words = t.shape(shapes.SPARK_WORDS)
     lines = ocr.table_lines(words, ocr.image_figures(words))
     listed = t["documents"].select(F.col("doc_id").cast("string").alias("submission_id"))
-    return ocr.ocr_table_checks(lines, listed).drop("lines")
+    return ocr.ocr_table_checks(lines, listed, ocr.MAX_TABLE_ROWS).drop("lines")
 
 
 @query("src11_ocr_confidence", f"""
@@ -266,13 +267,44 @@ def _(t):
 
 
 @query("src14_table_scan", """
-SELECT p_brand, count(*) AS parts, max(p_size) AS largest FROM part WHERE p_size > 10 GROUP BY 1""")
+SELECT p_brand, count(*) AS parts, max(p_size) AS largest FROM part GROUP BY 1""")
 def _(t):
     part = tables.scan(t.spark, f"{t.folder}/part.parquet")
-    return (part.filter(F.col("p_size") > 10).groupBy("p_brand")
+    return (part.groupBy("p_brand")
             .agg(F.count(F.lit(1)).alias("parts"), F.max("p_size").alias("largest")))
 
 
+def _lines_as_csv(t):
+    """All order lines as a few CSV files of any length."""
+    path = fresh_path(t.spark, "lines")
+    (t["lineitem"].select("l_orderkey", "l_linenumber", "l_returnflag").coalesce(4)
+     .write.option("header", True).csv(path))
+    return path
+
+
+@query("src1_csv_unlimited", """
+SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_linenumber AS VARCHAR) AS l_linenumber,
+  l_returnflag, count(*) AS rows, 0 AS refused FROM lineitem GROUP BY 1, 2, 3""")
+def _(t):
+    found = extract(t.spark, "csv", _lines_as_csv(t))
+    value = lambda k: F.element_at("fields", k).alias(k)
+    keys = ["l_orderkey", "l_linenumber", "l_returnflag"]
+    refused = found.refused.agg(F.count(F.lit(1)).alias("refused"))
+    rows = found.records.select(*[value(k) for k in keys]).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("rows"))
+    return rows.withColumn("refused", refused.scalar())
+
+
+@query("src2_csv_limited", """
+SELECT 'CSV contains more than 10 data rows (including header)' AS reason, count(*) > 0 AS refused,
+  0 AS rows FROM lineitem""")
+def _(t):
+    found = extract(t.spark, "csv", _lines_as_csv(t), max_rows=10)
+    rows = found.records.agg(F.count(F.lit(1)).alias("rows"))
+    return found.refused.groupBy("reason").agg((F.count(F.lit(1)) > 0).alias("refused")).withColumn(
+        "rows", rows.scalar())
+
+
 @query("udf4_extractor_registry", """
 SELECT p_name, p_brand, count(*) AS rows FROM part GROUP BY 1, 2""")
 def _(t):

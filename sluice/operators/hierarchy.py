@@ -10,13 +10,14 @@ from sluice.operators.skew import lookup
 
 # A chain may name at most this many ancestors above the direct parent.
 MAX_DEPTH = 64
-# Ancestors worth remembering: one more than the last one that may be looked at.
-PATH_LIMIT = MAX_DEPTH + 2
-# Up to this many rows a round joins directly, whatever their keys.
-PLAIN_JOIN_ROWS = 1_000_000
 
 
-def ancestor_paths(tree: DataFrame, limit: int = PATH_LIMIT) -> DataFrame:
+def path_limit(max_depth: int) -> int:
+    """Ancestors worth remembering: one more than the last one that may be looked at."""
+    return max_depth + 2
+
+
+def ancestor_paths(tree: DataFrame, limit: int = path_limit(MAX_DEPTH)) -> DataFrame:
     """Ancestors of every slug, nearest first, by path doubling.
 
     ``tree`` has unique ``slug`` and ``parent_slug``.  Adds ``path`` (at most
@@ -54,17 +55,13 @@ def _doubled_paths(tree: DataFrame, limit: int) -> DataFrame:
     while span < limit:
         growing = F.col("ended").isNull() & (F.size("path") < limit)
         still_open = known.filter(growing)
-        open_rows = still_open.count()
-        if open_rows == 0:
+        if still_open.isEmpty():
             break
         tails = known.select(F.col("slug").alias("_tip"), F.col("path").alias("_more"),
                              F.col("ended").alias("_then"), F.lit(True).alias("_here"))
         tipped = still_open.withColumn("_tip", F.element_at("path", -1))
-        # Few rows cannot make one task slow; many may share an ancestor.
-        if open_rows <= PLAIN_JOIN_ROWS:
-            grown = tipped.join(tails, "_tip", "left")
-        else:
-            grown = lookup(tipped, tails, ["_tip"], spread=["slug"])
+        # Many rows may share an ancestor.
+        grown = lookup(tipped, tails, ["_tip"], spread=["slug"])
         longer = F.slice(F.concat("path", F.coalesce(
             F.col("_more"), F.array().cast("array<string>"))), 1, limit)
         cut_short = F.size("path") + F.coalesce(F.size("_more"), F.lit(0)) > limit
@@ -110,13 +107,14 @@ def _judged(paths: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
 VERDICT = ("slug", "parent_slug", "outcome", "culprit", "depth")
 
 
-def parent_chain_check(tree: DataFrame) -> DataFrame:
+def parent_chain_check(tree: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """Verdict per category: ``ok``, ``missing``, ``cycle`` or ``too_deep``.
 
     ``culprit`` is the ancestor the verdict is about; ``depth`` the number of
-    ancestors of a chain that reaches a root.
+    ancestors of a chain that reaches a root.  ``max_depth`` ancestors above the
+    direct parent are allowed; the service's own rule is the default.
     """
-    return _judged(ancestor_paths(tree)).select(*VERDICT)
+    return _judged(ancestor_paths(tree, path_limit(max_depth)), max_depth).select(*VERDICT)
 
 
 def outcome_message(outcome: Column, culprit: Column) -> Column:
@@ -139,7 +137,8 @@ def parent_in_submission(accepted: DataFrame) -> DataFrame:
             .drop("_present"))
 
 
-def hierarchy_resolve(stored: DataFrame, accepted: DataFrame) -> DataFrame:
+def hierarchy_resolve(stored: DataFrame, accepted: DataFrame,
+                      max_depth: int = MAX_DEPTH) -> DataFrame:
     """Which accepted categories land, whatever the order they are applied in.
 
     ``stored`` and ``accepted`` have unique ``slug`` and ``parent_slug``.  An
@@ -152,7 +151,7 @@ def hierarchy_resolve(stored: DataFrame, accepted: DataFrame) -> DataFrame:
     settled = []
     while True:
         tree = live.unionByName(stored.join(live.select("slug"), "slug", "left_anti"))
-        judged = _judged(ancestor_paths(tree)).join(live.select("slug"), "slug", "left_semi")
+        judged = _judged(ancestor_paths(tree, path_limit(max_depth)), max_depth).join(live.select("slug"), "slug", "left_semi")
         verdicts = cut(judged.select(*VERDICT, "path"), "verdicts")
         replaced = verdicts.filter(F.col("outcome") != "ok").join(
             stored.select("slug"), "slug", "left_semi")

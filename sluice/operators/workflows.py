@@ -1,4 +1,9 @@
-"""Workflow read models: steps in order, each with the steps it depends on."""
+"""Workflow read models: steps in order and the steps they depend on.
+
+Both are flat rows, so a workflow may have any number of steps and a step any
+number of dependencies.  The nested document is built for the workflows of one
+page only.
+"""
 
 from __future__ import annotations
 
@@ -7,43 +12,40 @@ from pyspark.sql import functions as F
 
 from sluice.operators.skew import lookup
 
-# Longest array built for one row; longer ones continue in the next part.
-PART = 1000
+
+def workflow_steps(workflows: DataFrame, steps: DataFrame) -> DataFrame:
+    """One row per step of the wanted workflows.
+
+    ``steps`` is (id, workflow_id, job_id, name, position).
+    """
+    wanted = workflows.select(F.col("id").alias("workflow_id"), F.lit(True).alias("_wanted"))
+    return (lookup(steps, wanted, ["workflow_id"], spread=["id"]).filter("_wanted")
+            .drop("_wanted").withColumnRenamed("id", "step_id"))
 
 
-def step_dependencies(steps: DataFrame, edges: DataFrame) -> DataFrame:
-    """Each step with its dependencies, in parts of about ``PART`` entries.
+def step_dependencies(workflows: DataFrame, steps: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row per dependency of a wanted workflow's step, with the step's place.
 
-    ``edges`` is (step_id, depends_on_step_id) with unique pairs.  A step with
-    no dependencies has one part with an empty array.
+    ``edges`` is (step_id, depends_on_step_id) with unique pairs.
     """
-    degrees = edges.groupBy("step_id").agg(F.count(F.lit(1)).alias("_n"))
-    parts = degrees.withColumn("_parts", F.ceil(F.col("_n") / PART))
-    sized = lookup(edges, parts, ["step_id"], spread=["depends_on_step_id"])
-    part = F.pmod(F.xxhash64("depends_on_step_id"), F.col("_parts"))
-    grouped = (sized.groupBy("step_id", part.cast("bigint").alias("dependency_part"))
-               .agg(F.array_sort(F.collect_list("depends_on_step_id")).alias("depends_on")))
-    # One row per (step, part); a step's rows are few.
-    joined = steps.withColumnRenamed("id", "step_id").join(grouped, "step_id", "left")
-    empty = F.array().cast(grouped.schema["depends_on"].dataType)
-    return (joined.withColumn("depends_on", F.coalesce("depends_on", empty))
-            .fillna(0, ["dependency_part"]))
-
-
-def workflow_assemble(workflows: DataFrame, steps: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nested read model: one row per workflow and block of ``PART`` positions.
-
-    ``steps`` is (id, workflow_id, job_id, name, position) with dense positions.
-    Workflows of up to ``PART`` steps come as one row, longer ones as several.
+    places = workflow_steps(workflows, steps).select("step_id", "workflow_id", "position")
+    found = lookup(edges, places, ["step_id"], spread=["depends_on_step_id"])
+    return found.filter(F.col("workflow_id").isNotNull())
+
+
+def workflow_documents(page: DataFrame, steps: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nested read model of the workflows of one page: id and ``steps`` by position.
+
+    ``page`` holds the few workflows that are shown; each document is one row,
+    as large as its workflow.
     """
-    wanted = steps.join(workflows.select(F.col("id").alias("workflow_id")), "workflow_id",
-                        "left_semi")
-    detailed = step_dependencies(wanted, edges)
-    entry = F.struct("position", "dependency_part", "step_id", "name", "job_id", "depends_on")
-    block = F.floor(F.col("position") / PART).cast("bigint")
-    nested = (detailed.groupBy("workflow_id", block.alias("part"))
-              .agg(F.array_sort(F.collect_list(entry)).alias("steps"))
-              .withColumnRenamed("workflow_id", "id"))
-    empty = F.array().cast(nested.schema["steps"].dataType)
-    return (workflows.join(nested, "id", "left")
-            .withColumn("steps", F.coalesce("steps", empty)).fillna(0, ["part"]))
+    depends = step_dependencies(page, steps, edges).groupBy("step_id").agg(
+        F.array_sort(F.collect_list("depends_on_step_id")).alias("depends_on"))
+    detailed = workflow_steps(page, steps).join(depends, "step_id", "left")
+    empty = F.array().cast(depends.schema["depends_on"].dataType)
+    entry = F.struct("position", "step_id", "name", "job_id",
+                     F.coalesce("depends_on", empty).alias("depends_on"))
+    nested = detailed.groupBy(F.col("workflow_id").alias("id")).agg(
+        F.array_sort(F.collect_list(entry)).alias("steps"))
+    none = F.array().cast(nested.schema["steps"].dataType)
+    return page.join(nested, "id", "left").withColumn("steps", F.coalesce("steps", none))

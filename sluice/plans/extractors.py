@@ -1,7 +1,7 @@
 """Source types and the reader that turns each into records.
 
 ``register_extractor`` adds a reader for a new source type.  A reader takes a
-session and a path and returns an ``Extraction``.
+session, a path and its own optional limits and returns an ``Extraction``.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ class Extraction:
     notes: DataFrame | None = None
 
 
-Extractor = Callable[[SparkSession, str], Extraction]
+Extractor = Callable[..., Extraction]
 _EXTRACTORS: dict[str, Extractor] = {}
 
 
@@ -36,19 +36,22 @@ def register_extractor(source_type: str, extractor: Extractor) -> None:
     _EXTRACTORS[source_type] = extractor
 
 
-def extract(spark: SparkSession, source_type: str, path: str) -> Extraction:
+def extract(spark: SparkSession, source_type: str, path: str, **limits: int) -> Extraction:
+    """Read ``path``; ``limits`` (none by default) go to the source's reader."""
     if source_type not in _EXTRACTORS:
         raise KeyError(f"source '{source_type}' is not yet supported")
-    return _EXTRACTORS[source_type](spark, path)
+    return _EXTRACTORS[source_type](spark, path, **limits)
 
 
-def _csv(spark: SparkSession, path: str) -> Extraction:
-    return Extraction(*csv.extract_csv(csv.read_files(spark, path)))
+def _csv(spark: SparkSession, path: str, max_bytes: int | None = None,
+         max_rows: int | None = None) -> Extraction:
+    files = csv.read_files(spark, path, max_bytes)
+    return Extraction(*csv.extract_csv(files, max_bytes=max_bytes, max_rows=max_rows))
 
 
-def _words(spark: SparkSession, path: str) -> Extraction:
+def _words(spark: SparkSession, path: str, max_rows: int | None = None) -> Extraction:
     files = ocr.read_word_files(spark, path)
-    return Extraction(*ocr.extract_ocr(ocr.ocr_word_scan(files), files))
+    return Extraction(*ocr.extract_ocr(ocr.ocr_word_scan(files), files, max_rows))
 
 
 register_extractor("csv", _csv)

@@ -58,9 +58,10 @@ def confirm(records: DataFrame, target: Target, now: Column) -> Confirmed:
     return _fan_out(deduped, target, now)
 
 
-def direct_import(files: DataFrame, now: Column) -> tuple[Confirmed, DataFrame]:
+def direct_import(files: DataFrame, now: Column, max_bytes: int | None = None,
+                  max_rows: int | None = None) -> tuple[Confirmed, DataFrame]:
     """Strict users CSV straight to jobs; also returns the refused files."""
-    records, refused = extract_csv(files, strict_users=True)
+    records, refused = extract_csv(files, True, max_bytes, max_rows)
     checked = validate.annotate(align_exact(records, USERS), USERS)
     deduped = dedupe.keep_first_naming_row(checked, USERS.key)
     return _fan_out(deduped, USERS, now), refused

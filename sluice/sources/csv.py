@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from sluice.operators.barrier import compute_once
 
+# The service's own limits.  Nothing applies them unless a caller asks for limits.
 MAX_FILE_BYTES = 2 * 1024 * 1024
 MAX_DATA_ROWS = 1000
-MAX_REPORTED = 200
 
 # One field: quoted (doubled quotes inside, text after the closing quote is
 # appended) or plain.  Possessive, so long fields need no backtracking.
@@ -28,15 +28,17 @@ SPLIT = rf'\G({FIELD})(,|\z)'
 UNTERMINATED = rf'^(?:{FIELD},)*+"[^"]*+(?:""[^"]*+)*+\z'
 
 
-def read_files(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+def read_files(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
     """Whole files as ``(submission_id, content, length)``.
 
-    Files over ``max_bytes`` are listed without reading them (the length test
-    reaches the scan).  Spark's scan passes over files of zero bytes, so those
-    give no row here.
+    With a limit, files over ``max_bytes`` are listed without reading them (the
+    length test reaches the scan).  Spark's scan passes over files of zero
+    bytes, so those give no row here.
     """
     files = spark.read.format("binaryFile").load(path)
     name = F.col("path").alias("submission_id")
+    if max_bytes is None:
+        return files.select(name, "content", "length")
     read = files.filter(F.col("length") <= max_bytes).select(name, "content", "length")
     listed = files.filter(F.col("length") > max_bytes).select(
         name, F.lit(None).cast("binary").alias("content"), "length")
@@ -83,17 +85,20 @@ def tokenize_csv(files: DataFrame) -> DataFrame:
             .drop("_text", "_raw", "_used"))
 
 
-def csv_file_admission(files: DataFrame, max_bytes: int = MAX_FILE_BYTES,
-                       max_rows: int = MAX_DATA_ROWS, subject: str = "CSV input") -> DataFrame:
+def csv_file_admission(files: DataFrame, max_bytes: int | None = None,
+                       max_rows: int | None = None, subject: str = "CSV input") -> DataFrame:
     """``records`` and ``header`` per file, and ``file_reason`` when it is refused.
 
     The first rule that fails names the reason: empty, too large, not UTF-8,
     too many rows or malformed (whichever comes first in the file), no header.
+    Size and rows are only limited where the caller gives a limit.
     """
+    over = F.lit(False) if max_bytes is None else F.col("_length") > max_bytes
+    many = F.lit(False) if max_rows is None else F.size("records") > max_rows + 1
     size = F.col("length") if "length" in files.columns else F.octet_length("content")
-    length = F.coalesce(size, F.lit(0))
-    early = (F.when(length == 0, F.lit(f"{subject} is empty"))
-             .when(length > max_bytes, F.lit(f"{subject} must be <= {max_bytes} bytes"))
+    files = files.withColumn("_length", F.coalesce(size, F.lit(0)))
+    early = (F.when(F.col("_length") == 0, F.lit(f"{subject} is empty"))
+             .when(over, F.lit(f"{subject} must be <= {max_bytes} bytes"))
              .when(~F.is_valid_utf8(F.col("content").cast("string")),
                    F.lit(f"{subject} must be valid UTF-8")))
     early_checked = files.withColumn("_early", early)
@@ -101,7 +106,7 @@ def csv_file_admission(files: DataFrame, max_bytes: int = MAX_FILE_BYTES,
     readable = early_checked.withColumn(
         "content", F.when(F.col("_early").isNull(), F.col("content")))
     read = tokenize_csv(readable)
-    late = (F.when(F.size("records") > max_rows + 1,
+    late = (F.when(many,
                    F.lit(f"CSV contains more than {max_rows} data rows (including header)"))
             .when(F.col("stopped").rlike(UNTERMINATED),
                   F.lit("malformed CSV: unterminated quoted field"))
@@ -109,7 +114,7 @@ def csv_file_admission(files: DataFrame, max_bytes: int = MAX_FILE_BYTES,
                   F.lit("malformed CSV: unexpected '\"' inside an unquoted field"))
             .when(F.size("records") == 0,
                   F.lit(f"{subject} must contain a header row")))
-    keep = [c for c in files.columns if c not in ("content", "length")]
+    keep = [c for c in files.columns if c not in ("content", "length", "_length")]
     judged = compute_once(read, keep, {"records": F.col("records"),
                                        "file_reason": F.coalesce("_early", late)})
     first = F.when(F.col("file_reason").isNull(), split_record(F.element_at("records", 1)))
@@ -182,13 +187,14 @@ def row_to_record(rows: DataFrame) -> DataFrame:
     return compute_once(rows, keep, {"fields": record})
 
 
-def extract_csv(files: DataFrame, strict_users: bool = False) -> tuple[DataFrame, DataFrame]:
+def extract_csv(files: DataFrame, strict_users: bool = False, max_bytes: int | None = None,
+                max_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Records of admitted files, and the refused files with their reason.
 
     Records: submission_id, row_index, fields (map, NULL on wrong arity), reason.
     """
     subject = "CSV file" if strict_users else "CSV input"
-    admitted = csv_file_admission(files, subject=subject)
+    admitted = csv_file_admission(files, max_bytes, max_rows, subject)
     checked = header_users_strict(admitted) if strict_users else header_duplicates(admitted)
     records = row_to_record(row_arity_check(data_rows(checked)))
     refused = (checked.filter(F.col("file_reason").isNotNull())

@@ -9,6 +9,7 @@ from sluice import functions as fn
 from sluice.operators.barrier import compute_once
 from sluice.plans.targets import TARGETS
 
+# The service's own limits.  Nothing applies them unless a caller asks for limits.
 MAX_RECORDS = 1000
 MAX_ITEMS = 1000
 MAX_ITEM_BYTES = 64 * 1024
@@ -29,12 +30,14 @@ def _member(body: Column, key: str) -> Column:
     return F.try_variant_get(body, f"$.{key}", "variant")
 
 
-def json_records(bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
+def json_records(bodies: DataFrame, max_records: int | None = None
+                 ) -> tuple[DataFrame, DataFrame]:
     """Records of each body, and the refused bodies with their reason.
 
     A body is an object with ``target`` and a non-empty array ``records`` of
-    flat objects whose values are all strings.
+    flat objects whose values are all strings, at most ``max_records`` if given.
     """
+    many = F.lit(False) if max_records is None else F.size("_items") > max_records
     parsed = bodies.select("submission_id", F.try_parse_json("body").alias("_body"))
     opened = parsed.select(
         "submission_id", "_body", _member(F.col("_body"), "target").alias("_target"),
@@ -61,8 +64,7 @@ def json_records(bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(F.size("_wrong") > 0, F.concat(
             F.lit("each record field must be a string (field '"),
             F.try_element_at("_wrong", F.lit(1)), F.lit("' is not)")))
-        .when(F.size("_items") > MAX_RECORDS,
-              F.lit(f"at most {MAX_RECORDS} records may be confirmed at once")))
+        .when(many, F.lit(f"at most {max_records} records may be confirmed at once")))
     judged = compute_once(checked, ["submission_id"], {
         "target": target_text, "_records": F.col("_records"), "reason": reason})
     good = judged.filter(F.col("reason").isNull()).select(
@@ -75,11 +77,19 @@ def json_records(bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
     return records, refused
 
 
-def json_items(bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
+def json_items(bodies: DataFrame, max_items: int | None = None,
+               max_item_bytes: int | None = None, max_type_bytes: int | None = None
+               ) -> tuple[DataFrame, DataFrame]:
     """Items of each workload request, and the refused requests.
 
-    Text items are payloads as they are; any other JSON is written out.
+    Text items are payloads as they are; any other JSON is written out.  Each
+    limit applies if it is given.
     """
+    never = F.lit(False)
+    long_type = never if max_type_bytes is None else fn.longer_than(F.col("type"), max_type_bytes)
+    many = never if max_items is None else F.size("payloads") > max_items
+    long_item = never if max_item_bytes is None else F.exists(
+        "payloads", lambda p: F.octet_length(p) > max_item_bytes)
     parsed = bodies.select("submission_id", F.try_parse_json("body").alias("_body"))
     opened = parsed.select(
         "submission_id", "_body", _member(F.col("_body"), "type").alias("_type"),
@@ -98,12 +108,10 @@ def json_items(bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(F.col("_items").isNotNull() & F.col("payloads").isNull(),
               "'items' must be an array")
         .when(F.col("type") == "", "type must not be empty")
-        .when(fn.longer_than(F.col("type"), MAX_TYPE_BYTES),
-              f"type must be <= {MAX_TYPE_BYTES} characters")
-        .when(F.size("payloads") > MAX_ITEMS, f"items must contain <= {MAX_ITEMS} entries")
+        .when(long_type, f"type must be <= {max_type_bytes} characters")
+        .when(many, f"items must contain <= {max_items} entries")
         .when(F.exists("payloads", lambda p: p == ""), "every item payload must not be empty")
-        .when(F.exists("payloads", lambda p: F.octet_length(p) > MAX_ITEM_BYTES),
-              f"every item payload must be <= {MAX_ITEM_BYTES} bytes"))
+        .when(long_item, f"every item payload must be <= {max_item_bytes} bytes"))
     judged = compute_once(read, ["submission_id", "type", "payloads"], {"reason": reason})
     items = (judged.filter(F.col("reason").isNull())
              .select("submission_id", "type", F.posexplode("payloads")

@@ -6,16 +6,18 @@ writes (tab-separated, one file per image) or a DataFrame of word boxes.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice import functions as fn
 from sluice.operators.barrier import compute_once
-from sluice.operators.skew import lookup
+from sluice.operators.skew import lookup, number_rows
 from sluice.sources.csv import row_arity_check, row_to_record
 
+# The service's own limit.  Nothing applies it unless a caller asks for it.
 MAX_TABLE_ROWS = 200
-MAX_REPORTED = 50
+# Lines numbered together; an image with more is numbered by many tasks.
+LINE_BLOCK = 4096
 LOW_CONFIDENCE = 70.0
 LINE = ("block_num", "par_num", "line_num")
 
@@ -104,11 +106,12 @@ def table_lines(words: DataFrame, figures: DataFrame) -> DataFrame:
 
 
 def ocr_table_checks(lines: DataFrame, images: DataFrame | None = None,
-                     max_rows: int = MAX_TABLE_ROWS) -> DataFrame:
-    """Reason per image (NULL when it holds a table): words, structure, size.
+                     max_rows: int | None = None) -> DataFrame:
+    """Reason per image (NULL when it holds a table): words, structure, size if limited.
 
     ``images`` lists every submission, so that those without words are seen.
     """
+    many = F.lit(False) if max_rows is None else F.col("lines") - 1 > max_rows
     shape = lines.groupBy("submission_id").agg(
         F.count(F.lit(1)).alias("lines"), F.max(F.size("fields")).alias("widest"))
     if images is not None:
@@ -117,35 +120,38 @@ def ocr_table_checks(lines: DataFrame, images: DataFrame | None = None,
               .when((F.col("lines") < 2) | (F.col("widest") < 2),
                     "no table structure was detected in the image -- expected a header row "
                     "and at least one data row split across two or more columns")
-              .when(F.col("lines") - 1 > max_rows,
-                    f"image contains too many table rows (max {max_rows})"))
+              .when(many, f"image contains too many table rows (max {max_rows})"))
     return shape.select("submission_id", "lines", reason.alias("file_reason"))
 
 
 def ocr_table_rebuild(lines: DataFrame, checks: DataFrame) -> DataFrame:
     """Data rows of the admitted images with header, row index and arity reason.
 
-    After the checks an image has at most ``MAX_TABLE_ROWS`` + 1 lines, so the
-    per-image numbering works on small groups.
+    Lines are numbered block by block of their first word's position, so an
+    image may have any number of them.
     """
     passed = checks.select("submission_id", F.col("file_reason").isNull().alias("_ok"),
                            F.coalesce("lines", F.lit(0)).alias("_n"))
     admitted = lookup(lines, passed, ["submission_id"], spread=list(LINE)).filter("_ok")
-    reading = Window.partitionBy("submission_id").orderBy("first_pos")
-    placed = (admitted.drop("_ok").withColumn("row_index", F.row_number().over(reading) - 1)
-              .withColumn("header", F.first("fields").over(reading)))
+    block = F.floor(F.col("first_pos") / LINE_BLOCK)
+    numbered = number_rows(admitted.drop("_ok"), ["submission_id"], block, [F.col("first_pos")],
+                           "_number")
+    headers = numbered.filter(F.col("_number") == 1).select(
+        "submission_id", F.col("fields").alias("header"))
+    placed = (lookup(numbered, headers, ["submission_id"], spread=list(LINE))
+              .withColumn("row_index", F.col("_number") - 1).drop("_number"))
     rows = placed.filter(F.col("row_index") > 0).select(
         "submission_id", F.col("row_index").cast("bigint").alias("row_index"), "header",
         "fields")
     return row_arity_check(rows, noun="columns")
 
 
-def extract_ocr(words: DataFrame, images: DataFrame | None = None
-                ) -> tuple[DataFrame, DataFrame, DataFrame]:
+def extract_ocr(words: DataFrame, images: DataFrame | None = None,
+                max_rows: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Records, refused images, and per-image confidence and warning."""
     figures = image_figures(words)
     lines = table_lines(words, figures)
-    checks = ocr_table_checks(lines, images)
+    checks = ocr_table_checks(lines, images, max_rows)
     records = row_to_record(ocr_table_rebuild(lines, checks))
     refused = checks.filter(F.col("file_reason").isNotNull()).select(
         "submission_id", F.col("file_reason").alias("reason"))

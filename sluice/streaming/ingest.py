@@ -50,10 +50,11 @@ def apply_records(annotated: DataFrame, target: Target, root: str, batch_id: int
 
 
 def start_ingest(files: DataFrame, target: Target, root: str, checkpoint: str,
+                 max_bytes: int | None = None, max_rows: int | None = None,
                  **trigger) -> StreamingQuery:
     """Run files through extraction, alignment, validation and the change log."""
     def each(batch: DataFrame, batch_id: int) -> None:
-        records, refused = extract_csv(batch)
+        records, refused = extract_csv(batch, max_bytes=max_bytes, max_rows=max_rows)
         checked = validate.annotate(align_maps(records, target), target)
         apply_records(dedupe.keep_first(checked, target.key), target, root, batch_id)
         append_changes(refused, f"{root}/refused", batch_id)

@@ -81,8 +81,9 @@ def test_long_quoted_fields_and_wide_rows(spark):
     assert len(got[1].rows[0]) == 5000
 
 
-def reason_of(spark, content, strict=True):
-    _, refused = source.extract_csv(frame(spark, [content]), strict_users=strict)
+def reason_of(spark, content, strict=True, limited=True):
+    limits = (source.MAX_FILE_BYTES, source.MAX_DATA_ROWS) if limited else ()
+    _, refused = source.extract_csv(frame(spark, [content]), strict, *limits)
     rows = refused.collect()
     return rows[0].reason if rows else None
 
@@ -113,6 +114,8 @@ def test_limits_are_inclusive(spark):
     # The row limit is met before the quote error that follows it, not after.
     assert reason_of(spark, body(1001) + 'x"y,z') == many
     assert reason_of(spark, body(500) + 'x"y,z\n' + body(900)).startswith("malformed")
+    assert reason_of(spark, body(1001), limited=False) is None
+    assert reason_of(spark, body(1001) + 'x"y,z', limited=False).startswith("malformed")
     size = source.MAX_FILE_BYTES
     assert reason_of(spark, "name,email\n" + "x" * (size - 11)) is None
     assert reason_of(spark, "name,email\n" + "x" * (size - 10)) == (
@@ -171,8 +174,9 @@ def test_bulk_rows_are_numbered_in_file_order(spark, tmp_path):
 def test_large_files_are_listed_but_not_read(spark, tmp_path):
     (tmp_path / "a.csv").write_text("name,email\nAnn,ann@x.co\n")
     (tmp_path / "b.csv").write_text("name,email\n" + "x" * source.MAX_FILE_BYTES)
-    files = source.read_files(spark, str(tmp_path))
+    assert source.read_files(spark, str(tmp_path)).filter("content IS NULL").count() == 0
+    files = source.read_files(spark, str(tmp_path), source.MAX_FILE_BYTES)
     assert "LessThanOrEqual(length,2097152)" in files._jdf.queryExecution().toString()
-    records, refused = source.extract_csv(files, strict_users=True)
+    records, refused = source.extract_csv(files, True, source.MAX_FILE_BYTES)
     assert records.count() == 1
     assert [r.reason for r in refused.collect()] == ["CSV file must be <= 2097152 bytes"]

@@ -56,8 +56,14 @@ def test_depth_limit_and_long_cycles(spark):
     assert got["r0"] == ("cycle", "r0", None) and got["b0"][0] == "too_deep"
 
 
-def test_many_rows_use_the_spread_join(spark, monkeypatch):
-    monkeypatch.setattr(hierarchy, "PLAIN_JOIN_ROWS", 0)
+def test_depth_is_a_parameter(spark):
+    tree = {"r": None} | {f"d{i}": f"d{i - 1}" if i else "r" for i in range(8)}
+    frame = spark.createDataFrame(list(tree.items()), SCHEMA)
+    got = verdicts(hierarchy.parent_chain_check(frame, max_depth=3))
+    assert got["d3"] == ("ok", None, 4) and got["d4"][0] == "too_deep"
+
+
+def test_many_rows_share_an_ancestor(spark):
     tree = {"root": None, "hot": "root", "deep": "hot"} | {
         f"x{i}": rng for i, rng in enumerate(["hot", "deep", "gone"] * 100)} | {
         f"y{i}": f"x{i}" for i in range(300)}

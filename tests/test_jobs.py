@@ -223,21 +223,19 @@ def test_quality_report(spark):
     assert [r.ref for r in quality.unknown_values(rows, "ref", ["a"]).collect()] == ["b"]
 
 
-def test_workflow_parts(spark, monkeypatch):
-    monkeypatch.setattr(workflows, "PART", 4)
-    steps = [(w * 100 + p, w, 7, f"s{p}", p) for w, n in ((1, 3), (2, 10)) for p in range(n)]
-    edges = [(200 + 9, 200 + p) for p in range(9)] + [(101, 100)]
+def test_workflows_of_any_size(spark):
+    steps = [(w * 10_000 + p, w, 7, f"s{p}", p) for w, n in ((1, 3), (2, 2500)) for p in range(n)]
+    edges = [(20_000 + 2499, 20_000 + p) for p in range(2400)] + [(10_001, 10_000)]
     flows = spark.createDataFrame([(1,), (2,), (3,)], "id int")
-    got = workflows.workflow_assemble(
-        flows, spark.createDataFrame(steps, "id int, workflow_id int, job_id int, name string, "
-                                            "position int"),
-        spark.createDataFrame(edges, "step_id int, depends_on_step_id int")).collect()
-    parts = {(r.id, r.part): r.steps for r in got}
-    assert sorted(parts) == [(1, 0), (2, 0), (2, 1), (2, 2), (3, 0)]
-    assert parts[3, 0] == [] and [s.position for s in parts[2, 1]] == [4, 5, 6, 7]
-    last = [s for s in parts[2, 2] if s.position == 9]
-    assert sorted(d for s in last for d in s.depends_on) == list(range(200, 209))
-    assert [s.depends_on for s in parts[1, 0]] == [[], [100], []]
+    steps = spark.createDataFrame(steps, "id int, workflow_id int, job_id int, name string, "
+                                         "position int")
+    edges = spark.createDataFrame(edges, "step_id int, depends_on_step_id int")
+    got = {r.id: r.steps for r in workflows.workflow_documents(flows, steps, edges).collect()}
+    assert got[3] == [] and [s.position for s in got[2]] == list(range(2500))
+    assert got[2][-1].depends_on == list(range(20_000, 22_400))
+    assert [s.depends_on for s in got[1]] == [[], [10_000], []]
+    assert workflows.workflow_steps(flows.filter("id = 2"), steps).count() == 2500
+    assert workflows.step_dependencies(flows.filter("id = 1"), steps, edges).count() == 1
 
 
 def job_rows(spark, kind, payloads):

@@ -47,7 +47,7 @@ def extract(spark, words, listed=None):
     frame = spark.createDataFrame(words, WORD).repartition(3)
     images_seen = None if listed is None else spark.createDataFrame(
         [(i,) for i in listed], "submission_id string")
-    records, refused, notes = ocr.extract_ocr(frame, images_seen)
+    records, refused, notes = ocr.extract_ocr(frame, images_seen, ocr.MAX_TABLE_ROWS)
     rows = {(r.submission_id, r.row_index): r for r in records.collect()}
     return rows, {r.submission_id: r.reason for r in refused.collect()}, {
         r.submission_id: r for r in notes.collect()}
@@ -129,7 +129,10 @@ def test_record_bodies(spark):
         {"target": "users", "records": [1]}, {"target": "users", "records": [{"a": "x", "b": 1}]},
         {"target": "users", "records": [{"a": None}]}, {"target": "users", "records": "x"},
         {"target": "users", "records": [{"a": "1"}] * 1001},
-        {"target": "users", "records": [{"a": "1"}] * 1000}))
+        {"target": "users", "records": [{"a": "1"}] * 1000}), json_records.MAX_RECORDS)
+    many, none = json_records.json_records(bodies(
+        spark, {"target": "users", "records": [{"a": "1"}] * 5000}))
+    assert many.count() == 5000 and none.count() == 0
     rows = records.collect()
     assert {(r.row_index, tuple(sorted(r.fields.items()))) for r in rows
             if r.submission_id == "b0"} == {(1, (("email", "a@b.c"), ("name", "A"))), (2, ())}
@@ -150,7 +153,11 @@ def test_item_bodies(spark):
         spark, {"type": "t", "items": ["x", {"b": 1, "a": [True, None]}, 3, "1"]}, {"type": "t"},
         {"items": []}, {"type": "", "items": []}, {"type": "t" * 129}, {"type": "t", "items": 5},
         {"type": "t", "items": [""]}, {"type": "t", "items": ["x" * 65537]},
-        {"type": "t", "items": ["x"] * 1001}, "nope"))
+        {"type": "t", "items": ["x"] * 1001}, "nope"),
+        json_records.MAX_ITEMS, json_records.MAX_ITEM_BYTES, json_records.MAX_TYPE_BYTES)
+    many, none = json_records.json_items(bodies(
+        spark, {"type": "t" * 129, "items": ["x" * 65537] + ["y"] * 5000}))
+    assert many.count() == 5001 and none.count() == 0
     assert [r.payload for r in items.orderBy("row_index").collect()] == [
         "x", '{"a":[true,null],"b":1}', "3", "1"]
     assert {r.submission_id: r.reason for r in refused.collect()} == {
