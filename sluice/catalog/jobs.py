@@ -6,7 +6,7 @@ from sluice import functions as fn
 from sluice.catalog import shapes
 from sluice.catalog.base import query, sql
 from sluice.catalog.functions import LOW, SLUG, UP
-from sluice.catalog.sources import ORACLE_LINES
+from sluice.catalog.sources import ORACLE_LINES, quoted
 from sluice.operators import hierarchy, jobs, metrics, paging, progress, workflows
 from sluice.operators.skew import lookup, number_rows
 from sluice.plans.handlers import HandlerRegistry, as_result, builtin_registry, uppercase
@@ -270,14 +270,13 @@ def _(t):
 @query("win3_row_numbering", """
 SELECT CAST(doc_id AS VARCHAR) AS submission_id, row_number() OVER (PARTITION BY doc_id
   ORDER BY pos) AS row_index, md5(line) AS line FROM (SELECT doc_id,
-  unnest(string_split(replace(replace(text, '"', ''), ',', ' '), chr(10))) AS line,
+  unnest(string_split(text, chr(10))) AS line,
   generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents) WHERE line <> ''""")
 def _(t):
-    plain = F.replace(F.replace("text", F.lit('"'), F.lit("")), F.lit(","), F.lit(" "))
+    lines = F.transform(F.split("text", "\n"), quoted)
     files = t["documents"].select(
         F.col("doc_id").cast("string").alias("submission_id"),
-        F.encode(F.concat(F.lit("\r\nline\r\n\r\n"), F.replace(plain, F.lit("\n"),
-                                                           F.lit("\r\n\n"))),
+        F.encode(F.concat(F.lit("\r\nline\r\n\r\n"), F.array_join(lines, "\r\n\n")),
                  "UTF-8").alias("content"))
     rows = csv.data_rows(csv.csv_file_admission(files))
     return rows.select("submission_id", "row_index",

@@ -267,18 +267,17 @@ def _(t):
 
 
 @query("val8_confirm_duplicates", f"""{USERS_CTE}
-SELECT submission_id, row_index, 'duplicate key ''' || email ||
-  ''' in this submission -- only the first occurrence is kept' AS reason FROM ranked
-WHERE reason IS NULL AND row_index > first_row""")
+SELECT submission_id, row_index, coalesce(reason, 'duplicate key ''' || email ||
+  ''' in this submission -- only the first occurrence is kept') AS reason FROM ranked
+WHERE reason IS NOT NULL OR row_index > first_row""")
 def _(t):
     records = as_maps(t.shape(shapes.USERS), {c: c for c in USERS.columns})
-    rejects = confirm(records, USERS, F.lit("2024-02-01").cast("timestamp")).rejects
-    return rejects.filter(F.startswith("reason", F.lit("duplicate key")))
+    return confirm(records, USERS, F.lit("2024-02-01").cast("timestamp")).rejects
 
 
 @query("val9_direct_import", f"""
 WITH submission AS (SELECT doc_id, lang, source, lower(source) || '@' || lang || '.org' AS email,
-    replace(text, '"', '') AS name FROM documents),
+    text AS name FROM documents),
 judged AS (SELECT *, CASE WHEN trim(name, ' ' || chr(10)) = '' THEN '''name'' must not be blank'
   WHEN strlen(trim(name, ' ' || chr(10))) > 200 THEN '''name'' must be <= 200 characters' END AS bad
   FROM submission)
@@ -290,7 +289,7 @@ FROM judged, (SELECT unnest([1, 2, 3, 4]) AS row_index)""")
 def _(t):
     mail = F.concat("source", F.lit("@"), "lang", F.lit(".org"))
     content = F.concat(
-        F.lit('email,name\r\n'), mail, F.lit('.net,"'), F.replace("text", F.lit('"'), F.lit("")),
+        F.lit('email,name\r\n'), mail, F.lit('.net,"'), F.replace("text", F.lit('"'), F.lit('""')),
         F.lit('"\r\n\r\n'), mail, F.lit(", Ann \n"), F.upper(mail), F.lit(",Bob\nalone"))
     files = t["documents"].select(F.col("doc_id").cast("string").alias("submission_id"),
                                   F.encode(content, "UTF-8").alias("content"))
@@ -406,14 +405,16 @@ def _(t):
     return progress.ingest_summary(products_deduped(t))
 
 
-@query("agg3_ingest_invariants", "SELECT 1 AS broken WHERE false")
+@query("agg3_ingest_invariants", f"""{PRODUCTS_CTE}
+SELECT submission_id, count(*) AS total_records, count(*) FILTER (WHERE reason IS NULL)
+  AS valid_records, count(reason) AS invalid_records, count(*) FILTER (WHERE reason IS NULL)
+  AS total_items, false AS broken FROM final GROUP BY 1""")
 def _(t):
     annotated = products_deduped(t)
     accepted, _rejected = validate.split(annotated)
     items = payloads(accepted, PRODUCTS).groupBy("submission_id").agg(
         F.count(F.lit(1)).alias("total_items"))
-    return progress.ingest_invariants(progress.ingest_summary(annotated), items).select(
-        F.lit(1).alias("broken"))
+    return progress.ingest_checked(progress.ingest_summary(annotated), items)
 
 
 # -------------------------------------------------------------- sets, joins

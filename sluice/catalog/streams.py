@@ -78,7 +78,7 @@ def _(t):
 
 @query("str4_metric_stream", f"""
 SELECT name, kind, count(*) AS count, CAST(sum(value) AS BIGINT) AS sum, min(value) AS min,
-  max(value) AS max, arg_max(value, ts) AS last FROM ({sql(shapes.METRICS)}) GROUP BY 1, 2""")
+  max(value) AS max, arg_max(value, (ts, value)) AS last FROM ({sql(shapes.METRICS)}) GROUP BY 1, 2""")
 def _(t):
     root = fresh_path(t.spark, "metrics")
     samples = t.spark.sql(shapes.METRICS, events=stream(t, "events"))

@@ -74,10 +74,12 @@ def check_job_requests(requests: DataFrame) -> DataFrame:
 def check_schedulable(jobs: DataFrame, handler_types: list[str]) -> DataFrame:
     """Why a job cannot be scheduled (NULL when it can)."""
     name = F.concat(F.lit("job '"), F.col("id").cast("string"), F.lit("' "))
+    # A job without a type has the empty one.
+    job_type = F.coalesce("job_type", F.lit(""))
     reason = F.coalesce(
         F.when(fn.is_terminal(F.col("status")),
                F.concat(name, F.lit("is already in a terminal state"))),
-        F.when(F.col("job_type") == "",
+        F.when(job_type == "",
                F.concat(name, F.lit("has no job_type; cannot be scheduled for execution"))),
         F.when(~F.col("job_type").isin(*handler_types),
                F.concat(F.lit("no handler registered for job type '"), F.col("job_type"),

@@ -62,13 +62,20 @@ def reject_reasons(annotated: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("rejects")))
 
 
-def ingest_invariants(summary: DataFrame, workloads: DataFrame) -> DataFrame:
-    """Submissions that break `total = valid + rejected` or `valid = jobs`."""
+def ingest_checked(summary: DataFrame, workloads: DataFrame) -> DataFrame:
+    """The counts of every submission with its jobs, and whether they are ``broken``:
+    `total = valid + rejected` and `valid = jobs` must hold."""
     totals = workloads.select("submission_id", "total_items")
-    checked = summary.join(totals, "submission_id", "left")
-    return checked.filter(
-        (F.col("total_records") != F.col("valid_records") + F.col("invalid_records"))
-        | (F.coalesce("total_items", F.lit(0)) != F.col("valid_records")))
+    checked = summary.join(totals, "submission_id", "left").withColumn(
+        "total_items", F.coalesce("total_items", F.lit(0).cast("bigint")))
+    return checked.withColumn("broken", (
+        F.col("total_records") != F.col("valid_records") + F.col("invalid_records"))
+        | (F.col("total_items") != F.col("valid_records")))
+
+
+def ingest_invariants(summary: DataFrame, workloads: DataFrame) -> DataFrame:
+    """Submissions that break one of the rules of ``ingest_checked``."""
+    return ingest_checked(summary, workloads).filter("broken")
 
 
 def table_count(table: DataFrame) -> DataFrame:
@@ -105,6 +112,10 @@ def provenance(records: DataFrame, jobs: DataFrame, workloads: DataFrame,
     job_links = jobs.select(F.col("id").alias("job_id"), "workload_id",
                             F.col("status").alias("job_status"))
     with_job = lookup(records, job_links, ["job_id"], spread=[record_key])
-    sizes = workloads.select(F.col("id").alias("workload_id"),
+    kinds = workloads.select(F.col("id").alias("workload_id"),
                              F.col("type").alias("workload_type"))
-    return lookup(with_job, sizes, ["workload_id"], spread=[record_key])
+    # Records per workload from records per job: the first lookup is not run again.
+    per_job = records.groupBy("job_id").agg(F.count(F.lit(1)).alias("_n"))
+    weights = (job_links.join(per_job, "job_id").groupBy("workload_id")
+               .agg(F.sum("_n").alias("_n")))
+    return lookup(with_job, kinds, ["workload_id"], spread=[record_key], weights=weights)

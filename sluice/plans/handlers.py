@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice import functions as fn
+from sluice.lineage import cut
 from sluice.operators import hierarchy, validate
 from sluice.operators.skew import lookup
 from sluice.plans.targets import CATEGORIES, PRODUCTS, USERS, Target
@@ -41,7 +42,12 @@ class HandlerRegistry:
         return sorted(self._handlers)
 
     def run(self, jobs: DataFrame) -> DataFrame:
-        """Results of all jobs: each type by its handler, unknown types fail."""
+        """Results of all jobs: each type by its handler, unknown types fail.
+
+        The jobs are evaluated once, into the shared folder; each handler reads
+        its own type from there.  A job without a type has the empty one.
+        """
+        jobs = cut(jobs.withColumn("job_type", F.coalesce("job_type", F.lit(""))), "typed-jobs")
         known = F.col("job_type").isin(*self._handlers)
         result = jobs.filter(~known).select(
             "id", F.lit("failed").alias("status"), F.lit(None).cast("string").alias("output"),

@@ -69,7 +69,7 @@ def metric_totals(samples: DataFrame) -> DataFrame:
     return samples.groupBy("name", "kind").agg(
         F.count(F.lit(1)).alias("count"), F.sum("value").alias("sum"),
         F.min("value").alias("min"), F.max("value").alias("max"),
-        F.max_by("value", "ts").alias("last"))
+        F.max_by("value", F.struct("ts", "value")).alias("last"))
 
 
 def start_metric_stream(samples: DataFrame, root: str, checkpoint: str,
