@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.lineage import cut, fresh_path, shared_dir  # noqa: F401
+from sluice import lineage
 from sluice.session import tune
 
 # A word is a run of anything but ASCII white space.
@@ -28,6 +28,21 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
+# Free the shuffle files of a query as soon as it has been written.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back; its shuffles are then freed."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        return lineage.cut(df, label)
+    finally:
+        conf.set(CLEANUP, before)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{folder}/{name}.parquet")
 
