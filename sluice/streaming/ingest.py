@@ -1,17 +1,19 @@
-"""Continuous ingestion: each arriving file runs the confirm plan once."""
+"""Continuous ingestion: each arriving file is checked once and stored."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sluice.operators import dedupe, validate
+from sluice.operators import dedupe, hierarchy, validate
 from sluice.operators.align import align_maps
 from sluice.operators.jobs import fan_out_jobs
-from sluice.plans.targets import Target
+from sluice.operators.skew import lookup
+from sluice.plans.targets import CATEGORIES, Target
 from sluice.sources.csv import extract_csv
-from sluice.sources.tables import append_changes
+from sluice.sources.tables import append_changes, current_rows, read_changes
 
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
@@ -26,6 +28,33 @@ def file_stream(spark: SparkSession, folder: str, glob: str = "*.csv",
     return stream.select(F.col("path").alias("submission_id"), "content", "length")
 
 
+def stored_categories(spark: SparkSession, root: str, batch_id: int) -> DataFrame:
+    """Slug and parent of the categories that batches before ``batch_id`` left."""
+    try:
+        log = read_changes(spark, f"{root}/{CATEGORIES.name}")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "slug string, parent_slug string")
+    before = log.filter(F.col("change_seq") < batch_id)
+    version = ("change_seq", "submission_id", "row_index")
+    return current_rows(before, [CATEGORIES.key], version).select("slug", "parent_slug")
+
+
+def settle_categories(annotated: DataFrame, root: str, batch_id: int) -> DataFrame:
+    """Reject the accepted categories of a batch whose parents cannot be reached,
+    among the stored ones and the batch itself.  Of equal slugs the last one counts."""
+    accepted = annotated.filter(F.col("reason").isNull())
+    edges = (accepted.groupBy("slug").agg(F.max_by(
+        F.struct("parent_slug"), F.struct("submission_id", "row_index")).alias("_edge"))
+        .select("slug", F.col("_edge.parent_slug").alias("parent_slug")))
+    stored = stored_categories(annotated.sparkSession, root, batch_id)
+    verdicts = hierarchy.hierarchy_resolve(stored, edges).select(
+        "slug", hierarchy.outcome_message(F.col("outcome"), F.col("culprit")).alias("_tree"))
+    found = lookup(annotated, verdicts, ["slug"], spread=["submission_id", "row_index"])
+    return found.withColumn("reason", F.coalesce("reason", "_tree")).drop("_tree")
+
+
 def apply_records(annotated: DataFrame, target: Target, root: str, batch_id: int,
                   time_of_batch: str | None = None) -> None:
     """Write one micro-batch: job rows, upserted rows and rejects.
@@ -35,10 +64,14 @@ def apply_records(annotated: DataFrame, target: Target, root: str, batch_id: int
     """
     now = F.current_timestamp() if time_of_batch is None else F.lit(time_of_batch).cast(
         "timestamp")
-    # Four tables are written from the same rows; a lost block is recomputed.
-    annotated = annotated.persist()
+    # Several results are made from the same rows; a lost block is recomputed.
+    checked = annotated.persist()
     try:
+        if target is CATEGORIES:
+            annotated = settle_categories(checked, root, batch_id)
         accepted, rejects = validate.split(annotated)
+        if target is CATEGORIES:
+            accepted = hierarchy.parent_in_submission(accepted)
         workloads, jobs = fan_out_jobs(accepted, target, now)
         rows = accepted.select(*target.columns, "submission_id", "row_index",
                                now.alias("created_at"), now.alias("updated_at"))
@@ -46,7 +79,7 @@ def apply_records(annotated: DataFrame, target: Target, root: str, batch_id: int
                             ("rejects", rejects)):
             append_changes(table, f"{root}/{name}", batch_id)
     finally:
-        annotated.unpersist()
+        checked.unpersist()
 
 
 def start_ingest(files: DataFrame, target: Target, root: str, checkpoint: str,

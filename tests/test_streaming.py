@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from sluice.operators.jobs import due_retries
 from sluice.plans.submission import preview
-from sluice.plans.targets import USERS
+from sluice.plans.targets import CATEGORIES, USERS
 from sluice.sources import csv, tables
 from sluice.streaming import ingest, live
 
@@ -43,6 +43,31 @@ def test_drop_folder_equals_batch(spark, tmp_path):
     assert anna.created_at < anna.updated_at
 
 
+def test_category_parents_are_checked_per_batch(spark, tmp_path):
+    drop, root = tmp_path / "drop", str(tmp_path / "out")
+    drop.mkdir()
+
+    def land(name, *rows):
+        (drop / name).write_text("name,slug,parent_slug\n" + "".join(f"{r}\n" for r in rows))
+        files = ingest.file_stream(spark, str(drop), files_per_batch=1)
+        ingest.start_ingest(files, CATEGORIES, root, str(tmp_path / "check")).awaitTermination()
+        log = tables.read_changes(spark, f"{root}/categories")
+        found = tables.current_rows(log, ["slug"], ("change_seq", "submission_id", "row_index"))
+        return {r.slug: r.parent_slug for r in found.collect()}
+
+    # Children may come first; ghost is nowhere; b and c are each other's parent.
+    first = land("a.csv", "Leaf,leaf,mid", "Mid,mid,top", "Top,top,", "Lost,lost,ghost", "B,b,c", "C,c,b")
+    assert first == {"leaf": "mid", "mid": "top", "top": None}
+    second = land("b.csv", "Lost,lost,leaf", "Top,top,leaf", "Deep,deep,lost")
+    assert second == {"leaf": "mid", "mid": "top", "top": None, "lost": "leaf", "deep": "lost"}
+    reasons = [r.reason for r in tables.read_changes(spark, f"{root}/rejects").collect()]
+    assert sum("does not exist" in r for r in reasons) == 1 and sum("cyclic" in r for r in reasons) == 3
+    jobs = tables.read_changes(spark, f"{root}/jobs")
+    # leaf and mid came with their parents, deep with lost; lost's own parent was stored.
+    assert jobs.count() == 5
+    assert jobs.filter(F.get_json_object("payload", "$.parent_in_submission") == "true").count() == 3
+
+
 def test_replayed_batch_writes_the_same_rows(spark, tmp_path):
     rows = spark.createDataFrame([("s", 1, "A", "a@b.c", None, None), ("s", 2, "", "x", None, "bad")],
                                  "submission_id string, row_index long, name string, email string,"
