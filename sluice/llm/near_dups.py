@@ -16,7 +16,9 @@ texts enter the buckets.  Groups of near copies may hold thousands of texts:
 1. star: each text is held against the most central text of its buckets, the one that
    shares its buckets with the most texts (in a group, what the others are copies of);
 2. star again, against a random text of each bucket, for texts still in different classes;
-3. all pairs of a bucket that are still in different classes.
+3. all pairs of a bucket that are still in different classes and can be similar: what a
+   text has in common with another is at most its shingles that any other text here has,
+   and parity bits of their sets bound how much two texts differ.  Both bounds are exact.
 
 Links join classes after each step, so step 3 meets few pairs, and loses none.  Classes
 are connected components by minimum labels with pointer jumping; labels and links
@@ -45,6 +47,7 @@ from sluice.llm.common import bitmap, cut, in_bitmap, unused
 
 THRESHOLD = 0.8
 BANDS, ROWS = 20, 4
+PARITY = 512
 _UNIT = 2.0 ** -53
 
 
@@ -123,17 +126,54 @@ def _similar(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=float)
 
 
-def _linked(docs: DataFrame, texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """The candidate ``pairs`` (a, b: keys of texts) that are similar."""
-    pairs = cut(pairs.distinct(), "pairs")
-    keys = cut(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "keys")
+def _shingle_sets(docs: DataFrame, texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, shingles) of the texts in ``keys``."""
+    keys = cut(keys.distinct(), "keys")
     place = F.xxhash64("doc_id", F.xxhash64("text"))
     wanted = texts.join(keys, "key", "left_semi").select(
         F.xxhash64("place.doc", "place.h").alias("loc"))
     bits = bitmap(wanted, F.col("loc"), "bitmap")
     near = in_bitmap(docs.filter(F.col("text").isNotNull()).select("doc_id", "text"), place, bits)
     sets = near.select(F.pandas_udf(_sets, "key bigint, shingles binary")("text").alias("s"))
-    sets = cut(sets.select("s.*").join(keys, "key", "left_semi").dropDuplicates(["key"]), "sets")
+    return cut(sets.select("s.*").join(keys, "key", "left_semi").dropDuplicates(["key"]), "sets")
+
+
+def _parity(packed: pd.Series) -> pd.Series:
+    """PARITY bits: whether an odd number of shingles fall on each.  Those of two sets
+    differ in at most as many bits as the sets in shingles."""
+    out = []
+    for p in packed:
+        at = (np.frombuffer(p, np.uint64) & np.uint64(PARITY - 1)).astype(np.int64)
+        odd = (np.bincount(at, minlength=PARITY) & 1).astype(np.uint8)
+        out.append(np.packbits(odd).view(np.int64).tolist())
+    return pd.Series(out, dtype=object)
+
+
+def _most_common(sets: DataFrame) -> DataFrame:
+    """(key, size, parity, most): a text's shingles, their parity bits, and how many of them
+    any other text of ``sets`` has: no two of these texts can have more in common."""
+    def numbers(packed: pd.Series) -> pd.Series:
+        return pd.Series([np.frombuffer(p, np.int64).tolist() for p in packed], dtype=object)
+
+    rows = sets.select("key", F.explode(F.pandas_udf(numbers, "array<bigint>")("shingles"))
+                       .alias("shingle"))
+    alone = (rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("key"))
+             .filter("n = 1").groupBy("key").agg(F.count(F.lit(1)).alias("alone")))
+    size = (F.octet_length("shingles") / 8).cast("bigint")
+    parity = F.pandas_udf(_parity, "array<bigint>")("shingles")
+    return sets.select("key", size.alias("size"), parity.alias("parity")).join(
+        alone, "key", "left").select(
+        "key", "size", "parity", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("most"))
+
+
+def _linked(docs: DataFrame, texts: DataFrame, pairs: DataFrame, threshold: float,
+            sets: DataFrame | None = None) -> DataFrame:
+    """The candidate ``pairs`` (a, b: keys of texts) that are similar; ``sets`` may hold
+    their shingles already."""
+    pairs = cut(pairs.distinct(), "pairs")
+    if sets is None:
+        sets = _shingle_sets(docs, texts, pairs.select(F.col("a").alias("key")).union(
+            pairs.select("b")))
     both = (pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a")
             .join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b"))
     similar = F.pandas_udf(_similar, "double")("sa", "sb")
@@ -219,11 +259,20 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     mixed = (rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
              .filter("lo != hi").select("bucket"))
     open_rows = cut(rows.join(mixed, "bucket", "left_semi").select("bucket", "key", "root"), "open")
-    x, y = open_rows.alias("x"), open_rows.alias("y")
-    pairs = x.join(y, "bucket").filter((F.col("x.key") < F.col("y.key"))
-                                       & (F.col("x.root") != F.col("y.root"))).select(
-        F.col("x.key").alias("a"), F.col("y.key").alias("b"))
-    roots = _relabel(roots, _linked(docs, texts, pairs, threshold))
+    sets = _shingle_sets(docs, texts, open_rows.select("key"))
+    # Each text may only pair up within what it shares with others at all.
+    able = open_rows.join(_most_common(sets), "key").filter(
+        F.col("most") >= F.col("size") * threshold - 1e-9)
+    x, y = able.alias("x"), able.alias("y")
+    share = threshold / (1 + threshold)
+    differ = sum((F.bit_count(F.col("x.parity")[i].bitwiseXOR(F.col("y.parity")[i]))
+                  for i in range(PARITY // 64)), F.lit(0))
+    pairs = x.join(y, "bucket").filter(
+        (F.col("x.key") < F.col("y.key")) & (F.col("x.root") != F.col("y.root"))
+        & (F.least("x.most", "y.most") >= (F.col("x.size") + F.col("y.size")) * share - 1e-9)
+        & (differ <= (F.col("x.size") + F.col("y.size")) * (1 - 2 * share) + 1e-9)
+    ).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
+    roots = _relabel(roots, _linked(docs, texts, pairs, threshold, sets))
 
     members = rooted(texts.select("key", "place"))
     heads = members.groupBy("root").agg(F.min("place").alias("head"))
