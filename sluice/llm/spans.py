@@ -82,13 +82,14 @@ def repeated(docs: DataFrame) -> DataFrame:
     """One row per document with sentences to remove: doc, h, gone (their numbers)."""
     spans = cut(span_rows(docs), "spans")
     key = ["high", "low"]
-    twice = (spans.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("least"))
-             .filter("n > 1").drop("n"))
+    # Cut, so that the join deals out both sides anew and can split a hot span.
+    twice = cut(spans.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("least"))
+                .filter("n > 1").drop("n"), "twice")
     found = cut(spans.join(twice, key), "repeated")
     # Where a span first occurs: within the smallest doc_id, by text and position.
     own = found.filter(F.col("doc").eqNullSafe(F.col("least")))
     place = F.struct("h", "first")
-    start = own.groupBy(*key).agg(F.min(place).alias("start"))
+    start = cut(own.groupBy(*key).agg(F.min(place).alias("start")), "starts")
     late = found.join(start, key).filter(
         ~F.col("doc").eqNullSafe(F.col("least")) | (place != F.col("start")))
     covered = late.select("doc", "h", F.explode(F.sequence("first", "last")).alias("at"))
