@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,19 +29,17 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
-# Free the shuffle files of a query as soon as it has been written.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
 def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back; its shuffles are then freed."""
-    conf = df.sparkSession.conf
-    before = conf.get(CLEANUP, "false")
-    conf.set(CLEANUP, "true")
-    try:
-        return lineage.cut(df, label)
-    finally:
-        conf.set(CLEANUP, before)
+    """Write ``df`` to the shared folder and read it back; its shuffles are then freed.
+
+    Spark's cleaner deletes the shuffle files of plans that the driver has collected as
+    garbage.  A driver with a large heap may not get to that between many steps, so it
+    is asked to.
+    """
+    written = lineage.cut(df, label)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return written
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
