@@ -3,8 +3,9 @@
 A page is read as a sequence of text nodes, each under the path of open tags from the
 root.  Per path, text length and punctuation are summed over its nodes and divided by
 their number; both ratios are smoothed over the nodes in page order, fused by their
-product, and paths whose nodes reach the page's threshold are content.  The deepest
-element that holds most of that content (the article, where the page names one) is the
+product, and paths whose nodes reach the page's threshold (half of the mean over its
+text, or that of ordinary prose if less) are content.  The lowest
+block that holds all of that content (the article, where the page names one) is the
 main part, and its blocks are the text: short paragraphs and headings in it are not
 lost to the threshold.  What says by its tag, role or class that it is a menu, header,
 footer, sidebar, notice, advert, form or comment takes part in neither step.
@@ -37,6 +38,10 @@ OPAQUE = frozenset("script style noscript template iframe textarea title".split(
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label "
                    "mark q s samp small span strike strong sub sup time tt u var wbr br img "
                    "ruby rt rp".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# Blocks that hold running text; what holds an article is the box around them.
+TEXT_BLOCKS = HEADINGS | frozenset("p li dt dd ul ol dl blockquote pre table thead tbody tfoot tr "
+                                   "figure figcaption caption summary details address".split())
 BOILERPLATE_TAGS = frozenset("nav header footer aside form dialog menu".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form alert "
                               "dialog menu menubar".split())
@@ -69,7 +74,8 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。、，！？；：]")
 # Nodes smoothed over on either side, and the share of the mean that is content.
 RADIUS = 1
 THRESHOLD = 0.5
-MOST_OF = 0.6
+# 100 characters with two marks to a node are prose, however long other nodes are.
+PROSE = 300.0
 
 
 class Element:
@@ -205,12 +211,13 @@ def content_paths(found: list[tuple[Element, int, str]]) -> np.ndarray:
     fused = smooth(text_ratio) * (1.0 + smooth(mark_ratio))
     # Threshold a path by the mean of its nodes, against the mean over all text.
     by_path = np.bincount(path, fused * use) / number
-    return by_path[path] >= THRESHOLD * (fused * chars).sum() / max(chars.sum(), 1.0)
+    mean = (fused * chars).sum() / max(chars.sum(), 1.0)
+    return by_path[path] >= min(THRESHOLD * mean, PROSE)
 
 
 def main_part(elements: list[Element], found: list[tuple[Element, int, str]],
               content: np.ndarray) -> Element:
-    """The article, or else the deepest element with most of the content."""
+    """The article, or else the lowest block with all of the content."""
     for (element, _, raw), on in zip(found, content, strict=True):
         if on:
             element.chars += len(raw.strip())
@@ -221,10 +228,27 @@ def main_part(elements: list[Element], found: list[tuple[Element, int, str]],
         best = max((e for e in elements if e.tag == tag), key=lambda e: e.chars, default=None)
         if best is not None and best.chars > 0:
             return best
-    enough = MOST_OF * elements[0].chars
-    return max((e for e in elements
-                if e.chars >= enough and e.tag not in INLINE and e.tag != "p"),
-               key=lambda e: e.depth)
+    return common_part(elements, found, content)
+
+
+def common_part(elements: list[Element], found: list[tuple[Element, int, str]],
+                content: np.ndarray) -> Element:
+    """The lowest block that holds every content node, however these are shared out."""
+    for e in elements:
+        e.chars = 0.0
+    for (e, _, raw), on in zip(found, content, strict=True):
+        e.chars += bool(on and raw.strip())
+    texts = {id(e) for e, _, raw in found if raw.strip()}
+    for e in reversed(elements):
+        if e.parent is not None:
+            e.parent.chars += e.chars
+    part = max((e for e in elements if e.chars == elements[0].chars), key=lambda e: e.depth)
+    # A lone paragraph stands in its box together with headings too short for a path.
+    while part.parent is not None and (
+            part.tag in INLINE or part.tag in TEXT_BLOCKS
+            or part.tag in ("td", "th") and id(part) in texts):
+        part = part.parent
+    return part
 
 
 def main_text(html: str | None) -> str:

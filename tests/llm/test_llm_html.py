@@ -30,6 +30,25 @@ def test_without_an_article_element():
         assert html.main_text(page) == TEXT, box
 
 
+LONG = "This sentence, one of many, is here to make a paragraph of a fair length, and so on. "
+
+
+def test_articles_over_sibling_sections():
+    lead, body = f"<p>{LONG * 3}</p>", f"<p>{LONG * 4}</p><p>{LONG * 3}</p>"
+    page = (f'<body>{NOISE}<div id="content"><h1>Title</h1><div class="lead">{lead}</div>'
+            f'<div class="body">{body}</div></div>{TAIL}')
+    assert html.main_text(page) == "Title " + (LONG * 10).strip()
+
+
+def test_articles_that_are_mostly_one_block():
+    for block in (f"<ul>{f'<li>{LONG * 2}' * 9}</ul>", f"<blockquote>{LONG * 18}</blockquote>",
+                  f"<pre>{LONG * 18}</pre>", f"<ul><li>{LONG * 18}</ul>",
+                  f"<table><tr><td>{LONG * 18}</td></tr></table>"):
+        page = (f"<body>{NOISE}<div><h1>Title</h1><p>{LONG * 2}</p>{block}<p>{LONG}</p></div>"
+                f"{TAIL}")
+        assert html.main_text(page) == "Title " + (LONG * 21).strip(), block[:12]
+
+
 def test_boilerplate_inside_the_article():
     page = (f'<article><header><h2>x</h2></header>{BODY}<aside>see also</aside><div class="cookie-'
             'notice">We use cookies.</div><script>1</script><div class="share-buttons">Share</div>')
