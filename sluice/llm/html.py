@@ -4,10 +4,11 @@ A page is read as a sequence of text nodes, each under the path of open tags fro
 root.  Per path, text length and punctuation are summed over its nodes and divided by
 their number; both ratios are smoothed over the nodes in page order, fused by their
 product, and paths whose nodes reach the page's threshold (half of the mean over its
-text, or that of ordinary prose if less) are content.  The lowest
-block that holds all of that content (the article, where the page names one) is the
-main part, and its blocks are the text: short paragraphs and headings in it are not
-lost to the threshold.  What says by its tag, role or class that it is a menu, header,
+text, or that of ordinary prose if less) are content.  Content
+nodes are the text, with all that stands between them: short paragraphs and headings
+are not lost to the threshold.  Before and after them stay the short blocks beside
+content in the lowest block that holds all of it, and the title above; <article> and
+<main> only say how far up to look for titles.  What says by its tag, role or class that it is a menu, header,
 footer, sidebar, notice, advert, form or comment takes part in neither step.
 
 Pages are independent: one Arrow pass over the html column, nothing shuffled; a task
@@ -79,14 +80,15 @@ PROSE = 300.0
 
 
 class Element:
-    """An open or closed element; ``path`` numbers the labels from the root to it."""
+    """An open or closed element; ``path`` numbers the labels from the root to it and
+    ``count`` numbers the content nodes in it."""
 
-    __slots__ = ("tag", "path", "parent", "dead", "depth", "chars")
+    __slots__ = ("tag", "path", "parent", "dead", "depth", "count")
 
     def __init__(self, tag: str, path: int, parent: Element | None, dead: bool):
         self.tag, self.path, self.parent, self.dead = tag, path, parent, dead
         self.depth = parent.depth + 1 if parent else 0
-        self.chars = 0.0
+        self.count = 0
 
 
 def boilerplate(tag: str, attributes: dict[str, str]) -> bool:
@@ -215,40 +217,50 @@ def content_paths(found: list[tuple[Element, int, str]]) -> np.ndarray:
     return by_path[path] >= min(THRESHOLD * mean, PROSE)
 
 
-def main_part(elements: list[Element], found: list[tuple[Element, int, str]],
-              content: np.ndarray) -> Element:
-    """The article, or else the lowest block with all of the content."""
-    for (element, _, raw), on in zip(found, content, strict=True):
-        if on:
-            element.chars += len(raw.strip())
-    for e in reversed(elements):
-        if e.parent is not None:
-            e.parent.chars += e.chars
-    for tag in ("article", "main"):
-        best = max((e for e in elements if e.tag == tag), key=lambda e: e.chars, default=None)
-        if best is not None and best.chars > 0:
-            return best
-    return common_part(elements, found, content)
-
+def selected(elements: list[Element], found: list[tuple[Element, int, str]],
+             content: np.ndarray) -> list[bool]:
+    """Which text nodes are main text: those on content paths, and what these enclose.
 
-def common_part(elements: list[Element], found: list[tuple[Element, int, str]],
-                content: np.ndarray) -> Element:
-    """The lowest block that holds every content node, however these are shared out."""
-    for e in elements:
-        e.chars = 0.0
-    for (e, _, raw), on in zip(found, content, strict=True):
-        e.chars += bool(on and raw.strip())
-    texts = {id(e) for e, _, raw in found if raw.strip()}
+    The part is the lowest block with all content nodes, however these are shared out.
+    Between its first and last content node nothing is lost; before and after them stay
+    short blocks beside content, but no box that has none, and the headings above.
+    """
+    on = [bool(c and raw.strip()) for c, (_, _, raw) in zip(content, found, strict=True)]
+    if not any(on):
+        return on
+    for (e, _, _), c in zip(found, on, strict=True):
+        e.count += c
     for e in reversed(elements):
         if e.parent is not None:
-            e.parent.chars += e.chars
-    part = max((e for e in elements if e.chars == elements[0].chars), key=lambda e: e.depth)
-    # A lone paragraph stands in its box together with headings too short for a path.
-    while part.parent is not None and (
-            part.tag in INLINE or part.tag in TEXT_BLOCKS
-            or part.tag in ("td", "th") and id(part) in texts):
-        part = part.parent
-    return part
+            e.parent.count += e.count
+    texts = {e for e, _, raw in found if raw.strip()}
+    # The block around an element of running text, or the element.
+    box: dict[Element, Element] = {}
+    for e in elements:
+        runs = e.tag in INLINE or e.tag in TEXT_BLOCKS or (
+            e.tag in ("td", "th") and (e in texts or not e.count))
+        box[e] = box[e.parent] if runs and e.parent is not None else e
+    part = box[max((e for e in elements if e.count == elements[0].count), key=lambda e: e.depth)]
+    # A title may stand in another box than the paragraphs of its article.
+    scope = part
+    while scope is not None and scope.tag not in ("article", "main"):
+        scope = scope.parent
+    inside: dict[Element, bool] = {}
+    scoped: dict[Element, bool] = {}
+    title: dict[Element, bool] = {}
+    for e in elements:
+        up = e.parent
+        inside[e] = e is part or (up is not None and inside[up])
+        scoped[e] = e is scope or (up is not None and scoped[up])
+        title[e] = e.tag in HEADINGS or (up is not None and title[up])
+    first = on.index(True)
+    last = len(on) - 1 - on[::-1].index(True)
+    keep = [first <= i <= last or (inside[e] and box[e].count > 0)
+            or (i < first and title[e] and scoped[e]) for i, (e, _, _) in enumerate(found)]
+    if not any(k and title[e] for k, (e, _, _) in zip(keep[:first + 1], found, strict=False)):
+        above = [block for e, block, raw in found[:first] if title[e] and raw.strip()][-1:]
+        keep = [k or block in above for k, (_, block, _) in zip(keep, found, strict=True)]
+    return keep
 
 
 def main_text(html: str | None) -> str:
@@ -256,13 +268,10 @@ def main_text(html: str | None) -> str:
     elements, found = nodes(html or "")
     if not found:
         return ""
-    part = main_part(elements, found, content_paths(found))
-    inside: dict[Element, bool] = {}
-    for e in elements:
-        inside[e] = e is part or (e.parent is not None and inside[e.parent])
     blocks: dict[int, list[str]] = {}
-    for element, block, raw in found:
-        if inside[element]:
+    keep = selected(elements, found, content_paths(found))
+    for (_, block, raw), kept in zip(found, keep, strict=True):
+        if kept:
             blocks.setdefault(block, []).append(raw)
     texts = (" ".join(unescape("".join(b)).split()) for b in blocks.values())
     return " ".join(t for t in texts if t)

@@ -49,6 +49,27 @@ def test_articles_that_are_mostly_one_block():
         assert html.main_text(page) == "Title " + (LONG * 21).strip(), block[:12]
 
 
+def test_several_articles():
+    page = (f"<body>{NOISE}<div class='x1'>Site</div><article><h2>One</h2><p>{LONG}</p></article>"
+            f"<article><h2>Two</h2><p>{LONG * 2}</p><p>Short.</p></article>"
+            f"<div class='x2'>Imprint</div>{TAIL}")
+    assert html.main_text(page) == (f"One {LONG}Two {LONG * 2}Short.")
+
+
+def test_ratios_decide_inside_an_article():
+    for tag in ("article", "main", "div"):
+        page = (f"<body>{NOISE}<{tag}><div class='x1'><h1>Title</h1></div><div class='x2'>"
+                f"<p>{LONG * 3}</p><h2>Part</h2><p>{LONG * 2}</p></div><div class='x3'>Buy now</div>"
+                f"<ul class='x4'><li><div>Nice</div><li><div>+1</div></ul></{tag}>{TAIL}")
+        assert html.main_text(page) == f"Title {LONG * 3}Part {LONG * 2}".strip(), tag
+        page = (f"<body>{NOISE}<{tag}><h1>Title</h1><p>{LONG * 3}</p><p>{LONG * 2}</p>"
+                f"<div class='x3'>Buy now</div></{tag}>{TAIL}")
+        assert html.main_text(page) == f"Title {LONG * 5}".strip(), tag
+        page = (f"<body>{NOISE}<{tag}><p>{LONG * 3}</p><h2>Part</h2><ul><li>Salt<li>Oil</ul>"
+                f"<table><tr><td><p>5</p><td>6</table></{tag}>{TAIL}")
+        assert html.main_text(page) == f"{LONG * 3}Part Salt Oil 5 6", tag
+
+
 def test_boilerplate_inside_the_article():
     page = (f'<article><header><h2>x</h2></header>{BODY}<aside>see also</aside><div class="cookie-'
             'notice">We use cookies.</div><script>1</script><div class="share-buttons">Share</div>')
