@@ -9,7 +9,8 @@ nodes are the text, with all that stands between them: short paragraphs and head
 are not lost to the threshold.  Before and after them stay the short blocks beside
 content in the lowest block that holds all of it, and the title above; <article> and
 <main> only say how far up to look for titles.  What says by its tag, role or class that it is a menu, header,
-footer, sidebar, notice, advert, form or comment takes part in neither step.
+footer, sidebar, notice, advert, form or comment takes part in neither step; names count
+for blocks that are no headings, and a high path ratio overrules them.
 
 Pages are independent: one Arrow pass over the html column, nothing shuffled; a task
 holds a batch (``common.BYTES_PER_BATCH``) or one page if that is larger, and reading
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterable
 from html import unescape
 
 import numpy as np
@@ -83,36 +85,52 @@ class Element:
     """An open or closed element; ``path`` numbers the labels from the root to it and
     ``count`` numbers the content nodes in it."""
 
-    __slots__ = ("tag", "path", "parent", "dead", "depth", "count")
+    __slots__ = ("tag", "path", "parent", "dead", "depth", "count", "named", "slug", "titled")
 
     def __init__(self, tag: str, path: int, parent: Element | None, dead: bool):
         self.tag, self.path, self.parent, self.dead = tag, path, parent, dead
+        # The nearest element around with a boilerplate name, the id that alone gives it
+        # that name, and whether this is in a heading of a box named header.
+        self.named: Element | None = None
+        self.slug: str | None = None
+        self.titled = False
         self.depth = parent.depth + 1 if parent else 0
         self.count = 0
 
 
+# Element, block and raw text of a text node.
+Node = tuple[Element, int, str]
+
+
 def boilerplate(tag: str, attributes: dict[str, str]) -> bool:
-    """Whether an element says of itself that it is no content."""
+    """Whether an element says by its tag, role or state that it is no content."""
     if tag in ("html", "body", "main", "article"):
         return False
     if tag in BOILERPLATE_TAGS or attributes.get("role", "").lower() in BOILERPLATE_ROLES:
         return True
-    if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
-        return True
-    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split():
+    return "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true"
+
+
+def named(tag: str, names: str) -> set[str]:
+    """The boilerplate words in the class or id of a block that is no heading."""
+    if tag in INLINE or tag in HEADINGS or tag in ("html", "body", "main", "article"):
+        return set()
+    hits: set[str] = set()
+    for name in names.lower().split():
         parts = [x for x in re.split(r"[-_]+", name) if x]
-        if parts and parts[0] not in LAYOUT_WORDS and BOILERPLATE_WORDS.intersection(parts):
-            return True
-    return False
+        if parts and parts[0] not in LAYOUT_WORDS:
+            hits |= BOILERPLATE_WORDS.intersection(parts)
+    return hits
 
 
-def nodes(html: str) -> tuple[list[Element], list[tuple[Element, int, str]]]:
+def nodes(html: str) -> tuple[list[Element], list[Node]]:
     """All elements, parents first, and (element, block, raw text) of every text node
-    that is not markup, script or boilerplate."""
+    that is not markup, script or boilerplate by its tag; names are judged later."""
     root = Element("#root", 0, None, False)
     stack, out, elements = [root], [], [root]
     paths: dict[tuple[int, str], int] = {}
     opened: Counter[str] = Counter()
+    headers: set[Element] = set()
     block = at = 0
 
     def text(part: str) -> None:
@@ -184,6 +202,18 @@ def nodes(html: str) -> tuple[list[Element], list[tuple[Element, int, str]]]:
         label = ".".join([tag, *attributes.get("class", "").split()])
         path = paths.setdefault((parent.path, label), len(paths) + 1)
         element = Element(tag, path, parent, dead)
+        hits = named(tag, attributes.get("class", ""))
+        by_id = named(tag, attributes.get("id", "")) if not hits else set()
+        box = None if alive else parent.named
+        element.titled = parent.titled
+        if hits or by_id:
+            element.named = element
+            element.slug = attributes["id"] if by_id else None
+            headers.update({element} if (hits or by_id) == {"header"} else ())
+        elif tag in HEADINGS and box in headers:
+            element.titled, element.named = True, box.parent.named
+        else:
+            element.named = box
         if tag in OPAQUE:
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.I).search(html, at)
             at = end.end() if end else n
@@ -194,8 +224,8 @@ def nodes(html: str) -> tuple[list[Element], list[tuple[Element, int, str]]]:
     return elements, out
 
 
-def content_paths(found: list[tuple[Element, int, str]]) -> np.ndarray:
-    """Which text nodes lie on content paths, by smoothed and fused ratios."""
+def path_ratios(found: list[Node]) -> tuple[np.ndarray, np.ndarray, float]:
+    """Length of the text nodes, the fused ratio of their paths and its mean over the text."""
     clean = [unescape(t).strip() for _, _, t in found]
     chars = np.array([len(t) for t in clean], float)
     marks = np.array([len(_PUNCTUATION.findall(t)) for t in clean], float)
@@ -211,13 +241,100 @@ def content_paths(found: list[tuple[Element, int, str]]) -> np.ndarray:
         return np.convolve(padded, kernel / kernel.sum(), "valid")
 
     fused = smooth(text_ratio) * (1.0 + smooth(mark_ratio))
-    # Threshold a path by the mean of its nodes, against the mean over all text.
     by_path = np.bincount(path, fused * use) / number
-    mean = (fused * chars).sum() / max(chars.sum(), 1.0)
-    return by_path[path] >= min(THRESHOLD * mean, PROSE)
+    return chars, by_path[path], float((fused * chars).sum() / max(chars.sum(), 1.0))
+
+
+def content_paths(found: list[Node]) -> np.ndarray:
+    """Which text nodes lie on content paths, by smoothed and fused ratios."""
+    # Threshold a path by the mean of its nodes, against the mean over all text.
+    if not found:
+        return np.zeros(0, bool)
+    _, ratio, mean = path_ratios(found)
+    return ratio >= min(THRESHOLD * mean, PROSE)
+
+
+def slug(text: str) -> str:
+    return re.sub(r"[\W_]+", "-", re.sub(r"^[\W\d_]+", "", unescape(text).lower())).strip("-")
 
 
-def selected(elements: list[Element], found: list[tuple[Element, int, str]],
+def unnamed(found: list[Node]) -> tuple[list[Node], np.ndarray]:
+    """Text nodes outside boilerplate names, and which of them lie on content paths.
+
+    A high path ratio overrules a name: that of a box with more than half of the page's
+    text whose paths are prose and no less than the mean of the text outside names (of
+    three nodes or more, where there is such text); and that of the id of a section whose
+    paths are content, on the tag path of other sections with content.  An id made from
+    the box's first heading is no name.
+    """
+    rest = [n for n in found if n[0].named is None]
+    if len(rest) == len(found):
+        return found, content_paths(found)
+    content = content_paths(rest)
+    outside = any(raw.strip() for _, _, raw in rest)
+    # Own text of a box and that of the boxes in it.
+    length: dict[Element, int] = {}
+    number: Counter[Element] = Counter()
+    heading: dict[Element, tuple[int, str]] = {}
+    for e, block, raw in found:
+        if e.named is None or not raw.strip():
+            continue
+        length[e.named] = length.get(e.named, 0) + len(raw.strip())
+        number[e.named] += 1
+        up = e
+        while up is not e.named and up.tag in INLINE:
+            up = up.parent
+        if up.tag in HEADINGS and heading.setdefault(e.named, (block, ""))[0] == block:
+            heading[e.named] = (block, heading[e.named][1] + raw)
+    # Children are deeper than their boxes, so every box is complete when it is added.
+    for b in sorted(around(list(length)), key=lambda b: -b.depth):
+        if (outer := b.parent.named) is not None:
+            length[outer] = length.get(outer, 0) + length.get(b, 0)
+            number[outer] += number[b]
+    half = sum(len(raw.strip()) for _, _, raw in found) / 2.0
+    large = {b for b, n in length.items() if n > half and (number[b] >= 3 or not outside)}
+    ids = {b for b in length if b.slug is not None}
+    if not large and not ids:
+        return rest, content
+    sections: set[Element] = set()
+    for (e, _, raw), on in zip(rest, content, strict=True):
+        while on and raw.strip() and e is not None and e not in sections:
+            sections.add(e)
+            e = e.parent
+    paths = {e.path for e in sections if e.tag == "section"}
+    made = {b for b in ids if slug(b.slug) and slug(b.slug) == slug(heading.get(b, (0, ""))[1])}
+    ids = {b for b in ids if b.path in paths}
+    mean = path_ratios(rest)[2] if rest else 0.0
+    chars, ratio, _ = path_ratios(found)
+    total = dict.fromkeys(length, 0.0)
+    for (e, _, _), n, r in zip(found, chars, ratio, strict=True):
+        if e.named is not None and n:
+            total[e.named] += n * r
+    for b in sorted(length, key=lambda b: -b.depth):
+        if (outer := b.parent.named) is not None:
+            total[outer] += total[b]
+    over = made | {b for b in large if total[b] >= max(mean, PROSE) * length[b]}
+    over |= {b for b in ids if total[b] >= min(THRESHOLD * mean, PROSE) * length[b]}
+    if not over:
+        return rest, content
+    live: dict[Element | None, bool] = {None: True}
+    for b in sorted(length, key=lambda b: b.depth):
+        live[b] = b in over and live[b.parent.named]
+    found = [n for n in found if live.get(n[0].named, False)]
+    return found, content_paths(found)
+
+
+def around(boxes: Iterable[Element]) -> set[Element]:
+    """Named boxes and the named boxes around them."""
+    found: set[Element] = set()
+    for b in boxes:
+        while b is not None and b not in found:
+            found.add(b)
+            b = b.parent.named
+    return found
+
+
+def selected(elements: list[Element], found: list[Node],
              content: np.ndarray) -> list[bool]:
     """Which text nodes are main text: those on content paths, and what these enclose.
 
@@ -225,7 +342,8 @@ def selected(elements: list[Element], found: list[tuple[Element, int, str]],
     Between its first and last content node nothing is lost; before and after them stay
     short blocks beside content, but no box that has none, and the headings above.
     """
-    on = [bool(c and raw.strip()) for c, (_, _, raw) in zip(content, found, strict=True)]
+    on = [bool(c and raw.strip() and not e.titled)
+          for c, (e, _, raw) in zip(content, found, strict=True)]
     if not any(on):
         return on
     for (e, _, _), c in zip(found, on, strict=True):
@@ -266,10 +384,9 @@ def selected(elements: list[Element], found: list[tuple[Element, int, str]],
 def main_text(html: str | None) -> str:
     """Blocks of the main part in page order, joined by one space."""
     elements, found = nodes(html or "")
-    if not found:
-        return ""
+    found, content = unnamed(found)
     blocks: dict[int, list[str]] = {}
-    keep = selected(elements, found, content_paths(found))
+    keep = selected(elements, found, content)
     for (_, block, raw), kept in zip(found, keep, strict=True):
         if kept:
             blocks.setdefault(block, []).append(raw)

@@ -76,6 +76,37 @@ def test_boilerplate_inside_the_article():
     assert html.main_text(page) == TEXT
 
 
+def test_names_inside_articles():
+    def article(inner):
+        return html.main_text(f"<body>{NOISE}<article><h1>T</h1><section id='intro'><p>{LONG * 2}"
+                              f"</p></section>{inner}<p>{LONG}</p></article>{TAIL}")
+    start, end = f"T {LONG * 2}", LONG.strip()
+    for inner, text in (
+            (f"<section id='discussion'><h2>Discussion</h2><p>{LONG}</p></section>",
+             f"Discussion {LONG}"),
+            (f"<section id='discussion'><p>{LONG}</p></section>", LONG),
+            (f"<div id='related-work'><h2>2. Related <i>work</i></h2><p>{LONG}</p></div>",
+             f"2. Related work {LONG}"),
+            ("<h2 id='related-work'>Related work</h2>", "Related work "),
+            ("<h2 id='header-files'>Header files</h2>", "Header files "),
+            ("<h3 id='sharing-data'>Share data</h3><h3 id='share-data'>x</h3>", "Share data x "),
+            ("<div class='section-header'><h2>Methods</h2></div>", "Methods "),
+            ("<pre>x = 1 <span class='hljs-comment'># one</span></pre>", "x = 1 # one ")):
+        assert article(inner) == start + text + end, inner
+    for inner in (f"<div class='comments'><p>{LONG}</p></div>",
+                  f"<div id='comments'><p>{LONG}</p><p>{LONG}</p></div>",
+                  "<div class='sidebar'><div class='widget'><h3>x</h3></div></div>"):
+        assert article(inner) == start + end, inner
+
+
+def test_a_high_ratio_overrules_a_name():
+    for box in ("<div class='banner-layout'>", "<div id='skip'><div class='widget'>"):
+        page = f"<body>{NOISE}{box}<h1>T</h1><p>{LONG * 2}</p><p>{LONG}</p></div></div>{TAIL}"
+        assert html.main_text(page) == f"T {LONG * 3}".strip(), box
+    page = f"<body><article><p>Short.</p></article><div class='ad'>{LONG * 3}</div>"
+    assert html.main_text(page) == "Short."
+
+
 def test_odd_input():
     assert html.main_text(None) == "" and html.main_text("") == "" and html.main_text("<p>") == ""
     assert html.main_text("a < b &lt; c & d") == "a < b < c & d"
