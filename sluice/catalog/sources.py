@@ -37,7 +37,11 @@ SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_linenumber AS VARCHAR)
 def _(t):
     columns = ["l_orderkey", "l_linenumber", "l_returnflag"]
     path = fresh_path(t.spark, "bulk")
-    t["lineitem"].select(columns).write.option("header", True).csv(path)
+    odd = F.col("l_linenumber") % 2 == 1
+    # Half of the files have their columns in another order.
+    t["lineitem"].filter(odd).select(columns).write.option("header", True).csv(path)
+    (t["lineitem"].filter(~odd).select(columns[::-1]).write.mode("append")
+     .option("header", True).csv(path))
     rows = csv.read_csv_bulk(t.spark, path, columns)
     return rows.groupBy(*columns).agg(F.countDistinct("submission_id", "row_index").alias("rows"),
                                       F.count("reason").alias("rejected"))
@@ -284,9 +288,9 @@ def _(t):
 
 
 def _lines_as_csv(t):
-    """All order lines as a few CSV files of any length."""
+    """All order lines as CSV files of any length."""
     path = fresh_path(t.spark, "lines")
-    (t["lineitem"].select("l_orderkey", "l_linenumber", "l_returnflag").coalesce(4)
+    (t["lineitem"].select("l_orderkey", "l_linenumber", "l_returnflag")
      .write.option("header", True).csv(path))
     return path
 

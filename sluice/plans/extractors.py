@@ -45,6 +45,8 @@ def extract(spark: SparkSession, source_type: str, path: str, **limits: int) ->
 
 def _csv(spark: SparkSession, path: str, max_bytes: int | None = None,
          max_rows: int | None = None) -> Extraction:
+    if max_bytes is None and max_rows is None:
+        return Extraction(*csv.extract_csv_split(spark, path))
     files = csv.read_files(spark, path, max_bytes)
     return Extraction(*csv.extract_csv(files, max_bytes=max_bytes, max_rows=max_rows))
 

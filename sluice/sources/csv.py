@@ -62,16 +62,16 @@ def split_record(record: Column) -> Column:
     return F.transform(F.concat(inner, F.array(last)), _unquote)
 
 
-def tokenize_csv(files: DataFrame) -> DataFrame:
+def tokenize_csv(files: DataFrame, whole: bool = True) -> DataFrame:
     """Raw non-blank records per file and what stopped the reading, if anything.
 
-    Adds ``records`` (raw text, in order) and ``stopped``: the unread rest of a
+    ``whole`` says that each row is a file and not a piece from inside one.  Adds ``records`` (raw text, in order) and ``stopped``: the unread rest of a
     malformed file, else NULL.
     """
     text = F.col("content").cast("string")
     # A byte order mark is not part of the text.
-    plain = F.when(F.startswith(text, F.lit("\ufeff")), F.substring(text, 2, 2**31 - 1)
-                   ).otherwise(text)
+    plain = text if not whole else F.when(
+        F.startswith(text, F.lit("\ufeff")), F.substring(text, 2, 2**31 - 1)).otherwise(text)
     read = files.withColumn("_text", plain).withColumn(
         "_raw", F.regexp_extract_all("_text", F.lit(RECORD), F.lit(0)))
     used = F.aggregate("_raw", F.lit(0), lambda total, r: total + F.length(r))
@@ -202,6 +202,104 @@ def extract_csv(files: DataFrame, strict_users: bool = False, max_bytes: int | N
     return records, refused
 
 
+# ------------------------------------------------------------ split files
+
+def _before(column: str) -> Column:
+    """Sum of a column over the splits of a file before this one."""
+    window = Window.partitionBy("submission_id").orderBy("_block").rowsBetween(
+        Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(column).over(window), F.lit(0))
+
+
+def _so_far(column: Column) -> Column:
+    """Sum of a column over the rows of a split before this one."""
+    window = Window.partitionBy("submission_id", "_block").orderBy("_id").rowsBetween(
+        Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(column).over(window), F.lit(0))
+
+
+def read_pieces(spark: SparkSession, path: str) -> DataFrame:
+    """Files of any size in splits, as pieces that begin and end between records.
+
+    Gives submission_id, the place (``_block``, ``_id``) and the ``content`` of each
+    piece: a line, or the lines from one that opens a quote to the one that closes it.
+    Up to the first malformed record an odd number of quotes before a line says that it
+    begins inside one.
+    """
+    # One name for a file here and in ``read_files``: the metadata are percent-encoded.
+    name = F.regexp_replace(
+        F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))),
+        "^file:///", "file:/")
+    value = F.col("value")
+    quotes = F.octet_length(value) - F.octet_length(F.replace(value, F.lit('"'), F.lit("")))
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        name.alias("submission_id"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_id"), "value", (quotes % 2).alias("_odd"))
+    blocks = lines.groupBy("submission_id", "_block").agg(F.sum("_odd").alias("_odds")).select(
+        "submission_id", "_block", _before("_odds").alias("_flips"))
+    toggles = F.col("_inside") + F.col("_flips")
+    # One row per split, as below.
+    placed = (lines.withColumn("_inside", _so_far(F.col("_odd")))
+              .join(blocks, ["submission_id", "_block"]).withColumn("_toggles", toggles))
+    alone = (F.col("_toggles") % 2 == 0) & (F.col("_odd") == 0)
+    several = (placed.filter(~alone)
+               .groupBy("submission_id", F.floor(F.col("_toggles") / 2).alias("_quote"))
+               .agg(F.sort_array(F.collect_list(F.struct("_block", "_id", "value")))
+                    .alias("_lines")))
+    text = F.array_join(F.transform("_lines", lambda x: x["value"]), "\n")
+    first = F.element_at("_lines", 1)
+    return (placed.filter(alone).select("submission_id", "_block", "_id",
+                                        value.alias("content"))
+            .unionByName(several.select("submission_id", first["_block"].alias("_block"),
+                                        first["_id"].alias("_id"), text.alias("content"))))
+
+
+def extract_csv_split(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """As ``extract_csv`` without limits, but large files are split across tasks."""
+    subject = "CSV input"
+    pieces = read_pieces(spark, path).withColumn("_valid", F.is_valid_utf8("content"))
+    read = tokenize_csv(pieces, whole=False)
+    stop = (F.when(F.col("stopped").rlike(UNTERMINATED),
+                   F.lit("malformed CSV: unterminated quoted field"))
+            .when(F.col("stopped").isNotNull(),
+                  F.lit("malformed CSV: unexpected '\"' inside an unquoted field")))
+    chunks = compute_once(read, ["submission_id", "_block", "_id", "_valid"],
+                          {"records": F.col("records"), "_stop": stop})
+    place = F.struct("_block", "_id")
+
+    def first(column: Column, where: Column) -> Column:
+        return F.min(F.when(where, F.struct(place.alias("place"), column.alias("value"))))
+
+    blocks = chunks.groupBy("submission_id", "_block").agg(
+        F.sum(F.size("records")).alias("_count"), F.bool_and("_valid").alias("_valid"),
+        first(F.col("_stop"), F.col("_stop").isNotNull()).alias("_stop"),
+        first(F.try_element_at("records", F.lit(1)), F.size("records") > 0).alias("_head"))
+    judged = blocks.groupBy("submission_id").agg(
+        F.bool_and("_valid").alias("_valid"), F.min("_stop")["value"].alias("_stop"),
+        F.min("_head")["value"].alias("_head"))
+    reason = (F.when(~F.col("_valid"), F.lit(f"{subject} must be valid UTF-8"))
+              .when(F.col("_stop").isNotNull(), F.col("_stop"))
+              .when(F.col("_head").isNull(), F.lit(f"{subject} must contain a header row")))
+    headed = compute_once(judged, ["submission_id"], {
+        "file_reason": reason, "header": F.when(reason.isNull(), split_record(F.col("_head")))})
+    checked = header_duplicates(headed)
+    admitted = checked.filter(F.col("file_reason").isNull()).select("submission_id", "header")
+    # One row per split and one per file: far smaller than the data, and AQE checks
+    # their size before they are broadcast.
+    offsets = blocks.select("submission_id", "_block", _before("_count").alias("_shift"))
+    placed = (chunks.withColumn("_done", _so_far(F.size("records")))
+              .join(offsets, ["submission_id", "_block"]).join(admitted, "submission_id"))
+    rows = placed.select("submission_id", "header", (F.col("_done") + F.col("_shift"))
+                         .alias("_from"), F.posexplode("records").alias("_position", "_record"))
+    numbered = rows.select("submission_id", (F.col("_from") + F.col("_position")).cast("bigint")
+                           .alias("row_index"), "header", "_record").filter("row_index > 0")
+    fields = compute_once(numbered, ["submission_id", "row_index", "header"],
+                          {"fields": split_record(F.col("_record"))})
+    refused = (checked.filter(F.col("file_reason").isNotNull())
+               .select("submission_id", F.col("file_reason").alias("reason")))
+    return row_to_record(row_arity_check(fields)), refused
+
+
 # ------------------------------------------------------------- bulk path
 
 def read_csv_bulk(spark: SparkSession, path: str, columns: list[str],
@@ -209,31 +307,49 @@ def read_csv_bulk(spark: SparkSession, path: str, columns: list[str],
     """Large CSV files of one layout: split across tasks, no size or row limits.
 
     Gives submission_id (the file), row_index, the columns as text (absent
-    text is '') and ``reason`` for rows of the wrong length.  Row indexes come
+    text is '') and ``reason`` for rows of the wrong length or without one of the columns
+    in their file's header; columns are found by that header.  Row indexes come
     from the byte offset of each split plus the position inside it, so rows
     keep the order of the file without any sort.  ``multi_line`` allows line
     breaks inside quotes at the price of one task per file.
     """
-    schema = ", ".join(f"`{c}` string" for c in columns) + ", _bad string"
-    raw = (spark.read.schema(schema).option("header", True).option("multiLine", multi_line)
-           .option("escape", '"').option("mode", "PERMISSIVE").option("enforceSchema", True)
+    places = [f"_c{i}" for i in range(len(columns))]
+    schema = ", ".join(f"{c} string" for c in places) + ", _bad string"
+    raw = (spark.read.schema(schema).option("header", False).option("multiLine", multi_line)
+           .option("escape", '"').option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", "_bad").csv(path))
     placed = raw.select("*", F.col("_metadata.file_path").alias("submission_id"),
                         F.col("_metadata.file_block_start").alias("_block"),
                         F.monotonically_increasing_id().alias("_id"))
+    top = F.when(F.col("_bad").isNull(), F.array(*places)).otherwise(split_record(F.col("_bad")))
     blocks = placed.groupBy("submission_id", "_block").agg(
-        F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+        F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_rows"),
+        F.min_by(top, "_id").alias("_top"))
     before = Window.partitionBy("submission_id").orderBy("_block").rowsBetween(
         Window.unboundedPreceding, -1)
-    offsets = blocks.select("submission_id", "_block", (
-        F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    header = F.first("_top").over(before.rowsBetween(Window.unboundedPreceding, 0))
+    offsets = blocks.select("submission_id", "_block", header.alias("_header"), (
+        F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
     # One row per split: far smaller than the data, and AQE checks its size
     # before it is broadcast.
-    numbered = placed.join(offsets, ["submission_id", "_block"])
-    reason = F.when(F.col("_bad").isNotNull(), F.concat(
-        F.lit(f"expected {len(columns)} fields, found "),
-        F.size(split_record(F.col("_bad"))).cast("string")))
-    return numbered.select(
-        "submission_id", (F.col("_id") + F.col("_shift")).alias("row_index"),
-        *[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in columns],
-        reason.alias("reason"))
+    numbered = placed.join(offsets, ["submission_id", "_block"]).withColumn(
+        "row_index", F.col("_id") + F.col("_shift")).filter("row_index > 0")
+    found = F.size(split_record(F.col("_bad")))
+    wrong = F.coalesce(found, F.size("_header")) != F.size("_header")
+    missing = F.filter(F.array(*[F.lit(c) for c in columns]),
+                       lambda c: ~F.array_contains(F.col("_header"), c))
+    reason = (F.when(F.size(missing) > 0, F.concat(
+                  F.lit("CSV header is missing the required '"), F.element_at(missing, 1),
+                  F.lit("' column")))
+              .when(wrong, F.concat(
+                  F.lit("expected "), F.size("_header").cast("string"), F.lit(" fields, found "),
+                  found.cast("string"))))
+    fields = F.when(F.col("_bad").isNull(), F.array(*places)).otherwise(
+        split_record(F.col("_bad")))
+
+    def value(c: str) -> Column:
+        at = F.array_position("_header", F.lit(c)).cast("int")
+        return F.coalesce(F.when(at > 0, F.try_element_at(fields, at)), F.lit(""))
+
+    return numbered.select("submission_id", "row_index", *[value(c).alias(c) for c in columns],
+                           reason.alias("reason"))

@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from sluice.plans.extractors import extract
 from sluice.plans.targets import USERS
 from sluice.sources import csv as source
 
@@ -180,3 +181,37 @@ def test_large_files_are_listed_but_not_read(spark, tmp_path):
     records, refused = source.extract_csv(files, True, source.MAX_FILE_BYTES)
     assert records.count() == 1
     assert [r.reason for r in refused.collect()] == ["CSV file must be <= 2097152 bytes"]
+
+
+def test_split_files_read_as_whole_files(spark, tmp_path):
+    rng = random.Random(11)
+    texts = ["a,b\n" + "".join(rng.choice('ab",\n\r"é,') for _ in range(rng.randint(1, 24)))
+             for _ in range(150)]
+    texts += ["name,email\r\nA,a@b.co\r\n", "\ufeffa,b\n\ufeff1,2\n", "\n\n", "a,b,a\n1,2,3\n",
+              b"a,b\n\xff,1\n", 'a,b\n"x\n\n""y""\r\nz",2\n3,4\n', 'a\n"open\n1\n2', 'a\nx"y\n1\n"',
+              '"a\nb",c\n' + "".join(f'"r{i}\n{"x" * 40}",{i}\n' for i in range(300))]
+    for i, text in enumerate(texts):
+        (tmp_path / f"f {i:03d}.csv").write_bytes(text if isinstance(text, bytes) else text.encode())
+    previous = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        split = extract(spark, "csv", str(tmp_path))
+        whole = source.extract_csv(source.read_files(spark, str(tmp_path)))
+        for got, want in zip((split.records, split.refused), whole):
+            assert got.columns == want.columns
+            assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+        plan = split.records._jdf.queryExecution().toString()
+        assert "binaryFile" not in plan
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", previous)
+
+
+def test_bulk_columns_follow_each_file_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("name,email\nAnn,ann@x.co\n")
+    (tmp_path / "b.csv").write_text("email,name\nbob@x.co,Bob\ncy@x.co\n")
+    (tmp_path / "c.csv").write_text("name,mail\nDan,d@x.co\n")
+    rows = source.read_csv_bulk(spark, str(tmp_path), ["name", "email"]).collect()
+    got = {(r.submission_id[-5:], r.row_index): (r.name, r.email, r.reason) for r in rows}
+    assert got == {("a.csv", 1): ("Ann", "ann@x.co", None), ("b.csv", 1): ("Bob", "bob@x.co", None),
+                   ("b.csv", 2): ("", "cy@x.co", "expected 2 fields, found 1"),
+                   ("c.csv", 1): ("Dan", "", "CSV header is missing the required 'email' column")}
