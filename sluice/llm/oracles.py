@@ -181,10 +181,48 @@ SELECT doc_id, CAST(least(doc_id, coalesce(m, doc_id)) AS BIGINT) AS class_id
 FROM documents LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a) USING (doc_id)
 """
 
+
+def _rounds(n: int) -> str:
+    """Assignment a0 .. a<n> and centroids c1 .. c<n> of the clustering, as common tables."""
+    steps = []
+    for r in range(n + 1):
+        steps.append(f"""a{r} AS (
+  SELECT rid, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+    SELECT rid, c, CAST(sum((x - m) * (x - m)) AS BIGINT) AS d
+    FROM v JOIN c{r} USING (i) GROUP BY 1, 2) GROUP BY 1)""")
+        if r < n:
+            steps.append(f"""c{r + 1} AS (
+  SELECT old.c, old.i, coalesce((s - ((s % n) + n) % n) // n, m) AS m FROM c{r} AS old
+  LEFT JOIN (SELECT c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n
+             FROM a{r} JOIN v USING (rid) GROUP BY 1, 2) AS new USING (c, i))""")
+    return ",\n".join(steps)
+
+
+OP13 = f"""
+WITH good AS (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(
+           embedding, lambda x: CAST(floor(256.0::DOUBLE * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(
+    embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+v AS (SELECT rid, unnest(generate_series(1, 64)) AS i, unnest(e) AS x FROM good),
+started AS (
+  SELECT rid, row_number() OVER (ORDER BY sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')),
+                                 e) - 1 AS c FROM good),
+c0 AS (SELECT c, i, x AS m FROM started JOIN v USING (rid) WHERE c < 40),
+{_rounds(5)},
+named AS (SELECT c, sha256(string_agg(CAST(m AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256
+          FROM c5 GROUP BY 1)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance,
+       CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a5 JOIN good USING (rid) JOIN named USING (c)
+"""
+
 ORACLES = {
     "op1_line_dedup": OP1,
     "op2_mix_sources": OP2,
     "op5_sentence_spans": OP5,
     "op7_decontaminate": OP7,
     "op10_near_duplicates": OP10,
+    "op13_cluster_vectors": OP13,
 }

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm import chat, decontam, html, langid, line_dedup, mixing, near_dups, pii, quality, spans
+from sluice.llm import vafile
 from sluice.llm.common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -113,7 +114,11 @@ def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
                          .otherwise(F.col("doc_id")).alias("class_id"))
 
 
+def op13_cluster_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return vafile.cluster(table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Run] = {f.__name__: f for f in (
     op1_line_dedup, op2_mix_sources, op3_language_id, op4_personal_data, op5_sentence_spans,
     op6_quality_rules, op7_decontaminate, op8_format_chats, op9_main_text,
-    op10_near_duplicates)}
+    op10_near_duplicates, op13_cluster_vectors)}

@@ -17,7 +17,11 @@ COLUMNS = {
     "op6": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
     "op7": "doc_id n_words n_hit n_items items_sha256 contaminated",
     "op8": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars",
-    "op9": "page_id url text n_chars", "op10": "doc_id class_id"}
+    "op9": "page_id url text n_chars", "op10": "doc_id class_id",
+    "op11": "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens ends_sha256",
+    "op12": "doc_id held_out score predicted",
+    "op13": "vec_id cluster distance cluster_inertia inertia centroid_sha256"}
+TABLE = {"op8": "conversations", "op9": "pages", "op11": "conversations", "op13": "embeddings"}
 
 
 def plain(value):
@@ -34,12 +38,12 @@ def test_query(spark, name):
     frame = entry.queries()[name](spark, FOLDER)
     rows = frame.collect()
     assert set(COLUMNS.get(name.split("_")[0], "").split()) <= set(frame.columns)
-    table = "pages" if "op9" in name else "conversations" if "op8" in name else "documents"
+    table = TABLE.get(name.split("_")[0], "documents")
     if table != "conversations":
         assert len(rows) == spark.read.parquet(f"{FOLDER}/{table}.parquet").count()
     if name in ORACLES:
         duck = duckdb.connect()
-        for t in ("documents", "benchmark"):
+        for t in ("documents", "benchmark", "conversations", "embeddings"):
             duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
         result = duck.execute(ORACLES[name])
         assert sorted(frame.columns) == sorted(d[0] for d in result.description)
