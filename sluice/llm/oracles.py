@@ -218,11 +218,46 @@ SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance,
 FROM a5 JOIN good USING (rid) JOIN named USING (c)
 """
 
+OP11 = """
+WITH own AS (
+  SELECT conv_id AS c, list({'role': coalesce(role, ''), 'text': coalesce(text, '')}
+           ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS t
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+hashed AS (
+  SELECT c, t, xor(4294967295::BIGINT, list_reduce(
+      [4294967295::BIGINT] || list_transform(string_split(CAST(c AS VARCHAR), ''),
+                                             lambda x: CAST(ascii(x) AS BIGINT)),
+      lambda crc, b: list_reduce([xor(crc, b)] || CAST(range(8) AS BIGINT[]),
+        lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT)
+                     ELSE a >> 1 END))) % 9 AS h
+  FROM own),
+convs AS (
+  SELECT a.c, coalesce(b.t, [])[1:a.h] || a.t[a.h + 1:] AS t
+  FROM hashed a LEFT JOIN own b ON b.c = a.c - a.c % 5),
+nodes AS (
+  SELECT p, len(p) AS d, min(c) AS conv_id, count(*) AS n, coalesce(string_agg(
+           CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE n_turns = len(p)), '') AS ends
+  FROM (SELECT c, len(t) AS n_turns, t[1:unnest(range(len(t) + 1))] AS p FROM convs) GROUP BY p),
+children AS (SELECT p[1:d - 1] AS p, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1),
+valued AS (
+  SELECT nodes.*, coalesce(n_children, 0) AS n_children,
+         CASE WHEN d > 0 THEN (n - 1) * strlen(p[d].text) ELSE 0 END AS own
+  FROM nodes LEFT JOIN children USING (p)),
+below AS (
+  SELECT p, sum(own) AS saved, count(*) FILTER (WHERE n_children = 0) AS leaves
+  FROM (SELECT own, n_children, p[1:unnest(range(d + 1))] AS p FROM valued) GROUP BY p)
+SELECT v.conv_id, v.d AS depth, up.conv_id AS parent_conv_id, v.n AS n_convs, v.n_children,
+       CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens,
+       sha256(v.ends) AS ends_sha256
+FROM valued v JOIN below USING (p) LEFT JOIN nodes up ON v.d > 0 AND up.p = v.p[1:v.d - 1]
+"""
+
 ORACLES = {
     "op1_line_dedup": OP1,
     "op2_mix_sources": OP2,
     "op5_sentence_spans": OP5,
     "op7_decontaminate": OP7,
     "op10_near_duplicates": OP10,
+    "op11_prefix_trie": OP11,
     "op13_cluster_vectors": OP13,
 }

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm import chat, decontam, html, langid, line_dedup, mixing, near_dups, pii, quality, spans
-from sluice.llm import kernel, vafile
+from sluice.llm import bursts, kernel, vafile
 from sluice.llm.common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -114,6 +114,10 @@ def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
                          .otherwise(F.col("doc_id")).alias("class_id"))
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return bursts.nodes(table(spark, folder, "conversations"))
+
+
 def op12_quality_scores(spark: SparkSession, folder: str) -> DataFrame:
     measured = kernel.measure(table(spark, folder, "documents"))
     labels = table(spark, folder, "labels").select("doc_id", "quality")
@@ -127,4 +131,4 @@ def op13_cluster_vectors(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Run] = {f.__name__: f for f in (
     op1_line_dedup, op2_mix_sources, op3_language_id, op4_personal_data, op5_sentence_spans,
     op6_quality_rules, op7_decontaminate, op8_format_chats, op9_main_text,
-    op10_near_duplicates, op12_quality_scores, op13_cluster_vectors)}
+    op10_near_duplicates, op11_prefix_trie, op12_quality_scores, op13_cluster_vectors)}

@@ -39,7 +39,7 @@ def test_query(spark, name):
     rows = frame.collect()
     assert set(COLUMNS.get(name.split("_")[0], "").split()) <= set(frame.columns)
     table = TABLE.get(name.split("_")[0], "documents")
-    if table != "conversations":
+    if table != "conversations":  # one row a conversation or node
         assert len(rows) == spark.read.parquet(f"{FOLDER}/{table}.parquet").count()
     if name in ORACLES:
         duck = duckdb.connect()
