@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm.common import cut
@@ -252,14 +252,14 @@ def cluster(vectors: DataFrame, ident: str = "vec_id", vector: str = "embedding"
         "cluster int, centroid_sha256 string")
     exact = F.col("distance").cast("decimal(38,0)")
     sums = found.groupBy("cluster").agg(F.sum(exact).alias("s"))
-    all_sums = sums.agg(F.sum("s").alias("t"))
 
-    def as_long(column: str):
-        return F.least(F.col(column), F.lit(LONGEST).cast("decimal(38,0)")).cast("bigint")
+    def as_long(sum_of: Column) -> Column:
+        return F.least(sum_of, F.lit(LONGEST).cast("decimal(38,0)")).cast("bigint")
 
     # One row per centroid: at most k rows are broadcast.
-    figures = (sums.join(F.broadcast(hashes), "cluster").join(F.broadcast(all_sums))
-               .select("cluster", as_long("s").alias("cluster_inertia"),
-                       as_long("t").alias("inertia"), "centroid_sha256"))
+    total = found.agg(F.sum(exact).alias("t")).scalar()
+    figures = sums.join(F.broadcast(hashes), "cluster").select(
+        "cluster", as_long(F.col("s")).alias("cluster_inertia"),
+        as_long(total).alias("inertia"), "centroid_sha256")
     return found.join(F.broadcast(figures), "cluster").select(
         "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
