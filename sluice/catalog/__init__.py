@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sluice.catalog import functions, jobs, records, sources, streams  # noqa: F401
+from sluice.catalog import functions, jobs, records, sources, stored, streams  # noqa: F401
 from sluice.catalog.base import ORACLES, QUERIES, runner
 
 

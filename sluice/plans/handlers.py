@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice import functions as fn
@@ -59,13 +59,14 @@ class HandlerRegistry:
         return result
 
 
-def as_result(rows: DataFrame, error: str = "reason") -> DataFrame:
+def as_result(rows: DataFrame, error: str = "reason",
+              retryable: Column | None = None) -> DataFrame:
     """Result columns from rows with ``id``, ``output`` and an error column."""
     failed = F.col(error).isNotNull()
     return rows.select(
         "id", F.when(failed, "failed").otherwise("succeeded").alias("status"),
         F.when(~failed, F.col("output")).alias("output"), F.col(error).alias("error"),
-        F.lit(False).alias("retryable"))
+        (F.lit(False) if retryable is None else failed & retryable).alias("retryable"))
 
 
 def check_payloads(jobs: DataFrame, target: Target) -> DataFrame:
@@ -101,11 +102,16 @@ def category_handler(stored: DataFrame) -> Handler:
             F.struct("parent_slug"), F.struct("created_at", "id")).alias("_edge"))
             .select("slug", F.col("_edge.parent_slug").alias("parent_slug")))
         verdicts = hierarchy.hierarchy_resolve(stored, edges)
-        text = verdicts.select("slug", hierarchy.outcome_message(
-            F.col("outcome"), F.col("culprit")).alias("_tree_reason"))
-        judged = lookup(checked, text, ["slug"], spread=["id"]).withColumn(
+        text = verdicts.select(
+            "slug", hierarchy.outcome_message(F.col("outcome"), F.col("culprit"))
+            .alias("_tree_reason"), F.col("outcome").isin("missing", "cycle").alias("_absent"))
+        judged = lookup(checked, text, ["slug"], spread=["id"])
+        # A parent that comes with the same submission may land later: such jobs retry.
+        waits = (F.col("reason").isNull() & F.coalesce("_absent", F.lit(False)) & F.coalesce(
+            fn.payload_field(F.col("payload"), "parent_in_submission") == "true", F.lit(False)))
+        judged = judged.withColumn("_waits", waits).withColumn(
             "reason", F.coalesce("reason", "_tree_reason"))
-        return as_result(judged)
+        return as_result(judged, retryable=F.col("_waits"))
     return run
 
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluice.lineage import cut
 from sluice.operators import dedupe, hierarchy, jobs, progress, validate
 from sluice.operators.align import align_exact, align_maps
 from sluice.plans.targets import CATEGORIES, USERS, Target
@@ -68,6 +69,8 @@ def direct_import(files: DataFrame, now: Column, max_bytes: int | None = None,
 
 
 def _fan_out(annotated: DataFrame, target: Target, now: Column) -> Confirmed:
+    # Workloads, jobs, rejects and counts are made from the same rows: evaluated once.
+    annotated = cut(annotated, "confirmed")
     accepted, rejects = validate.split(annotated)
     if target is CATEGORIES:
         accepted = hierarchy.parent_in_submission(accepted)
