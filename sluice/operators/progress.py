@@ -9,12 +9,14 @@ from sluice import functions as fn
 from sluice.operators.skew import lookup
 
 
-def status_counts(jobs: DataFrame) -> DataFrame:
-    """Per workload: the four buckets and the two sub-counts."""
+def status_counts(jobs: DataFrame, weight: Column | None = None) -> DataFrame:
+    """Per workload: the four buckets and the two sub-counts; a row counts as ``weight``."""
     bucket = fn.classify_job_status(F.col("status"))
 
     def among(condition: Column, name: str) -> Column:
-        return F.count_if(condition).alias(name)
+        if weight is None:
+            return F.count_if(condition).alias(name)
+        return F.sum(F.when(condition, weight).otherwise(0)).cast("bigint").alias(name)
 
     return jobs.filter(F.col("workload_id").isNotNull()).groupBy("workload_id").agg(
         among(bucket == "queued", "queued_items"),

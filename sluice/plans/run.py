@@ -24,7 +24,7 @@ from sluice.operators.upsert import persisted_difference
 from sluice.plans.handlers import RESULT, category_handler, record_handler
 from sluice.plans.submission import Confirmed, confirm
 from sluice.plans.targets import CATEGORIES, Target
-from sluice.sources.store import Store
+from sluice.sources.store import Batch, Store
 
 # Columns that are stored as numbers; payloads hold text.
 STORED_TYPES = {"price": "decimal(12,2)", "stock_quantity": "bigint"}
@@ -97,15 +97,13 @@ def records_of(results: DataFrame, jobs: DataFrame, target: Target, now: Column)
 def store_run(store: Store, done: Confirmed, run: Run, target: Target, app: str | None = None,
               number: int | None = None) -> int | None:
     """Write a run as the next version; None if the stream's batch was applied before."""
-    batch = store.begin(app, number)
-    if batch is None:
-        return None
-    batch.append("workloads", done.workloads)
-    batch.append("jobs", run.jobs)
-    batch.append("attempts", run.attempts)
-    batch.append("rejects", done.rejects)
-    batch.upsert(target.name, run.records, [target.key])
-    return batch.commit()
+    def write(batch: Batch) -> None:
+        batch.append("workloads", done.workloads)
+        batch.append("jobs", run.jobs)
+        batch.append("attempts", run.attempts)
+        batch.append("rejects", done.rejects)
+        batch.upsert(target.name, run.records, [target.key])
+    return store.apply(write, app, number)
 
 
 def run_confirmed(store: Store, done: Confirmed, target: Target, now: Column,

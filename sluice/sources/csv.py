@@ -28,7 +28,7 @@ SPLIT = rf'\G({FIELD})(,|\z)'
 UNTERMINATED = rf'^(?:{FIELD},)*+"[^"]*+(?:""[^"]*+)*+\z'
 
 
-def read_files(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
+def read_files(spark: SparkSession, path: str | list[str], max_bytes: int | None = None) -> DataFrame:
     """Whole files as ``(submission_id, content, length)``.
 
     With a limit, files over ``max_bytes`` are listed without reading them (the
@@ -218,7 +218,7 @@ def _so_far(column: Column) -> Column:
     return F.coalesce(F.sum(column).over(window), F.lit(0))
 
 
-def read_pieces(spark: SparkSession, path: str) -> DataFrame:
+def read_pieces(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Files of any size in splits, as pieces that begin and end between records.
 
     Gives submission_id, the place (``_block``, ``_id``) and the ``content`` of each
@@ -254,7 +254,8 @@ def read_pieces(spark: SparkSession, path: str) -> DataFrame:
                                         first["_id"].alias("_id"), text.alias("content"))))
 
 
-def extract_csv_split(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def extract_csv_split(spark: SparkSession,
+                      path: str | list[str]) -> tuple[DataFrame, DataFrame]:
     """As ``extract_csv`` without limits, but large files are split across tasks."""
     subject = "CSV input"
     pieces = read_pieces(spark, path).withColumn("_valid", F.is_valid_utf8("content"))

@@ -120,12 +120,30 @@ class Store:
             return None
         return Batch(self, state, app, number)
 
-    def fold(self, table: str, summarise: Callable[[DataFrame], DataFrame]) -> None:
+    def apply(self, write: Callable[[Batch], None], app: str | None = None,
+              number: int | None = None, tries: int = 5) -> int | None:
+        """``write`` a batch and commit it, again on top of what another writer committed.
+
+        None if ``number`` of ``app`` was applied before.
+        """
+        while True:
+            batch = self.begin(app, number)
+            if batch is None:
+                return None
+            write(batch)
+            try:
+                return batch.commit()
+            except Conflict:
+                tries -= 1
+                if not tries:
+                    raise
+
+    def fold(self, table: str, summarise: Callable[[DataFrame], DataFrame]) -> int | None:
         """Replace a log's folders by one with ``summarise`` of its rows (same columns)."""
-        batch = self.begin()
-        rows = self.log(table, batch.base)
-        batch.replace(table, summarise(rows).select(*rows.columns))
-        batch.commit()
+        def write(batch: Batch) -> None:
+            rows = self.log(table, batch.base)
+            batch.replace(table, summarise(rows).select(*rows.columns))
+        return self.apply(write)
 
     def expire(self, keep: int = 10) -> None:
         """Forget all but the newest ``keep`` versions and the folders only they named."""
@@ -204,7 +222,7 @@ class Batch:
         base = self.base
         state = State(self.version, {**base.applied, **self._applied},
                       {**base.logs, **self._logs}, {**base.keyed, **self._keyed})
-        # The token tells two writers of equal contents apart.
+        # Folder names are unique, so two writers' texts differ.
         text = json.dumps(state.__dict__)
         if not files.create_once(self.store.spark, self.store._file(self.version), text):
             raise Conflict(f"version {self.version} of {self.store.root} was made by another writer")

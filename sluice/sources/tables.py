@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice import files
 from sluice.operators.dedupe import latest_versions
 from sluice.operators.upsert import upsert
 
@@ -19,17 +21,9 @@ def scan(spark: SparkSession, path: str, fmt: str = "parquet", **options: str) -
 
 def _versions(spark: SparkSession, root: str) -> list[int]:
     """Complete versions below ``root``; a directory listing, not data."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    found = []
-    for status in fs.listStatus(path):
-        name = status.getPath().getName()
-        done = spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-        if name.startswith("version=") and fs.exists(done):
-            found.append(int(name.split("=")[1]))
-    return sorted(found)
+    found = [n for n in files.names(spark, root) if n.startswith("version=")]
+    return sorted(int(n.split("=")[1]) for n in found
+                  if "_SUCCESS" in files.names(spark, f"{root}/{n}"))
 
 
 def latest_snapshot(spark: SparkSession, root: str) -> DataFrame | None:
@@ -40,14 +34,18 @@ def latest_snapshot(spark: SparkSession, root: str) -> DataFrame | None:
 
 def write_upsert(spark: SparkSession, root: str, incoming: DataFrame,
                  keys: Sequence[str]) -> DataFrame:
-    """Upsert into the newest version and write the result as the next one.
+    """Upsert into the newest version and write the whole table as the next one.
 
-    Readers keep the version they started with; a failed write leaves no
-    `_SUCCESS` and is never read.
+    For small tables; ``store.Store`` rewrites touched buckets only.  Readers keep the
+    version they started with; a failed write leaves no `_SUCCESS` and is never read.  A
+    number is claimed before it is written, so that of two writers one is refused.
     """
     current = latest_snapshot(spark, root)
+    claimed = [int(n) for n in files.names(spark, f"{root}/_claims")]
+    number = max([0, *_versions(spark, root), *claimed]) + 1
+    if not files.create_once(spark, f"{root}/_claims/{number}", uuid.uuid4().hex):
+        raise RuntimeError(f"version {number} of {root} is being written by another writer")
     merged = incoming if current is None else upsert(current, incoming, keys)
-    number = (_versions(spark, root) or [0])[-1] + 1
     merged.write.mode("overwrite").parquet(f"{root}/version={number}")
     return spark.read.parquet(f"{root}/version={number}")
 

@@ -1,45 +1,144 @@
-"""Continuous job state: live progress, retry release, metric totals."""
+"""Continuous job state: live progress, retry release, metric totals.
+
+Statuses and metric totals are logs of a ``Store``: each micro-batch is one version, applied
+once.  ``fold_*`` replaces a log by its newest rows, so that a reader takes the folded part and
+what came after it.  ``start_progress`` holds one status per job as the stream's state instead
+and logs count changes alone.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from sluice.operators import jobs as job_ops
-from sluice.operators.progress import workload_progress
+from sluice.operators.progress import COUNTS, status_counts, workload_progress
+from sluice.sources.store import Batch, Store
 from sluice.sources.tables import append_changes, current_rows, read_changes
 
+STATUSES = "statuses"
+PROGRESS = "progress"
+METRICS = "metrics"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+# ------------------------------------------------------------- status log
 
 def start_status_log(changes: DataFrame, root: str, checkpoint: str,
                      **trigger) -> StreamingQuery:
-    """Append job state changes to a log, one partition per micro-batch.
+    """Append job state changes to a log, one version per micro-batch.
 
     ``changes`` is (id, workload_id, status, changed_at).  Only the last change
     of a job within a batch is kept.
     """
+    store = Store(changes.sparkSession, root)
+
     def each(batch: DataFrame, batch_id: int) -> None:
         last = batch.groupBy("id").agg(F.max_by(
             F.struct("workload_id", "status", "changed_at"),
-            F.struct("changed_at", "status")).alias("_last")).select("id", "_last.*")
-        append_changes(last, root, batch_id)
+            F.struct("changed_at", "status")).alias("_last")).select(
+            "id", "_last.*", F.lit(batch_id).cast("bigint").alias("change_seq"))
+        store.apply(lambda b: b.append(STATUSES, last), STATUSES, batch_id)
 
     return (changes.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
 
 
-def latest_statuses(spark: SparkSession, root: str) -> DataFrame:
-    """Current state per job: the change with the newest time wins."""
-    changes = read_changes(spark, root)
-    newest = F.max_by(F.struct("workload_id", "status", "changed_at"),
+def newest_statuses(log: DataFrame) -> DataFrame:
+    """One row per job: the change with the newest time wins."""
+    newest = F.max_by(F.struct("workload_id", "status", "changed_at", "change_seq"),
                       F.struct("changed_at", "change_seq", "status"))
-    return changes.groupBy("id").agg(newest.alias("_last")).select("id", "_last.*")
+    return log.groupBy("id").agg(newest.alias("_last")).select("id", "_last.*")
+
+
+def latest_statuses(spark: SparkSession, root: str) -> DataFrame:
+    """Current state per job."""
+    return newest_statuses(Store(spark, root).log(STATUSES)).drop("change_seq")
+
+
+def fold_statuses(spark: SparkSession, root: str) -> None:
+    """Keep the newest change of every job as the log's new start."""
+    Store(spark, root).fold(STATUSES, newest_statuses)
 
 
 def live_progress(spark: SparkSession, root: str, workloads: DataFrame) -> DataFrame:
     return workload_progress(workloads, latest_statuses(spark, root))
 
 
+# ------------------------------------------------------- progress as state
+
+class LastStatus(StatefulProcessor):
+    """The newest status of one job; a change takes the old one back and adds the new one."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._last = handle.getValueState("last", "workload_id string, status string, us bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        before = self._last.get()
+        last = before
+        for r in rows:
+            change = (r.workload_id, r.status, r.us)
+            if last is None or (change[2], change[1]) > (last[2], last[1]):
+                last = change
+        if last is not before:
+            self._last.update(last)
+            if before is not None:
+                yield Row(workload_id=before[0], status=before[1], step=-1)
+            yield Row(workload_id=last[0], status=last[1], step=1)
+
+    def close(self) -> None:
+        pass
+
+
+def start_progress(changes: DataFrame, root: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Log how each micro-batch changes the counts of workloads.
+
+    State is keyed by job, so a workload of any size is spread over all tasks; it costs the
+    changed jobs.  A change older than the job's last one moves nothing.  The state lies in
+    RocksDB.
+    """
+    spark = changes.sparkSession
+    store = Store(spark, root)
+    timed = changes.select("id", F.col("workload_id").cast("string").alias("workload_id"), "status",
+                           F.unix_micros(F.col("changed_at").cast("timestamp")).alias("us"))
+    steps = timed.groupBy("id").transformWithState(
+        LastStatus(), "workload_id string, status string, step int", "Update", "None")
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        counted = status_counts(batch, F.col("step"))
+        store.apply(lambda b: b.append(PROGRESS, counted), PROGRESS, batch_id)
+
+    usual = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        return (steps.writeStream.outputMode("update").foreachBatch(each)
+                .option("checkpointLocation", checkpoint)
+                .trigger(**(trigger or {"availableNow": True})).start())
+    finally:
+        # A query keeps the provider it was started with.
+        spark.conf.set(PROVIDER, usual)
+
+
+def summed_progress(log: DataFrame) -> DataFrame:
+    return log.groupBy("workload_id").agg(*[F.sum(c).alias(c) for c in COUNTS])
+
+
+def read_progress(spark: SparkSession, root: str) -> DataFrame:
+    """Counts per workload as of the newest version."""
+    return summed_progress(Store(spark, root).log(PROGRESS))
+
+
+def fold_progress(spark: SparkSession, root: str) -> None:
+    """Keep one row of counts per workload as the log's new start."""
+    Store(spark, root).fold(PROGRESS, summed_progress)
+
+
+# ----------------------------------------------------------------- retries
+
 def release_due_retries(spark: SparkSession, root: str, now, batch_id: int) -> None:
     """Move due jobs of a job log from `retrying` to `queued`, as one more batch.
 
@@ -64,6 +163,8 @@ def start_retry_release(ticks: DataFrame, root: str, checkpoint: str, first_batc
             .trigger(**(trigger or {"processingTime": "500 milliseconds"})).start())
 
 
+# ----------------------------------------------------------------- metrics
+
 def metric_totals(samples: DataFrame) -> DataFrame:
     """Running figures per metric: counter sum, gauge last, histogram figures."""
     return samples.groupBy("name", "kind").agg(
@@ -75,22 +176,33 @@ def metric_totals(samples: DataFrame) -> DataFrame:
 def start_metric_stream(samples: DataFrame, root: str, checkpoint: str,
                         **trigger) -> StreamingQuery:
     """Keep running totals; each micro-batch logs the metrics it changed."""
+    store = Store(samples.sparkSession, root)
+
     def each(batch: DataFrame, batch_id: int) -> None:
-        append_changes(batch, root, batch_id)
+        changed = batch.withColumn("change_seq", F.lit(batch_id).cast("bigint"))
+
+        def write(b: Batch) -> None:
+            b.append(METRICS, changed)
+        store.apply(write, METRICS, batch_id)
 
     return (metric_totals(samples).writeStream.outputMode("update").foreachBatch(each)
             .option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
 
 
+def newest_metrics(log: DataFrame) -> DataFrame:
+    """Per metric the totals of the last batch that changed it."""
+    values = [c for c in log.columns if c not in ("name", "kind")]
+    newest = log.groupBy("name", "kind").agg(
+        F.max_by(F.struct(*values), "change_seq").alias("_last"))
+    return newest.select("name", "kind", "_last.*")
+
+
 def read_metric_totals(spark: SparkSession, root: str) -> DataFrame:
     """The newest totals of every metric."""
-    return latest_versions_of(read_changes(spark, root), ["name", "kind"])
+    return newest_metrics(Store(spark, root).log(METRICS)).drop("change_seq")
 
 
-def latest_versions_of(changes: DataFrame, keys: list[str]) -> DataFrame:
-    """Per key the row of the last batch that wrote it."""
-    values = [c for c in changes.columns if c not in (*keys, "change_seq")]
-    newest = changes.groupBy(*keys).agg(
-        F.max_by(F.struct(*values), "change_seq").alias("_last"))
-    return newest.select(*keys, "_last.*")
+def fold_metrics(spark: SparkSession, root: str) -> None:
+    """Keep the newest totals of every metric as the log's new start."""
+    Store(spark, root).fold(METRICS, newest_metrics)

@@ -3,9 +3,11 @@
 from pyspark.sql import functions as F
 
 from sluice.operators.jobs import due_retries
+from sluice.operators.progress import status_counts
 from sluice.plans.submission import preview
 from sluice.plans.targets import CATEGORIES, USERS
 from sluice.sources import csv, tables
+from sluice.sources.store import Store
 from sluice.streaming import ingest, live
 
 
@@ -26,18 +28,20 @@ def test_drop_folder_equals_batch(spark, tmp_path):
 
     run()
     columns = ["email", "name", "phone"]
-    users = tables.current_rows(tables.read_changes(spark, f"{root}/users"), ["email"])
+    store = Store(spark, root)
+    users = store.rows("users")
     batch = preview(csv.extract_csv(csv.read_files(spark, str(drop)))[0], USERS)
     assert rows_of(users.select(columns)) == rows_of(batch.records.select(columns))
-    jobs = tables.read_changes(spark, f"{root}/jobs")
+    jobs = store.log("jobs")
     assert jobs.select("id").distinct().count() == jobs.count() == 3
-    refused = tables.read_changes(spark, f"{root}/refused").collect()
+    assert users.join(jobs, users["job_id"] == jobs["id"]).filter("status = 'succeeded'").count() == 3
+    refused = store.log("refused").collect()
     assert [r.reason for r in refused] == ["malformed CSV: unterminated quoted field"]
-    assert tables.read_changes(spark, f"{root}/rejects").count() == 2
+    assert store.log("rejects").count() == 2
 
     (drop / "d.csv").write_text("email,name\nann@x.co,Anna\n")
     run()
-    users = tables.current_rows(tables.read_changes(spark, f"{root}/users"), ["email"])
+    users = store.rows("users")
     anna = users.filter("email = 'ann@x.co'").first()
     assert users.count() == 3 and anna.name == "Anna" and anna.phone is None
     assert anna.created_at < anna.updated_at
@@ -51,8 +55,7 @@ def test_category_parents_are_checked_per_batch(spark, tmp_path):
         (drop / name).write_text("name,slug,parent_slug\n" + "".join(f"{r}\n" for r in rows))
         files = ingest.file_stream(spark, str(drop), files_per_batch=1)
         ingest.start_ingest(files, CATEGORIES, root, str(tmp_path / "check")).awaitTermination()
-        log = tables.read_changes(spark, f"{root}/categories")
-        found = tables.current_rows(log, ["slug"], ("change_seq", "submission_id", "row_index"))
+        found = Store(spark, root).rows("categories")
         return {r.slug: r.parent_slug for r in found.collect()}
 
     # Children may come first; ghost is nowhere; b and c are each other's parent.
@@ -60,9 +63,9 @@ def test_category_parents_are_checked_per_batch(spark, tmp_path):
     assert first == {"leaf": "mid", "mid": "top", "top": None}
     second = land("b.csv", "Lost,lost,leaf", "Top,top,leaf", "Deep,deep,lost")
     assert second == {"leaf": "mid", "mid": "top", "top": None, "lost": "leaf", "deep": "lost"}
-    reasons = [r.reason for r in tables.read_changes(spark, f"{root}/rejects").collect()]
+    reasons = [r.reason for r in Store(spark, root).log("rejects").collect()]
     assert sum("does not exist" in r for r in reasons) == 1 and sum("cyclic" in r for r in reasons) == 3
-    jobs = tables.read_changes(spark, f"{root}/jobs")
+    jobs = Store(spark, root).log("jobs")
     # leaf and mid came with their parents, deep with lost; lost's own parent was stored.
     assert jobs.count() == 5
     assert jobs.filter(F.get_json_object("payload", "$.parent_in_submission") == "true").count() == 3
@@ -73,7 +76,8 @@ def test_replayed_batch_writes_the_same_rows(spark, tmp_path):
                                  "submission_id string, row_index long, name string, email string,"
                                  " phone string, reason string")
     root = str(tmp_path)
-    read = lambda n: rows_of(tables.read_changes(spark, f"{root}/{n}"))
+    store = Store(spark, root)
+    read = lambda n: rows_of(store.rows(n) if n == "users" else store.log(n))
     ingest.apply_records(rows, USERS, root, 4, "2024-01-01 00:00:00")
     first = [read(n) for n in ("jobs", "users", "workloads", "rejects")]
     ingest.apply_records(rows, USERS, root, 4, "2024-01-01 00:00:00")
@@ -119,6 +123,67 @@ def test_live_progress_over_batches(spark, tmp_path):
     assert late.completed_items == 1
 
 
+def test_folded_status_log_reads_the_same(spark, tmp_path):
+    root = str(tmp_path)
+    store = Store(spark, root)
+    schema = "id int, workload_id string, status string, changed_at string, change_seq bigint"
+
+    def arrive(n, *changes):
+        rows = spark.createDataFrame([(*c, n) for c in changes], schema)
+        store.apply(lambda b: b.append(live.STATUSES, rows), live.STATUSES, n)
+
+    for n in range(6):
+        arrive(n, (n, "w", "queued", "01"), (1, "w", "running", f"0{n}"))
+        if n in (2, 4):
+            live.fold_statuses(spark, root)
+            assert len(store.state().logs[live.STATUSES]["paths"]) == 1
+    assert len(store.state().logs[live.STATUSES]["paths"]) == 2
+    # A change older than the folded one, and a replayed batch, move nothing.
+    arrive(6, (1, "w", "queued", "02"))
+    arrive(3, (1, "w", "failed", "99"))
+    found = {r.id: r.status for r in live.latest_statuses(spark, root).collect()}
+    assert found == {0: "queued", 1: "running", 2: "queued", 3: "queued", 4: "queued", 5: "queued"}
+    store.expire(keep=1)
+    assert len(list((tmp_path / live.STATUSES).iterdir())) == 3
+    assert live.latest_statuses(spark, root).count() == 6
+
+
+def test_progress_as_state_equals_counting_the_newest_statuses(spark, tmp_path):
+    import random
+    source, root, rng = str(tmp_path / "in"), str(tmp_path / "out"), random.Random(2)
+    names = ["queued", "running", "succeeded", "failed", "retrying", "dead_letter", "cancelled"]
+    newest = {}
+
+    def arrive(rows):
+        for job, work, status, at in rows:
+            newest[job] = max(newest.get(job, ("", "", "")), (at, status, work))
+        frame = spark.createDataFrame(rows, "id int, workload_id string, status string, at string")
+        (frame.withColumn("changed_at", F.col("at").cast("timestamp")).drop("at").coalesce(1)
+         .write.mode("append").parquet(source))
+        stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
+        live.start_progress(stream, root, str(tmp_path / "check")).awaitTermination()
+        found = {r.workload_id: tuple(r)[1:] for r in live.read_progress(spark, root).collect()}
+        jobs = spark.createDataFrame([(w, s) for _, s, w in newest.values()],
+                                     "workload_id string, status string")
+        counted = {r.workload_id: tuple(r)[1:] for r in status_counts(jobs).collect()}
+        assert {w: c for w, c in found.items() if any(c)} == counted
+        return found
+
+    def change(at):
+        job = rng.randint(0, 40)
+        return (job, "hot" if job % 3 else f"w{job % 6}", rng.choice(names), at)
+
+    arrive([change(f"2024-01-01 00:00:{rng.randint(10, 59)}") for _ in range(60)])
+    live.fold_progress(spark, root)
+    before = arrive([change("2024-01-01 00:01:00") for _ in range(10)])
+    # Late changes move no job back.
+    known = list(newest)
+    assert arrive([(j, newest[j][2], "queued", "2023-01-01 00:00:00") for j in known]) == before
+    # A job that moves to another workload leaves the first one.
+    moved = arrive([(known[0], "elsewhere", "running", "2025-01-01 00:00:00")])
+    assert moved["elsewhere"] == (0, 1, 0, 0, 0, 0)
+
+
 def test_retry_release_skips_cancelled_jobs(spark, tmp_path):
     root = str(tmp_path)
     policy = F.struct(F.lit(1000).alias("initial_backoff_ms"), F.lit(60000).alias("max_backoff_ms"),
