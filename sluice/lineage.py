@@ -10,7 +10,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,3 +37,10 @@ def cut(df: DataFrame, label: str = "round") -> DataFrame:
     path = fresh_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def counted_cut(df: DataFrame, label: str, count: Column) -> tuple[DataFrame, int]:
+    """As ``cut``; also the value of an aggregate over the rows, taken while they are written."""
+    seen = Observation()
+    written = cut(df.observe(seen, F.coalesce(count, F.lit(0)).alias("n")), label)
+    return written, seen.get.get("n") or 0

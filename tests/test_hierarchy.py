@@ -92,6 +92,53 @@ def test_resolve(spark, stored, accepted, expected):
     assert {s: v[0] for s, v in got.items()} == expected
 
 
+def resolved(stored, accepted):
+    """Withdraw failing replacements whose failing ancestors are none (or themselves), again
+    and again, by walking."""
+    live, verdict = dict(accepted), {}
+    while True:
+        tree = {**stored, **live}
+        now = {s: walk(tree, s) for s in live}
+        failing = {s for s in live if now[s][0] != "ok" and s in stored}
+        if not failing:
+            return {**verdict, **now}
+
+        def blocked(s):
+            if now[s][1] == s:
+                return False
+            cur, seen = tree[s], []
+            while cur is not None and len(seen) < hierarchy.MAX_DEPTH + 2:
+                seen.append(cur)
+                cur = tree.get(cur)
+            return any(x in failing for x in seen)
+
+        gone = {s for s in failing if not blocked(s)}
+        assert gone
+        verdict |= {s: now[s] for s in gone}
+        for s in gone:
+            del live[s]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_resolve_random_replacements(spark, seed):
+    rng = random.Random(seed)
+    names = [f"n{i}" for i in range(120)]
+
+    def parent(i):
+        kind = rng.random()
+        return (None if kind < 0.1 else "ghost" if kind < 0.17 else rng.choice(names)
+                if kind < 0.35 else names[max(0, i - rng.randint(1, 4))])
+
+    stored = {n: parent(i) for i, n in enumerate(names) if rng.random() < 0.7}
+    accepted = {n: parent(i) for i, n in enumerate(names) if rng.random() < 0.5}
+    for tree in (stored, accepted):
+        for n in [n for n, p in tree.items() if p == n]:
+            tree[n] = None
+    frame = lambda d: spark.createDataFrame(list(d.items()), SCHEMA)
+    got = verdicts(hierarchy.hierarchy_resolve(frame(stored), frame(accepted)))
+    assert got == resolved(stored, accepted)
+
+
 def test_children_and_messages(spark):
     from pyspark.sql import functions as F
     tree = spark.createDataFrame([("a", None), ("b", "a"), ("c", "a"), ("d", "x")], SCHEMA)
