@@ -265,6 +265,21 @@ def _(t):
     return progress.attempt_outcomes(attempts.withColumn("max_attempts", F.lit(40)))
 
 
+@query("agg8_attempt_counters", f"""
+WITH finished AS (SELECT CASE WHEN outcome = 'failed' AND retryable THEN CASE
+    WHEN attempt_number >= 40 THEN 'dead_letter' ELSE 'retrying' END ELSE outcome END AS result,
+  epoch_ms(finished_at - started_at) AS ms FROM {NUMBERED_SQL} WHERE attempt_id % 10 <> 0)
+SELECT result, count(*) AS attempts, CAST(sum(ms) AS BIGINT) AS total_ms, min(ms) AS min_ms,
+  max(ms) AS max_ms FROM finished GROUP BY 1
+UNION ALL SELECT 'started', (SELECT count(*) FROM events), CAST(sum(ms) AS BIGINT), min(ms), max(ms)
+FROM finished""")
+def _(t):
+    attempts = jobs.number_attempts(t.shape(shapes.SPARK_ATTEMPTS)).withColumns({
+        "max_attempts": F.lit(40),
+        "outcome": F.when(F.col("attempt_id") % 10 != 0, F.col("outcome"))})
+    return progress.attempt_counters(attempts)
+
+
 # ------------------------------------------------------------ rows in order
 
 @query("win3_row_numbering", """

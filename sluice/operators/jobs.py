@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from sluice import functions as fn
 from sluice.functions.status import DEFAULT_RETRY_POLICY
-from sluice.operators.skew import first_n, lookup, number_rows
+from sluice.lineage import cut
+from sluice.operators.ranges import dense_index, number_by_range
+from sluice.operators.skew import first_n, lookup
 from sluice.plans.targets import Target
 
 KIB = 1024
@@ -154,9 +156,8 @@ def still_retrying(candidates: DataFrame, latest: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- attempts
 
 def number_attempts(attempts: DataFrame, base: str = "attempt_number") -> DataFrame:
-    """Attempt number per job by start time; busy jobs are numbered hour by hour."""
-    return number_rows(attempts, ["job_id"], F.date_trunc("hour", "started_at"),
-                       [F.col("started_at"), F.col("attempt_id")], base)
+    """Attempt number per job by start time, then id; a busy job is laid in many ranges."""
+    return number_by_range(attempts, ["job_id"], ["started_at", "attempt_id"], base)
 
 
 def apply_attempts(jobs: DataFrame, attempts: DataFrame) -> DataFrame:
@@ -169,42 +170,51 @@ def apply_attempts(jobs: DataFrame, attempts: DataFrame) -> DataFrame:
     failure that uses up the policy; later attempts are skipped.  All attempts
     before the ending one are failures that leave the job runnable, so the
     final state depends only on the ending attempt and the one before it.
+
+    The log is read once: laid out by job and time, it meets the jobs' budgets and is written
+    with each attempt's number.  One partially aggregated pass over that finds the ends.
     """
     live = jobs.filter(~fn.is_terminal(F.col("status")))
+    columns = ["job_id", "outcome", "retryable", "finished_at", "error_message"]
+    indexed = dense_index(attempts, ["job_id", "started_at", "attempt_id"], columns, index="_at")
+    spans = indexed.groupBy("job_id").agg(F.min("_at").alias("_first"),
+                                          F.count(F.lit(1)).alias("_n"))
     limits = live.select(F.col("id").alias("job_id"),
                          F.greatest(F.col("max_attempts") - F.col("attempt_count"),
                                     F.lit(1)).alias("_left"))
-    numbered = number_attempts(attempts, "_n")
-    tries = attempts.groupBy("job_id").agg(F.count(F.lit(1)).alias("_n"))
-    limited = lookup(numbered.withColumnRenamed("_n", "_nth"), limits, ["job_id"],
-                     spread=["attempt_id"], weights=tries)
+    # One row per job on both sides.
+    budgets = spans.join(limits, "job_id")
+    nth = (F.col("_at") - F.col("_first") + 1).cast("bigint")
+    numbered = cut(lookup(indexed, budgets, ["job_id"], spread=["_at"]).filter(
+        F.col("_left").isNotNull()).select(*columns, "_left", nth.alias("_nth")), "numbered")
     failed_retryable = (F.col("outcome") == "failed") & F.col("retryable")
     ending = (F.col("outcome").isin("succeeded", "cancelled")
               | (failed_retryable & (F.col("_nth") >= F.col("_left"))))
-    stops = (limited.filter(F.col("_left").isNotNull()).groupBy("job_id")
-             .agg(F.min(F.when(ending, F.col("_nth"))).alias("_end"),
-                  F.max("_nth").alias("_count")))
-    stops = stops.withColumn("_stop", F.coalesce("_end", "_count"))
-    wanted = stops.select("job_id", F.explode(F.array(F.col("_stop"), F.col("_stop") - 1))
-                          .alias("_n"))
-    # (job_id, _n) is unique: no key is repeated on either side of this join.
-    picked = numbered.join(wanted, ["job_id", "_n"])
-    is_failure = F.col("outcome").isin("failed", "timed_out")
-    # At most two rows per job remain.
-    last = picked.groupBy("job_id").agg(
-        F.max_by(F.struct("outcome", "retryable", "finished_at"), "_n").alias("_last"),
-        F.max_by(F.when(is_failure, F.col("error_message")),
-                 F.when(is_failure, F.col("_n"))).alias("_error"))
-    verdict = stops.join(last, "job_id")
-    joined = jobs.join(verdict.withColumnRenamed("job_id", "id"), "id", "left")
-    ran = F.col("_stop").isNotNull()
+    facts = F.struct("outcome", "retryable", "finished_at", "error_message", "_nth")
+    ends = numbered.groupBy("job_id").agg(
+        F.min_by(F.when(ending, facts), F.when(ending, F.col("_nth"))).alias("_end"),
+        F.max_by(facts, "_nth").alias("_latest"))
+    stops = ends.select("job_id", F.col("_end").isNotNull().alias("_ended"),
+                        F.coalesce("_end", "_latest").alias("_last"))
+    # Where the last attempt did not fail, the error is that of the one before it.
+    is_failure = F.col("_last.outcome").isin("failed", "timed_out")
+    asked = stops.filter(~is_failure).select("job_id", (F.col("_last._nth") - 1).alias("_nth"))
+    earlier = numbered.join(asked, ["job_id", "_nth"]).select(
+        "job_id", F.when(F.col("outcome").isin("failed", "timed_out"), F.col("error_message"))
+        .alias("_earlier"))
+    verdict = stops.join(earlier, "job_id", "left").select(
+        F.col("job_id").alias("id"), "_ended", "_last",
+        F.when(is_failure, F.col("_last.error_message")).otherwise(F.col("_earlier"))
+        .alias("_error"))
+    joined = jobs.join(verdict, "id", "left")
+    ran = F.col("_last").isNotNull()
     outcome = F.col("_last.outcome")
     status = (F.when(~ran, F.col("status"))
               .when(outcome.isin("succeeded", "cancelled"), outcome)
               .when((outcome == "failed") & F.col("_last.retryable"),
-                    F.when(F.col("_end").isNotNull(), "dead_letter").otherwise("retrying"))
+                    F.when(F.col("_ended"), "dead_letter").otherwise("retrying"))
               .otherwise("failed"))
-    used = F.when(ran, F.col("_stop") - F.when(outcome == "cancelled", 1).otherwise(0))
+    used = F.when(ran, F.col("_last._nth") - F.when(outcome == "cancelled", 1).otherwise(0))
     return joined.select(
         *[c for c in jobs.columns if c not in ("status", "attempt_count", "last_error",
                                                "updated_at")],

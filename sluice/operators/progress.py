@@ -108,6 +108,21 @@ def attempt_outcomes(attempts: DataFrame) -> DataFrame:
         F.min("_ms").alias("min_ms"), F.max("_ms").alias("max_ms"))
 
 
+def attempt_counters(attempts: DataFrame) -> DataFrame:
+    """The counters of an executor: ``started`` and one per result, with their run times.
+
+    Every attempt was started; an attempt without an outcome yet counts there alone.
+    """
+    finished = attempt_outcomes(attempts.filter(F.col("outcome").isNotNull()))
+    # At most six results are added up.
+    every = finished.agg(F.sum("total_ms").alias("total_ms"), F.min("min_ms").alias("min_ms"),
+                         F.max("max_ms").alias("max_ms"))
+    started = attempts.agg(F.count(F.lit(1)).alias("attempts")).select(
+        F.lit("started").alias("result"), "attempts")
+    return finished.unionByName(started.join(F.broadcast(every.withColumn(
+        "result", F.lit("started"))), "result"))
+
+
 def provenance(records: DataFrame, jobs: DataFrame, workloads: DataFrame,
                record_key: str) -> DataFrame:
     """Record -> job -> workload; either link may be absent."""

@@ -63,6 +63,33 @@ def test_apply_attempts_folds_in_order(spark):
             for r in got.collect()} == expected
 
 
+@pytest.mark.parametrize("ends_by", ["budget", "success", "nothing"])
+def test_a_job_with_all_attempts_in_one_second(spark, ends_by):
+    job_rows = [(1, "queued", 2, 1502 if ends_by == "budget" else 10**6, None, T0),
+                (2, "queued", 0, 3, None, T0)]
+    attempt_rows = [(1, i, T0, T0 + dt.timedelta(seconds=i), "failed" if i % 3 else "timed_out",
+                     True, f"e{i}") for i in range(3000)]
+    if ends_by == "success":
+        attempt_rows[1700] = (1, 1700, T0, T0, "succeeded", False, None)
+    attempt_rows.append((2, 5000, T0, T0, "cancelled", False, "stop"))
+    expected = {j[0]: fold(j, [a for a in attempt_rows if a[0] == j[0]]) for j in job_rows}
+    random.Random(3).shuffle(attempt_rows)
+    got = jobs.apply_attempts(spark.createDataFrame(job_rows, JOB),
+                              spark.createDataFrame(attempt_rows, ATTEMPT).repartition(5))
+    assert {r.id: (r.id, r.status, r.attempt_count, r.max_attempts, r.last_error, r.updated_at)
+            for r in got.collect()} == expected
+
+
+def test_the_log_of_attempts_is_scanned_once(spark, tmp_path):
+    spark.createDataFrame([(1, 1, T0, T0, "failed", True, "e")], ATTEMPT).write.parquet(
+        str(tmp_path / "log"))
+    log = spark.read.parquet(str(tmp_path / "log"))
+    job = spark.createDataFrame([(1, "queued", 0, 3, None, T0)], JOB)
+    plan = jobs.apply_attempts(job, log)._jdf.queryExecution().optimizedPlan().toString()
+    # What the plan reads is the written, numbered log.
+    assert str(tmp_path / "log") not in plan and "started_at" not in plan
+
+
 def test_attempt_numbers_and_outcomes(spark):
     rows = [(1, i, T0 + dt.timedelta(days=3 - i), T0 + dt.timedelta(days=3 - i, seconds=i),
              ["failed", "failed", "succeeded", "timed_out"][i], i == 1, "e") for i in range(4)]
