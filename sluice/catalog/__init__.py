@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from sluice.catalog import functions, jobs, records, sources, stored, streams  # noqa: F401
+from sluice.catalog import (  # noqa: F401
+    functions, intake, jobs, records, sources, stored, streams)
 from sluice.catalog.base import ORACLES, QUERIES, runner
 
 

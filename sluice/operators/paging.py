@@ -37,10 +37,88 @@ def size_parameter(raw: str | None, default: int) -> int:
     return int(raw) if raw is not None and raw.isascii() and raw.isdigit() else default
 
 
+def before(keys: Sequence[str], bound: Sequence) -> Column:
+    """Whether a row comes before ``bound`` in the order of ``keys``, NULL first."""
+    found = F.lit(False)
+    for name, value in reversed(list(zip(keys, bound))):
+        column = F.col(name)
+        if value is None:
+            found = column.isNull() & found
+        else:
+            less = column.isNull() | (column < F.lit(value))
+            found = less | ((column == F.lit(value)) & found)
+    return F.coalesce(found, F.lit(False))
+
+
+def page_after(table: DataFrame, limit: int, after: Sequence | None = None,
+               order: Sequence[str] = ("created_at", "id")) -> DataFrame:
+    """The page behind the row with key ``after``; its cost does not grow with the position.
+
+    ``order`` must end in a unique column.
+    """
+    if after is not None:
+        same = F.lit(True)
+        for name, value in zip(order, after):
+            same = same & F.col(name).eqNullSafe(F.lit(value))
+        # The first key column alone is a range that reaches the scan.
+        if after[0] is not None:
+            table = table.filter(F.col(order[0]) >= F.lit(after[0]))
+        table = table.filter(~before(order, after) & ~same)
+    return table.orderBy(*order).limit(limit)
+
+
+# Up to this offset a page is a top-k of offset + limit rows.
+SHALLOW = 10_000
+# A deep offset is narrowed by this many bounds from a sample of SAMPLED keys, again and again.
+BOUNDS = 64
+SAMPLED = 4096
+
+
 def page(table: DataFrame, limit: int, offset: int,
-         order: Sequence[str] = ("created_at", "id")) -> DataFrame:
-    """One page; runs as a top-k, not as a full sort."""
-    return table.orderBy(*order).offset(offset).limit(limit)
+         order: Sequence[str] = ("created_at", "id"), shallow: int = SHALLOW) -> DataFrame:
+    """One page; runs as a top-k, not as a full sort.
+
+    Far down the table, rows before each of a few sampled keys are counted first, and only
+    the range around the page is kept, until what is left of the offset is shallow.
+    """
+    order = list(order)
+    low = high = None
+    while offset > shallow:
+        part = _between(table, order, low, high)
+        size = part.count()
+        taken = part.select(*order).sample(min(1.0, SAMPLED / max(size, 1)), seed=7)
+        keys = sorted({tuple(r) for r in taken.limit(4 * SAMPLED).collect()},
+                      key=lambda k: tuple((v is not None, v) for v in k))
+        bounds = keys[::max(1, len(keys) // BOUNDS)]
+        if not bounds:
+            break
+        counts = part.agg(*[F.count_if(before(order, b)).alias(str(i))
+                            for i, b in enumerate(bounds)]).first()
+        above = [i for i in range(len(bounds)) if counts[i] <= offset]
+        below = [i for i in range(len(bounds)) if counts[i] >= offset + limit]
+        start, end = above[-1] if above else None, below[0] if below else None
+        if start is None and end is None or (
+                (start is None or counts[start] == 0) and (end is None or counts[end] == size)):
+            break
+        low = bounds[start] if start is not None else low
+        high = bounds[end] if end is not None else high
+        offset -= counts[start] if start is not None else 0
+    return _between(table, order, low, high).orderBy(*order).offset(offset).limit(limit)
+
+
+def _between(table: DataFrame, order: Sequence[str], low: tuple | None,
+             high: tuple | None) -> DataFrame:
+    """Rows from key ``low`` to before key ``high``; the first column also reaches the scan."""
+    first = order[0]
+    if low is not None:
+        table = table.filter(~before(order, low))
+        if low[0] is not None:
+            table = table.filter(F.col(first) >= F.lit(low[0]))
+    if high is not None:
+        table = table.filter(before(order, high))
+        if high[0] is not None:
+            table = table.filter(F.col(first).isNull() | (F.col(first) <= F.lit(high[0])))
+    return table
 
 
 def page_with_total(table: DataFrame, limit: int, offset: int,

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.lineage import cut
 from sluice.operators import dedupe, hierarchy, jobs, progress, validate
 from sluice.operators.align import align_exact, align_maps
 from sluice.plans.targets import CATEGORIES, USERS, Target
-from sluice.sources.csv import extract_csv
+from sluice.sources.csv import extract_csv, extract_csv_split
 
 
 @dataclass(frozen=True)
@@ -22,6 +22,8 @@ class Preview:
     records: DataFrame
     rejects: DataFrame
     summary: DataFrame
+    # Mean confidence and warning per submission, where the source has them.
+    notes: DataFrame | None = None
 
 
 @dataclass(frozen=True)
@@ -33,7 +35,7 @@ class Confirmed:
     summary: DataFrame
 
 
-def preview(records: DataFrame, target: Target) -> Preview:
+def preview(records: DataFrame, target: Target, notes: DataFrame | None = None) -> Preview:
     """Align, validate and de-duplicate extracted records.
 
     ``records`` has submission_id, row_index, ``fields`` and the extraction's
@@ -45,7 +47,7 @@ def preview(records: DataFrame, target: Target) -> Preview:
     accepted = deduped.filter(F.col("reason").isNull()).drop("reason", "stage")
     rejects = deduped.filter(F.col("reason").isNotNull()).select(
         "submission_id", "row_index", "stage", "reason")
-    return Preview(deduped, accepted, rejects, progress.ingest_summary(deduped))
+    return Preview(deduped, accepted, rejects, progress.ingest_summary(deduped), notes)
 
 
 def confirm(records: DataFrame, target: Target, now: Column) -> Confirmed:
@@ -63,9 +65,20 @@ def direct_import(files: DataFrame, now: Column, max_bytes: int | None = None,
                   max_rows: int | None = None) -> tuple[Confirmed, DataFrame]:
     """Strict users CSV straight to jobs; also returns the refused files."""
     records, refused = extract_csv(files, True, max_bytes, max_rows)
+    return _import_users(records, now), refused
+
+
+def direct_import_path(spark: SparkSession, path: str | list[str],
+                       now: Column) -> tuple[Confirmed, DataFrame]:
+    """As ``direct_import`` for files of any size: they are split across tasks."""
+    records, refused = extract_csv_split(spark, path, strict_users=True)
+    return _import_users(records, now), refused
+
+
+def _import_users(records: DataFrame, now: Column) -> Confirmed:
     checked = validate.annotate(align_exact(records, USERS), USERS)
     deduped = dedupe.keep_first_naming_row(checked, USERS.key)
-    return _fan_out(deduped, USERS, now), refused
+    return _fan_out(deduped, USERS, now)
 
 
 def _fan_out(annotated: DataFrame, target: Target, now: Column) -> Confirmed:

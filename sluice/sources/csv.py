@@ -33,16 +33,36 @@ def read_files(spark: SparkSession, path: str | list[str], max_bytes: int | None
 
     With a limit, files over ``max_bytes`` are listed without reading them (the
     length test reaches the scan).  Spark's scan passes over files of zero
-    bytes, so those give no row here.
+    bytes; those come from its listing.
     """
     files = spark.read.format("binaryFile").load(path)
     name = F.col("path").alias("submission_id")
+    empty = empty_files(spark, path).select(
+        "submission_id", F.lit(b"").alias("content"), F.lit(0).cast("bigint").alias("length"))
     if max_bytes is None:
-        return files.select(name, "content", "length")
+        return files.select(name, "content", "length").unionByName(empty)
     read = files.filter(F.col("length") <= max_bytes).select(name, "content", "length")
     listed = files.filter(F.col("length") > max_bytes).select(
         name, F.lit(None).cast("binary").alias("content"), "length")
-    return read.unionByName(listed)
+    return read.unionByName(listed).unionByName(empty)
+
+
+def empty_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``submission_id`` of the files of zero bytes: listed by Spark, but not scanned.
+
+    The names of all files are on the driver once, as in any file scan.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    listed = spark.createDataFrame([(f,) for f in files.inputFiles()], "f string").select(
+        _file_name(F.col("f")).alias("submission_id"))
+    return listed.join(files.select(F.col("path").alias("submission_id")), "submission_id",
+                       "left_anti")
+
+
+def _file_name(encoded: Column) -> Column:
+    """One name for a file in listings, metadata and ``binaryFile``: those before are encoded."""
+    return F.regexp_replace(F.url_decode(F.replace(encoded, F.lit("+"), F.lit("%2B"))),
+                            "^file:///", "file:/")
 
 
 def _unquote(field: Column) -> Column:
@@ -226,10 +246,7 @@ def read_pieces(spark: SparkSession, path: str | list[str]) -> DataFrame:
     Up to the first malformed record an odd number of quotes before a line says that it
     begins inside one.
     """
-    # One name for a file here and in ``read_files``: the metadata are percent-encoded.
-    name = F.regexp_replace(
-        F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))),
-        "^file:///", "file:/")
+    name = _file_name(F.col("_metadata.file_path"))
     value = F.col("value")
     quotes = F.octet_length(value) - F.octet_length(F.replace(value, F.lit('"'), F.lit("")))
     lines = spark.read.option("lineSep", "\n").text(path).select(
@@ -254,10 +271,10 @@ def read_pieces(spark: SparkSession, path: str | list[str]) -> DataFrame:
                                         first["_id"].alias("_id"), text.alias("content"))))
 
 
-def extract_csv_split(spark: SparkSession,
-                      path: str | list[str]) -> tuple[DataFrame, DataFrame]:
+def extract_csv_split(spark: SparkSession, path: str | list[str],
+                      strict_users: bool = False) -> tuple[DataFrame, DataFrame]:
     """As ``extract_csv`` without limits, but large files are split across tasks."""
-    subject = "CSV input"
+    subject = "CSV file" if strict_users else "CSV input"
     pieces = read_pieces(spark, path).withColumn("_valid", F.is_valid_utf8("content"))
     read = tokenize_csv(pieces, whole=False)
     stop = (F.when(F.col("stopped").rlike(UNTERMINATED),
@@ -283,7 +300,7 @@ def extract_csv_split(spark: SparkSession,
               .when(F.col("_head").isNull(), F.lit(f"{subject} must contain a header row")))
     headed = compute_once(judged, ["submission_id"], {
         "file_reason": reason, "header": F.when(reason.isNull(), split_record(F.col("_head")))})
-    checked = header_duplicates(headed)
+    checked = header_users_strict(headed) if strict_users else header_duplicates(headed)
     admitted = checked.filter(F.col("file_reason").isNull()).select("submission_id", "header")
     # One row per split and one per file: far smaller than the data, and AQE checks
     # their size before they are broadcast.
@@ -298,7 +315,9 @@ def extract_csv_split(spark: SparkSession,
                           {"fields": split_record(F.col("_record"))})
     refused = (checked.filter(F.col("file_reason").isNotNull())
                .select("submission_id", F.col("file_reason").alias("reason")))
-    return row_to_record(row_arity_check(fields)), refused
+    empty = empty_files(spark, path).select("submission_id",
+                                            F.lit(f"{subject} is empty").alias("reason"))
+    return row_to_record(row_arity_check(fields)), refused.unionByName(empty)
 
 
 # ------------------------------------------------------------- bulk path

@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from sluice import functions as fn
 from sluice.operators.barrier import compute_once
-from sluice.operators.skew import lookup, number_rows
+from sluice.operators.ranges import dense_index
+from sluice.operators.skew import lookup
 from sluice.sources.csv import row_arity_check, row_to_record
 
 # The service's own limit.  Nothing applies it unless a caller asks for it.
 MAX_TABLE_ROWS = 200
 # Lines numbered together; an image with more is numbered by many tasks.
-LINE_BLOCK = 4096
 LOW_CONFIDENCE = 70.0
 LINE = ("block_num", "par_num", "line_num")
 
@@ -93,7 +93,7 @@ def column_starts(words: DataFrame, figures: DataFrame) -> DataFrame:
 
 
 def table_lines(words: DataFrame, figures: DataFrame) -> DataFrame:
-    """One row per printed line: its first word's position and its cells."""
+    """One row per printed line: its first word's position, its cells and its place."""
     lines = column_starts(words, figures)
     texts = F.col("words.text")
 
@@ -101,8 +101,10 @@ def table_lines(words: DataFrame, figures: DataFrame) -> DataFrame:
         after = F.coalesce(F.get("starts", i + 1), F.size("words") + 1)
         return fn.trim_header(F.array_join(F.slice(texts, start, after - start), " "))
 
-    return compute_once(lines, ["submission_id", *LINE, "first_pos"],
-                        {"fields": F.transform("starts", cell)})
+    cells = compute_once(lines, ["submission_id", *LINE, "first_pos"],
+                         {"fields": F.transform("starts", cell)})
+    # Written once, in order: checks and rows are made from that.
+    return dense_index(cells, ["submission_id", "first_pos"], index="line_at")
 
 
 def ocr_table_checks(lines: DataFrame, images: DataFrame | None = None,
@@ -127,19 +129,16 @@ def ocr_table_checks(lines: DataFrame, images: DataFrame | None = None,
 def ocr_table_rebuild(lines: DataFrame, checks: DataFrame) -> DataFrame:
     """Data rows of the admitted images with header, row index and arity reason.
 
-    Lines are numbered block by block of their first word's position, so an
-    image may have any number of them.
+    A line's row is its place behind the first line of its image; the header comes from the
+    same pass over the lines.  An image may have any number of lines.
     """
-    passed = checks.select("submission_id", F.col("file_reason").isNull().alias("_ok"),
-                           F.coalesce("lines", F.lit(0)).alias("_n"))
-    admitted = lookup(lines, passed, ["submission_id"], spread=list(LINE)).filter("_ok")
-    block = F.floor(F.col("first_pos") / LINE_BLOCK)
-    numbered = number_rows(admitted.drop("_ok"), ["submission_id"], block, [F.col("first_pos")],
-                           "_number")
-    headers = numbered.filter(F.col("_number") == 1).select(
-        "submission_id", F.col("fields").alias("header"))
-    placed = (lookup(numbered, headers, ["submission_id"], spread=list(LINE))
-              .withColumn("row_index", F.col("_number") - 1).drop("_number"))
+    passed = checks.filter(F.col("file_reason").isNull()).select("submission_id")
+    firsts = lines.groupBy("submission_id").agg(
+        F.min("line_at").alias("_first"), F.min_by("fields", "line_at").alias("header"),
+        F.count(F.lit(1)).alias("_n")).join(passed, "submission_id")
+    placed = (lookup(lines, firsts, ["submission_id"], spread=["line_at"])
+              .filter(F.col("_first").isNotNull())
+              .withColumn("row_index", F.col("line_at") - F.col("_first")))
     rows = placed.filter(F.col("row_index") > 0).select(
         "submission_id", F.col("row_index").cast("bigint").alias("row_index"), "header",
         "fields")
