@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from sluice import files
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a temporary one only in local mode."""
@@ -39,6 +41,14 @@ def cut(df: DataFrame, label: str = "round") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(frame: DataFrame) -> None:
+    """Delete what ``cut`` wrote, once everything made from it is written elsewhere."""
+    folders = {f.rsplit("/", 1)[0] for f in frame.inputFiles()}
+    for folder in folders:
+        if folder.rsplit("/", 1)[1].startswith("sluice-"):
+            files.delete(frame.sparkSession, folder)
+
+
 def counted_cut(df: DataFrame, label: str, count: Column) -> tuple[DataFrame, int]:
     """As ``cut``; also the value of an aggregate over the rows, taken while they are written."""
     seen = Observation()
