@@ -36,11 +36,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluice.lineage import release
 from sluice.llm.common import WORD, bitmap, cut, in_bitmap, unused
 
 THRESHOLD = 0.8
 BUCKETS = 1 << 16
 LEADS = 3
+# A pair travels with a whole set; pairs are verified in so many turns, one after the other,
+# each of which frees its shuffle.
+TURNS = 4
 EPS = 1e-9
 
 
@@ -156,15 +160,24 @@ def _later(docs: DataFrame, ranks: Column, reps: DataFrame, pairs: DataFrame,
             .agg(F.min(F.struct(_place().alias("place"), "t")).alias("s")))
     sets = cut(sets.join(keys.distinct(), "key", "left_semi")
                .select("key", "s.place", "s.t"), "sets")
-    joined = (pairs.join(sets.select(F.col("key").alias("a"), F.col("place").alias("pa"),
-                                     F.col("t").alias("ta")), "a")
-              .join(sets.select(F.col("key").alias("b"), F.col("place").alias("pb"),
-                                F.col("t").alias("tb")), "b"))
     common = F.size(F.array_intersect("ta", "tb"))
     union = F.size("ta") + F.size("tb") - common
-    return (joined.filter(common >= union * threshold - EPS)
-            .select(F.when(F.col("pa") < F.col("pb"), F.col("b")).otherwise(F.col("a"))
-                    .alias("key")).distinct())
+    later = F.when(F.col("pa") < F.col("pb"), F.col("b")).otherwise(F.col("a"))
+    found = []
+    for turn in range(TURNS):
+        some = pairs.filter(F.pmod(F.xxhash64("a", "b"), F.lit(TURNS)) == turn)
+        joined = (some.join(sets.select(F.col("key").alias("a"), F.col("place").alias("pa"),
+                                        F.col("t").alias("ta")), "a")
+                  .join(sets.select(F.col("key").alias("b"), F.col("place").alias("pb"),
+                                    F.col("t").alias("tb")), "b"))
+        found.append(cut(joined.filter(common >= union * threshold - EPS)
+                         .select(later.alias("key")).distinct(), "later"))
+    release(pairs)
+    release(sets)
+    every = found[0]
+    for part in found[1:]:
+        every = every.union(part)
+    return every.distinct()
 
 
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
