@@ -1,11 +1,18 @@
 """Chat formatting in budgeted windows with a loss mask.
 
-Turns of a conversation get prefix sums of their tokens.  A turn belongs to the span
-that its prefix falls into (``STRIDE`` tokens each), so spans are aligned to turns and
-need no sequential packing.  A window is one span's turns, its targets, after
+Turns of a conversation get prefix sums of their tokens.  What a window may hold, ``BUDGET``
+tokens, is dealt out beforehand: ``HISTORY`` for repeated turns, ``SYSTEM`` for the system turn,
+the rest for targets.  A turn belongs to the span that its prefix falls into, spans being half
+of that rest wide, so a span's turns fit even where the last one reaches into the next span; a
+turn longer than half of the rest is a span of its own.  Spans are aligned to turns and need no
+sequential packing.  A window is one span's turns, its targets, after
 
-* the conversation's system turn, if it opens with one and the span is not the first,
-* at most ``HISTORY`` tokens of turns directly before the span, repeated as context.
+* the conversation's system turn, if it opens with one of at most ``SYSTEM`` tokens and the
+  window does not hold it anyway (system turns at other places are turns like any other),
+* the turns directly before the span, as many as fit ``HISTORY`` tokens, repeated as context.
+
+A turn that does not fit the rest alone stands alone and whole, without anything repeated:
+the only windows over the budget.
 
 Every turn is a target exactly once.  The loss mask covers the texts of assistant turns
 among the targets only; repeated ones are masked out.  ``repeated`` says how many
@@ -37,8 +44,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-STRIDE = 1024
+from sluice.llm.common import cut
+
+BUDGET = 2048
 HISTORY = 256
+SYSTEM = 512
 TURN_COST = 4
 BLOCK = 64
 # Tokens are counted with a tokenizer file where one is given, in pieces of this size.
@@ -81,74 +91,88 @@ def tokenizer_tokens(text: Column, path: str) -> Column:
     return F.pandas_udf(count, "bigint")(text)
 
 
-def placed_turns(turns: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """Turns with ``pos`` (1-based) and ``before`` (tokens before them)."""
+def placed_turns(turns: DataFrame, wide: int, tokenizer: str | None = None) -> DataFrame:
+    """Turns with ``pos`` (1-based), ``before`` (tokens before them) and ``bigs`` (turns of more
+    than ``wide`` tokens up to them)."""
     text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
     rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"))
     counted = tokenizer_tokens(F.col("text"), tokenizer) if tokenizer else (
         simple_tokens(F.col("text")))
     rows = (rows.withColumn("tokens", counted + TURN_COST)
             .withColumn("block", F.floor(F.col("turn") / BLOCK)))
+    big = (F.col("tokens") > wide).cast("int")
     keys = ["conv_id", "block"]
     within = Window.partitionBy(*keys).orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     # Running sums over rows, not over ties.
-    rows = (rows.withColumn("pos", F.row_number().over(within))
-            .withColumn("before", F.sum("tokens").over(
-                within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens")))
-    blocks = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t"))
+    up_to = within.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({
+        "pos": F.row_number().over(within),
+        "before": F.sum("tokens").over(up_to) - F.col("tokens"), "bigs": F.sum(big).over(up_to)})
+    blocks = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t"),
+                                     F.sum(big).alias("g"))
     earlier = (Window.partitionBy("conv_id").orderBy(F.col("block").asc_nulls_first())
                .rowsBetween(Window.unboundedPreceding, -1))
     offsets = blocks.select(
         F.col("conv_id").alias("_c"), F.col("block").alias("_b"),
-        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_n"),
-        F.coalesce(F.sum("t").over(earlier), F.lit(0)).alias("_t"))
+        *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_{c}") for c in ("n", "t", "g")])
     same = F.col("conv_id").eqNullSafe(F.col("_c")) & F.col("block").eqNullSafe(F.col("_b"))
     return (rows.join(offsets, same)
             .select("conv_id", "role", "text", "tokens",
                     (F.col("pos") + F.col("_n")).cast("bigint").alias("pos"),
-                    (F.col("before") + F.col("_t")).cast("bigint").alias("before")))
-
-
-def windows(turns: DataFrame, stride: int = STRIDE, history: int = HISTORY,
-            tokenizer: str | None = None) -> DataFrame:
-    """One row per window: conv_id, span, text, repeated, loss (array of start, end in
-    code points of text)."""
-    if history > stride:
-        raise ValueError("history must not exceed the stride")
-    placed = placed_turns(turns, tokenizer)
-    span = F.floor(F.col("before") / stride)
-    # Repeated in the next span if it starts within `history` tokens of its boundary.
-    lasts = ((span + 1) * stride - F.col("before") <= history) & (F.col("tokens") <= history)
-    into = F.array(F.struct(span.alias("span"), F.lit(False).alias("again")),
-                   F.when(lasts, F.struct((span + 1).alias("span"), F.lit(True).alias("again"))))
-    turn = F.struct("pos", F.col("into.again").alias("again"), "role",
-                    escape(F.col("text")).alias("text"))
-    spread = (placed.withColumn("into", F.explode(F.filter(into, lambda x: x.isNotNull())))
-              .select("conv_id", "into.span", turn.alias("t")))
-    gathered = (spread.groupBy("conv_id", "span").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-                # A span that only holds history has no targets.
-                .filter(F.exists("ts", lambda t: ~t["again"])))
-    system = (placed.filter((F.col("pos") == 1) & (F.col("role") == "system"))
-              .select(F.col("conv_id").alias("_c"), escape(F.col("text")).alias("system")))
-    joined = gathered.join(system, F.col("conv_id").eqNullSafe(F.col("_c")), "left").drop("_c")
-    made = F.pandas_udf(_format, "text string, repeated int, loss array<struct<start:int,end:int>>")
-    return (joined.withColumn("w", made("ts", "system"))
-            .select("conv_id", "span", "w.text", "w.repeated", "w.loss"))
-
-
-def _format(spans: pd.Series, systems: pd.Series) -> pd.DataFrame:
+                    (F.col("before") + F.col("_t")).cast("bigint").alias("before"),
+                    (F.col("bigs") + F.col("_g")).cast("bigint").alias("bigs")))
+
+
+def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY,
+            system: int = SYSTEM, tokenizer: str | None = None) -> DataFrame:
+    """One row per window: conv_id, span (tokens before its first target), text, repeated, loss
+    (array of start, end in code points of text), tokens."""
+    rest = budget - history - system
+    wide = rest // 2
+    if wide < TURN_COST:
+        raise ValueError("history and system leave no room for targets")
+    placed = cut(placed_turns(turns, wide, tokenizer), "placed")
+    big = F.col("tokens") > wide
+    turn = F.struct("pos", F.lit(False).alias("again"), "role",
+                    escape(F.col("text")).alias("text"), "tokens")
+    spans = cut(placed.groupBy(
+        "conv_id", F.floor(F.col("before") / wide).alias("part"), "bigs", big.alias("big")).agg(
+        F.min("before").alias("span"), F.array_sort(F.collect_list(turn)).alias("ts"),
+        F.sum("tokens").alias("t")).select(
+        "conv_id", "span", "ts", (F.col("t") > rest).alias("alone")), "spans")
+    # What precedes a span by at most ``history`` tokens lies in its bucket or the one before.
+    near = spans.filter(~F.col("alone") & (F.col("span") > 0)).select(
+        F.col("conv_id").alias("_c"), F.col("span").alias("_s"), F.explode(F.array(
+            F.floor(F.col("span") / history), F.floor(F.col("span") / history) - 1)).alias("_b"))
+    again = F.struct("pos", F.lit(True).alias("again"), "role",
+                     escape(F.col("text")).alias("text"), "tokens")
+    gap = F.col("_s") - F.col("before")
+    repeats = (placed.filter(F.col("tokens") <= history)
+               .withColumn("bucket", F.floor(F.col("before") / history))
+               .join(near, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("bucket") == F.col("_b")))
+               .filter((gap > 0) & (gap <= history))
+               .groupBy("_c", "_s").agg(F.array_sort(F.collect_list(again)).alias("old")))
+    joined = spans.join(repeats, F.col("conv_id").eqNullSafe(F.col("_c"))
+                        & (F.col("span") == F.col("_s")), "left").drop("_c", "_s")
+    first = (placed.filter((F.col("pos") == 1) & (F.col("role") == "system")
+                           & (F.col("tokens") <= system))
+             .select(F.col("conv_id").alias("_c"), F.struct(
+                 escape(F.col("text")).alias("text"), "tokens").alias("system")))
+    joined = joined.join(first, F.col("conv_id").eqNullSafe(F.col("_c")), "left").drop("_c")
+    whole = F.concat(F.coalesce("old", F.array().cast(joined.schema["ts"].dataType)), "ts")
+    made = F.pandas_udf(_format, "text string, repeated int, loss array<struct<start:int,end:int>>,"
+                                 " tokens bigint")
+    return (joined.withColumn("w", made(whole, F.when(~F.col("alone"), F.col("system"))))
+            .select("conv_id", "span", "w.text", "w.repeated", "w.loss", "w.tokens"))
+
+
+def _format(spans: pd.Series, systems: pd.DataFrame) -> pd.DataFrame:
     out = []
-    for turns, system in zip(spans, systems, strict=True):
-        turns = list(turns)
-        first = next(i for i, t in enumerate(turns) if not t["again"])
-        # History is what directly precedes the targets, without a gap.
-        head = first
-        while head and turns[head - 1]["pos"] == turns[head]["pos"] - 1:
-            head -= 1
-        used = turns[head:]
-        repeated = first - head
-        if system is not None and used[0]["pos"] > 1:
-            used = [{"role": "system", "text": system, "again": True}, *used]
+    for turns, text, cost in zip(spans, systems["text"], systems["tokens"], strict=True):
+        used = list(turns)
+        repeated = next(i for i, t in enumerate(used) if not t["again"])
+        if text is not None and used[0]["pos"] > 1:
+            used = [{"role": "system", "text": text, "again": True, "tokens": int(cost)}, *used]
             repeated += 1
         parts, loss, at = [], [], 0
         for t in used:
@@ -158,8 +182,8 @@ def _format(spans: pd.Series, systems: pd.Series) -> pd.DataFrame:
                 loss.append({"start": at + len(lead), "end": at + len(lead) + len(t["text"])})
             parts += [lead, t["text"], "</turn>\n"]
             at += len(lead) + len(t["text"]) + len("</turn>\n")
-        out.append(("".join(parts), repeated, loss))
-    return pd.DataFrame(out, columns=["text", "repeated", "loss"])
+        out.append(("".join(parts), repeated, loss, sum(t["tokens"] for t in used)))
+    return pd.DataFrame(out, columns=["text", "repeated", "loss", "tokens"])
 
 
 def read_window(text: str, repeated: int = 0) -> list[tuple[str, str]]:

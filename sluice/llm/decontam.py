@@ -37,6 +37,8 @@ N = 13
 ONE_IN = 20
 # At most so many windows are broadcast at once (about 200 bytes each).
 BLOCK_WINDOWS = 500_000
+# ... and so many bytes of their text.
+BLOCK_BYTES = 64 << 20
 TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 # Bytes of UTF-8: letters lower-cased, digits and non-ASCII kept, the rest a space.
@@ -152,13 +154,17 @@ def _scanner(shared):
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = N,
-              block_windows: int = BLOCK_WINDOWS) -> tuple[DataFrame, str]:
+              block_windows: int = BLOCK_WINDOWS,
+              block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, str]:
     """``docs`` with one more column, and its name: a struct of n_words, hit (indices
     of hit words, ascending) and items (ids of the items whose windows occur)."""
     spark = docs.sparkSession
     name = unused(docs, "hits")
     windows = cut(item_windows(benchmark, n), "windows")
-    blocks = max(1, math.ceil(windows.count() / block_windows))
+    size = windows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(
+        "window")), F.lit(0)).alias("bytes")).first()
+    # Windows of long words count by their bytes.
+    blocks = max(1, math.ceil(size["n"] / block_windows), math.ceil(size["bytes"] / block_bytes))
     if blocks == 1:
         shared = spark.sparkContext.broadcast([tuple(r) for r in windows.collect()])
         return docs.withColumn(name, _scanner(shared)(F.col("text"))), name
@@ -177,16 +183,17 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = N,
     for more in passes[1:]:
         united = united.unionByName(more)
     # At most one row a block and distinct document: repeated rows have equal hits.
-    united = united.groupBy("_id", "_hash").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("hit")))).alias("_hit"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("_items"))
-    joined = docs.join(united, key[0].eqNullSafe(F.col("_id"))
-                       & (key[1] == F.col("_hash")), "left")
+    own_id, own_hash, hit, items = (unused(docs, c) for c in ("_id", "_hash", "_hit", "_items"))
+    united = united.groupBy(F.col("_id").alias(own_id), F.col("_hash").alias(own_hash)).agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("hit")))).alias(hit),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias(items))
+    joined = docs.join(united, key[0].eqNullSafe(F.col(own_id))
+                       & (key[1] == F.col(own_hash)), "left")
     none = F.array()
     figures = F.struct(F.coalesce(words, F.lit(0)).cast("bigint").alias("n_words"),
-                       F.coalesce("_hit", none.cast("array<int>")).alias("hit"),
-                       F.coalesce("_items", none.cast("array<string>")).alias("items"))
-    return joined.withColumn(name, figures).drop("_id", "_hash", "_hit", "_items"), name
+                       F.coalesce(hit, none.cast("array<int>")).alias("hit"),
+                       F.coalesce(items, none.cast("array<string>")).alias("items"))
+    return joined.withColumn(name, figures).drop(own_id, own_hash, hit, items), name
 
 
 def contaminated(hits: Column) -> Column:

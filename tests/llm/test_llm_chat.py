@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 from sluice.llm import chat
 from sluice.llm.common import ready
@@ -55,26 +56,53 @@ def test_digests_match_the_input(spark):
             len(said), hashlib.sha256(said.encode()).hexdigest()), c
 
 
+def cost(text):
+    """Tokens of a turn, counted another way."""
+    words = sum(len(w) > 0 for w in re.split(r"[\W_]+", text))
+    # The pattern's white space is ASCII.
+    return words + len(re.sub(r"[^\W_]|[ \t\n\r\f\v]", "", text)) + chat.TURN_COST
+
+
 def test_windows_keep_the_budget(spark):
     rows = conversations()
+    rows += [(200, t, role, "w " * n) for t, (role, n) in enumerate([
+        ("system", 90), ("user", 220), ("assistant", 5000), ("user", 1), ("system", 30),
+        ("assistant", 199), ("user", 201), ("assistant", 260)])]
+    rows += [(201, t, "system" if not t else "user", "w " * (500 if not t else 40)) for t in range(30)]
     want = ordered(rows)
+    budget, history, system = 600, 100, 100
     windows = {}
-    for r in chat.windows(frame(spark, rows), stride=400, history=100).collect():
+    for r in chat.windows(frame(spark, rows), budget, history, system).collect():
         windows.setdefault(r["conv_id"], []).append(r)
     assert len(windows[100]) > 10
     for c, made in windows.items():
         made.sort(key=lambda r: r["span"])
-        for k, r in enumerate(made):
+        lead = want[c][0]
+        told = []
+        for r in made:
             turns = chat.read_window(r["text"])
-            if k and want[c][0][0] == "system":
-                assert turns[0] == want[c][0] and r["repeated"] >= 1
+            targets = turns[r["repeated"]:]
+            assert r["tokens"] == sum(cost(x) for _, x in turns)
+            alone = len(targets) == 1 and cost(targets[0][1]) > budget - history - system
+            assert r["tokens"] <= budget or alone
+            if alone:
+                assert r["repeated"] == 0
+            elif told and lead[0] == "system" and cost(lead[1]) <= system:
+                assert turns[0] == lead and r["repeated"] >= 1
+            # What else is repeated is the longest run before the targets that fits.
+            again = turns[:r["repeated"]]
+            if told and not alone:
+                fits = 0
+                while fits < len(told) and sum(cost(x) for _, x in told[-fits - 1:]) <= history:
+                    fits += 1
+                kept = told[len(told) - fits:]
+                kept = kept if fits == len(told) or not (
+                    lead[0] == "system" and cost(lead[1]) <= system) else [lead, *kept]
+                assert again == kept
+            told += targets
             masked = [chat.unescape(r["text"][s["start"]:s["end"]]) for s in r["loss"]]
-            assert masked == [x for role, x in turns[r["repeated"]:] if role == "assistant" and x]
-    for r in windows[100][1:]:
-        turns = chat.read_window(r["text"])
-        assert 1 <= r["repeated"] <= 100 // chat.TURN_COST
-        first = want[100].index(turns[0])
-        assert turns == want[100][first:first + len(turns)]
+            assert masked == [x for role, x in targets if role == "assistant" and x]
+        assert told == want[c]
 
 
 def test_empty_table(spark):

@@ -57,8 +57,11 @@ def tables(spark):
 def test_hits_match_plain_search(spark):
     docs, items = tables(spark)
     want = brute(DOCS, ITEMS)
-    for block_windows in (500_000, 9):
-        found, name = decontam.find_hits(docs, items, block_windows=block_windows)
+    for limits in ({}, {"block_windows": 9}, {"block_bytes": 700}):
+        # Columns of the block path's own names.
+        clash = docs.withColumns({c: F.lit(1) for c in ("_id", "_hash", "_hit", "_items", "_hits")})
+        found, name = decontam.find_hits(clash, items, **limits)
+        assert set(found.columns) == {*clash.columns, name}
         got = {r["doc_id"]: (r["n_words"], r["hit"], r["items"])
                for r in found.select("doc_id", F.col(name + ".*")).collect()}
         assert [got[i] for i in range(len(DOCS))] == want
