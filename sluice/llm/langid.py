@@ -3,8 +3,8 @@
 A text is the average of the embeddings of its subwords: runs of one to three letters
 of its lower-cased words, with a mark for a word's edge, hashed into ``BUCKETS`` rows.
 Embeddings and softmax are trained together by stochastic gradient descent in numpy
-on the driver, on a bounded sample (``SAMPLE_ROWS``, spread over the languages by a
-hash of doc_id; at most ``MOST_LANGS`` languages, the most frequent ones).  What leaves
+on the driver, on a bounded sample: ``SAMPLE_ROWS`` dealt evenly to all languages, but at
+least ``LEAST_ROWS`` rows of each, those of smallest hash of doc_id.  What leaves
 the tasks for training are hashed counts, at most ``BUCKETS`` numbers a text.
 
 A fifth of the sample is kept aside to calibrate: a temperature for the scores, and the
@@ -22,6 +22,7 @@ columns pass through.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,12 +30,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluice.operators.skew import first_n
+
 BUCKETS = 1 << 14
 DIM = 16
 ORDERS = (1, 2, 3)
 SAMPLE_ROWS = 1500
-MOST_SAMPLE_ROWS = 4000
-MOST_LANGS = 256
+LEAST_ROWS = 20
+TEMPERATURES = tuple(2.0 ** (k / 2) for k in range(-16, 7))
 EPOCHS = 12
 BATCH = 32
 RATE = 1.0
@@ -165,7 +168,7 @@ def fit(rows: list[tuple[list[int], list[float], str]], seed: int = 7) -> Model
     z = np.array([rows[i][1] @ table[rows[i][0]] + bias if isinstance(rows[i][1], np.ndarray)
                   else np.array(rows[i][1]) @ table[rows[i][0]] + bias for i in held])
     losses = {t: -np.log(softmax(z / t)[np.arange(len(held)), y[held]] + 1e-12).mean()
-              for t in (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0)}
+              for t in TEMPERATURES}
     temperature = min(losses, key=lambda t: (losses[t], t))
     p = softmax(z / temperature)
     best, right = p.max(1), p.argmax(1) == y[held]
@@ -174,8 +177,7 @@ def fit(rows: list[tuple[list[int], list[float], str]], seed: int = 7) -> Model
         if right[best >= t].mean() >= PRECISION:
             threshold = float(t)
             break
-    # Not above half way to certainty, or a small sample would reject what it has not seen.
-    return Model(langs, table, bias, temperature, min(threshold, 0.5 + 0.5 / len(langs)))
+    return Model(langs, table, bias, temperature, threshold)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -187,17 +189,15 @@ def train(docs: DataFrame, most: int = SAMPLE_ROWS) -> Model | None:
     """A model from the rows with text and lang that are not held out."""
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()
                          & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    frequent = (usable.groupBy("lang").count().orderBy(F.desc("count"), "lang")
-                .limit(MOST_LANGS).collect())
-    if not frequent:
+    languages = usable.select("lang").distinct().count()
+    if not languages:
         return None
-    spread = 1 << 30
-    share = F.lit(0)
-    for r in frequent:
-        part = int(spread * min(1.0, most / len(frequent) / r["count"]))
-        share = F.when(F.col("lang") == r["lang"], F.lit(part)).otherwise(share)
-    sample = (usable.filter(F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(spread)) < share)
-              .select("doc_id", "lang", "text").limit(MOST_SAMPLE_ROWS))
+    # Every language is learned, from as many rows each; reruns take the same ones.
+    each = max(LEAST_ROWS, math.ceil(most / languages))
+    narrow = usable.select("doc_id", "lang", "text", F.xxhash64("doc_id", F.lit("lang")).alias("h"),
+                           F.xxhash64("text").alias("t"))
+    sample = first_n(narrow, ["lang"], [F.col("h"), F.col("doc_id"), F.col("t")], each,
+                     spread=["h", "t"])
 
     def count_all(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([counts(t) for t in texts], columns=["at", "share"])

@@ -330,7 +330,7 @@ def train(docs: DataFrame, most: int = SAMPLE_DOCS) -> Field | None:
         return None
     place = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 30))
     sample = (hinted.filter(place < int((1 << 30) * min(1.0, most / count)))
-              .select("doc_id", "text").limit(MOST_SAMPLE_DOCS))
+              .orderBy(place, F.xxhash64("text")).select("doc_id", "text").limit(MOST_SAMPLE_DOCS))
     # What leaves the tasks is bounded: only the surroundings of tokens.
     rows = sample.select(F.pandas_udf(_surroundings, "string")(F.col("text")).alias("t"))
     return Field.train(Graph(sorted(r["t"] for r in rows.toLocalIterator())))

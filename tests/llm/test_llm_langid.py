@@ -48,6 +48,35 @@ def test_odd_rows(spark):
     assert {r["p"]["lang_pred"] for r in none} == {"und"}
 
 
+def test_many_languages_are_all_learned(spark):
+    signs = [chr(0x4E00 + 40 * k) + chr(0x4E01 + 40 * k) for k in range(300)]
+    rows = [(1000 * n + k, f"{s} {s}{s} the {n}", f"l{k:03}") for k, s in enumerate(signs)
+            for n in range(3)] + [(10**6 + i, "and of with", "en") for i in range(3000)]
+    docs = ready(spark).createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.train(docs, most=300)
+    learned = {r[0] for r in docs.filter(~langid.held_out(F.col("doc_id")))
+               .select("lang").distinct().collect()}
+    assert set(model.langs) == learned and len(learned) > 290
+    again = langid.train(docs.repartition(7), most=300)
+    assert (again.table == model.table).all() and again.threshold == model.threshold
+
+
+def test_temperature_is_not_the_edge_of_its_grid(spark):
+    docs = ready(spark).read.parquet(f"{FOLDER}/documents.parquet")
+    model = langid.train(docs)
+    assert langid.TEMPERATURES[0] < model.temperature < langid.TEMPERATURES[-1]
+    assert 0 < model.threshold <= 1
+
+
+def test_gradient_steps_lower_the_loss_as_a_plain_loop_does():
+    rows = [([1, 5], [.5, .5], "a"), ([2, 5], [.5, .5], "b"), ([1, 7], [.5, .5], "a"),
+            ([2, 7], [.5, .5], "b")]
+    model = langid.fit(rows)
+    scores = [langid.softmax((model.table[at] * [[s] for s in share]).sum(0) + model.bias)
+              for at, share, _ in rows]
+    assert [model.langs[int(p.argmax())] for p in scores] == ["a", "b", "a", "b"]
+
+
 def test_held_out_rows_do_not_matter(spark):
     docs = small(spark)
     spoiled = docs.withColumn("text", F.when(langid.held_out(F.col("doc_id")), F.lit("zzz qqq"))
