@@ -115,12 +115,12 @@ def attempt_counters(attempts: DataFrame) -> DataFrame:
     """
     finished = attempt_outcomes(attempts.filter(F.col("outcome").isNotNull()))
     # At most six results are added up.
-    every = finished.agg(F.sum("total_ms").alias("total_ms"), F.min("min_ms").alias("min_ms"),
-                         F.max("max_ms").alias("max_ms"))
+    every = finished.agg(F.struct(
+        F.sum("total_ms").alias("total_ms"), F.min("min_ms").alias("min_ms"),
+        F.max("max_ms").alias("max_ms")).alias("every")).scalar()
     started = attempts.agg(F.count(F.lit(1)).alias("attempts")).select(
-        F.lit("started").alias("result"), "attempts")
-    return finished.unionByName(started.join(F.broadcast(every.withColumn(
-        "result", F.lit("started"))), "result"))
+        F.lit("started").alias("result"), "attempts", every.alias("_every"))
+    return finished.unionByName(started.select("result", "attempts", "_every.*"))
 
 
 def provenance(records: DataFrame, jobs: DataFrame, workloads: DataFrame,

@@ -8,8 +8,9 @@ fill any number of partitions, and rows of one second are as good as rows of one
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.lineage import cut
@@ -29,11 +30,12 @@ def dense_index(rows: DataFrame, keys: Sequence[str], keep: Sequence[str] | None
     placed = cut(rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
                  .select(*keep, F.monotonically_increasing_id().alias("_place")), "ranges")
     part = F.shiftright("_place", PLACE_BITS).cast("int")
-    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
-    # One row per partition.
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0))
-                         .alias("_base"))
+    # One number per partition reaches the driver.
+    sizes = sorted((r["_part"], r["n"]) for r in placed.groupBy(part.alias("_part")).agg(
+        F.count(F.lit(1)).alias("n")).collect())
+    starts = [0, *accumulate(n for _, n in sizes)]
+    bases = rows.sparkSession.createDataFrame(
+        [(p, base) for (p, _), base in zip(sizes, starts)], "_part int, _base bigint")
     within = F.col("_place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
     return (placed.withColumn("_part", part).join(F.broadcast(bases), "_part")
             .select(*keep, (F.col("_base") + within).alias(index)))
