@@ -132,15 +132,18 @@ def _close(a: str, b: str, threshold: float, positions: bool) -> Column:
 
 
 def _later_key(a: str, b: str) -> Column:
-    """Key of the later of two sets; NULL within one document."""
+    """Key of the later of two sets; NULL for texts that share a doc_id."""
     def follows(x: str, y: str) -> Column:
+        one_text = F.col(f"{x}.doc").eqNullSafe(F.col(f"{y}.doc")) & (
+            F.col(f"{x}.h") == F.col(f"{y}.h"))
         return F.coalesce(F.col(f"{x}.doc") < F.col(f"{y}.doc"),
-                          F.col(f"{x}.doc").isNotNull() & F.col(f"{y}.doc").isNull())
+                          F.col(f"{x}.doc").isNotNull() & F.col(f"{y}.doc").isNull()) | (
+            one_text & (F.col(f"{x}.line") < F.col(f"{y}.line")))
     return F.when(follows(a, b), F.col(f"{b}.key")).when(follows(b, a), F.col(f"{a}.key"))
 
 
 def _undecided(a: str, b: str) -> Column:
-    """Whether the later of two sets is still undecided, as far as documents tell."""
+    """Whether the later of two sets is still undecided, as far as their places tell."""
     late = _later_key(a, b)
     return ~(F.col(f"{a}.done") & F.col(f"{b}.done")) & ~F.coalesce(
         (F.col(f"{b}.done") & (late == F.col(f"{b}.key")))
@@ -199,8 +202,8 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                   "decided")
     marked = able.join(decided.withColumn("done", F.lit(True)), "key", "left").select(
         "key", "sig", "size", F.coalesce("done", F.lit(False)).alias("done"),
-        F.col("place.doc").alias("doc"), "prefix")
-    postings = marked.select("key", "sig", "size", "done", "doc",
+        "place.doc", "place.h", "place.line", "prefix")
+    postings = marked.select("key", "sig", "size", "done", "doc", "h", "line",
                              F.posexplode("prefix").alias("at", "word"))
     both = postings.alias("x").join(postings.alias("y"), "word").filter(
         (F.col("x.key") < F.col("y.key")) & _undecided("x", "y")
