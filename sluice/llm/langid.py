@@ -3,8 +3,8 @@
 A text is the average of the embeddings of its subwords: runs of one to three letters
 of its lower-cased words, with a mark for a word's edge, hashed into ``BUCKETS`` rows.
 Embeddings and softmax are trained together by stochastic gradient descent in numpy
-on the driver, on a bounded sample: ``SAMPLE_ROWS`` dealt evenly to all languages, but at
-least ``LEAST_ROWS`` rows of each, those of smallest hash of doc_id.  What leaves
+on the driver, on a bounded sample: about ``SAMPLE_ROWS`` dealt evenly to all languages, but
+at least about ``LEAST_ROWS`` of each, those of small hash of doc_id and text.  What leaves
 the tasks for training are hashed counts, at most ``BUCKETS`` numbers a text.
 
 A fifth of the sample is kept aside to calibrate: a temperature for the scores, and the
@@ -30,8 +30,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.operators.skew import first_n
-
 BUCKETS = 1 << 14
 DIM = 16
 ORDERS = (1, 2, 3)
@@ -167,8 +165,12 @@ def fit(rows: list[tuple[list[int], list[float], str]], seed: int = 7) -> Model
     held = sorted(aside) or list(range(len(rows)))
     z = np.array([rows[i][1] @ table[rows[i][0]] + bias if isinstance(rows[i][1], np.ndarray)
                   else np.array(rows[i][1]) @ table[rows[i][0]] + bias for i in held])
-    losses = {t: -np.log(softmax(z / t)[np.arange(len(held)), y[held]] + 1e-12).mean()
-              for t in TEMPERATURES}
+    # As if one of so many predictions had been wrong: what is told apart without error would
+    # otherwise be called certain.
+    slip = 1.0 / (len(held) + 2)
+    goal = np.full(z.shape, slip / max(1, len(langs) - 1))
+    goal[np.arange(len(held)), y[held]] = 1.0 - slip
+    losses = {t: -(goal * np.log(softmax(z / t) + 1e-300)).sum(1).mean() for t in TEMPERATURES}
     temperature = min(losses, key=lambda t: (losses[t], t))
     p = softmax(z / temperature)
     best, right = p.max(1), p.argmax(1) == y[held]
@@ -189,24 +191,27 @@ def train(docs: DataFrame, most: int = SAMPLE_ROWS) -> Model | None:
     """A model from the rows with text and lang that are not held out."""
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()
                          & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    languages = usable.select("lang").distinct().count()
-    if not languages:
+    known = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    if not known:
         return None
-    # Every language is learned, from as many rows each; reruns take the same ones.
-    each = max(LEAST_ROWS, math.ceil(most / languages))
-    narrow = usable.select("doc_id", "lang", "text", F.xxhash64("doc_id", F.lit("lang")).alias("h"),
-                           F.xxhash64("text").alias("t"))
-    sample = first_n(narrow, ["lang"], [F.col("h"), F.col("doc_id"), F.col("t")], each,
-                     spread=["h", "t"])
+    # Every language is learned, from about as many rows each: those whose hash is small, so
+    # reruns take the same ones.  Texts are not shuffled; repeated rows count once.
+    each, spread = max(LEAST_ROWS, math.ceil(most / len(known))), 1 << 30
+    share = F.create_map(*[F.lit(x) for lang, n in sorted(known.items())
+                           for x in (lang, int(spread * min(1.0, each / n)))])
+    h = F.xxhash64("doc_id", F.lit("lang"), "text")
+    sample = (usable.select("doc_id", "lang", "text", h.alias("h"))
+              .filter(F.pmod("h", F.lit(spread)) < F.element_at(share, F.col("lang")))
+              .dropDuplicates(["lang", "h"]))
 
     def count_all(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([counts(t) for t in texts], columns=["at", "share"])
 
-    rows = sample.select("doc_id", "lang", F.pandas_udf(
+    rows = sample.select("doc_id", "lang", "h", F.pandas_udf(
         count_all, "at array<int>, share array<float>")(F.col("text")).alias("c"))
-    found = sorted(((r["doc_id"], r["lang"], r["c"]["at"], r["c"]["share"])
-                    for r in rows.collect()), key=lambda r: r[:2])
-    return fit([(at, shares, lang) for _, lang, at, shares in found])
+    found = sorted(((r["doc_id"], r["lang"], r["h"], r["c"]["at"], r["c"]["share"])
+                    for r in rows.collect()), key=lambda r: r[:3])
+    return fit([(at, shares, lang) for _, lang, _, at, shares in found])
 
 
 def predict(text: Column, model: Model | None) -> Column:
