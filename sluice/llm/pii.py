@@ -68,8 +68,9 @@ def luhn(digits: str) -> bool:
 def ip_ok(text: str) -> bool:
     parts = text.split(".")
     return len(parts) == 4 and all(
-        p and all("0" <= c <= "9" for c in p) and len(p.lstrip("0")) <= 3 and int(p) <= 255
-        for p in parts)
+        # int() refuses thousands of digits, leading zeros included.
+        p and all("0" <= c <= "9" for c in p) and len(p.lstrip("0")) <= 3
+        and int(p.lstrip("0") or "0") <= 255 for p in parts)
 
 
 def card_ok(text: str) -> bool:

@@ -97,3 +97,10 @@ def test_without_any_base_span(spark):
     spans = docs.select(pii.as_text(F.col("f.base")).alias("s")) if "f" in docs.columns else (
         docs.select(pii.as_text(pii.find(F.col("text"), None)["base"]).alias("s")))
     assert {r["s"] for r in spans.collect()} == {""}
+
+
+def test_parts_of_thousands_of_zeros_are_numbers():
+    zeros = "0" * 5000
+    assert pii.base_spans(f"{zeros}1.2.3.{zeros}")[0] == [(0, 1, 10006)]
+    assert pii.base_spans(f"{zeros}256.2.3.4")[0] == []
+    assert pii.all_spans([f"x {zeros}9.9.9.9"], None) == [([(2, 1, 5009)], [])]
