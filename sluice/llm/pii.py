@@ -121,6 +121,12 @@ def as_text(spans: Column) -> Column:
         s["end"].cast("string"))), ",")
 
 
+def count_of(spans: Column, kind: int) -> Column:
+    """Number of spans of one kind."""
+    # A second parameter of the function would be the span's place, default or not.
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint")
+
+
 # -- the field ---------------------------------------------------------------
 
 def tokens_of(text: str) -> list[tuple[int, int]]:

@@ -47,8 +47,7 @@ def op4_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = docs.select("doc_id", pii.find(F.col("text"), pii.train(docs)).alias("f"))
     base, added = F.col("f.base"), F.col("f.added")
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("bigint")
-              .alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    counts = [pii.count_of(base, k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
     return found.select(
         "doc_id", *counts, F.sha2(pii.as_text(base).cast("binary"), 256).alias("base_sha256"),
         pii.as_text(F.concat(base, added)).alias("spans"),

@@ -104,3 +104,16 @@ def test_parts_of_thousands_of_zeros_are_numbers():
     assert pii.base_spans(f"{zeros}1.2.3.{zeros}")[0] == [(0, 1, 10006)]
     assert pii.base_spans(f"{zeros}256.2.3.4")[0] == []
     assert pii.all_spans([f"x {zeros}9.9.9.9"], None) == [([(2, 1, 5009)], [])]
+
+
+def test_query_counts_every_kind(spark, tmp_path):
+    from sluice.llm.queries import op4_personal_data
+    rows = [(0, "a@b.co or c@d.ee, 10.0.0.1"), (1, "4111 1111 1111 1111 4111"), (2, None),
+            (3, "+1 (555) 123-4567 / +1 (555) 123-4568 / +1 (555) 123-4569 and 4111111111111111"),
+            (None, "1.2.3.4 5.6.7.8 9.9.9.9 x@y.zz")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(
+        str(tmp_path / "documents.parquet"))
+    found = {r["doc_id"]: tuple(r)[1:5] for r in op4_personal_data(spark, str(tmp_path)).collect()}
+    wanted = {i: tuple(sum(k == j for _, k, _ in plain(t or "")) for j in range(4)) for i, t in rows}
+    assert found == wanted
+    assert wanted[0] == (2, 1, 0, 0) and wanted[3][3] == 3 and wanted[None] == (1, 3, 0, 0)
