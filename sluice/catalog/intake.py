@@ -122,14 +122,17 @@ SELECT reason, files FROM (SELECT 'CSV input is empty' AS reason, count(*) AS fi
 UNION ALL SELECT NULL, count(DISTINCT lang) FROM documents)""")
 def _(t):
     path = fresh_path(t.spark, "drop")
-    (t["documents"].select("lang", F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')),
-                                            F.lit('",'), "source").alias("value"))
-     .unionByName(t["documents"].select("lang", F.lit("").alias("value")))
-     .repartition(1).write.partitionBy("lang").text(path))
+    text, source = (F.coalesce(c, F.lit("")) for c in ("text", "source"))
+    record = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('",'), source)
+    # Every task writes its own files, blank lines among them; those of a language count as one.
+    (t["documents"].select("lang", F.explode(F.array(record, F.lit(""))).alias("value"))
+     .write.partitionBy("lang").text(path))
     for row in t["nation"].select("n_nationkey").collect():
         files.create_once(t.spark, f"{path}/none-{row['n_nationkey']}.csv", "")
     found = extract(t.spark, "csv", path)
-    read = found.records.agg(F.countDistinct("submission_id").alias("files")).select(
+    folder = F.regexp_extract("submission_id", "/lang=([^/]*)/[^/]*$", 1)
+    named = F.when(folder != "__HIVE_DEFAULT_PARTITION__", folder)
+    read = found.records.agg(F.countDistinct(named).alias("files")).select(
         F.lit(None).cast("string").alias("reason"), "files")
     return found.refused.groupBy("reason").agg(F.count(F.lit(1)).alias("files")).unionByName(read)
 

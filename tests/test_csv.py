@@ -215,3 +215,23 @@ def test_bulk_columns_follow_each_file_header(spark, tmp_path):
     assert got == {("a.csv", 1): ("Ann", "ann@x.co", None), ("b.csv", 1): ("Bob", "bob@x.co", None),
                    ("b.csv", 2): ("", "cy@x.co", "expected 2 fields, found 1"),
                    ("c.csv", 1): ("Dan", "", "CSV header is missing the required 'email' column")}
+
+
+def test_files_of_a_language_are_written_by_many_tasks(spark, tmp_path):
+    from pathlib import Path
+
+    from sluice.catalog import queries
+    from sluice.lineage import shared_dir
+    rows = [(i, f"t{i}", ("en", "fr", None)[i % 3], "web") for i in range(60)]
+    schema = "doc_id long, text string, lang string, source string"
+    for start in (0, 30):
+        (spark.createDataFrame(rows[start:start + 30], schema).coalesce(1)
+         .write.mode("append").parquet(str(tmp_path / "documents.parquet")))
+    spark.range(2).withColumnRenamed("id", "n_nationkey").write.parquet(
+        str(tmp_path / "nation.parquet"))
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.glob("sluice-drop-*"))
+    found = queries()["src2_csv_empty_files"](spark, str(tmp_path))
+    assert {tuple(r) for r in found.collect()} == {("CSV input is empty", 2), (None, 2)}
+    (drop,) = set(folder.glob("sluice-drop-*")) - before
+    assert len(list(drop.glob("lang=en/part-*"))) > 1
