@@ -313,7 +313,7 @@ SELECT submission_id, line_num, max(col) + 1 AS columns, count(*) AS words FROM
 """)
 def _(t):
     words = t.shape(shapes.SPARK_WORDS)
-    lines = ocr.column_starts(words, ocr.image_figures(words))
+    lines = ocr.column_starts(words, ocr.image_figures(words), texts=False)
     return lines.select("submission_id", "line_num", F.size("starts").cast("bigint")
                         .alias("columns"), F.size("words").cast("bigint").alias("words"))
 

@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from sluice import functions as fn
 from sluice.operators.barrier import compute_once
 from sluice.operators.ranges import dense_index
-from sluice.operators.skew import lookup
+from sluice.operators.skew import HOT_KEYS, lookup
 from sluice.sources.csv import row_arity_check, row_to_record
 
 # The service's own limit.  Nothing applies it unless a caller asks for it.
 MAX_TABLE_ROWS = 200
-# Lines numbered together; an image with more is numbered by many tasks.
+# The lines of an image with very many words are dealt to so many places.
+LINE_SALTS = 64
 LOW_CONFIDENCE = 70.0
 LINE = ("block_num", "par_num", "line_num")
 
@@ -69,19 +70,41 @@ def image_figures(words: DataFrame) -> DataFrame:
         F.lit("%) -- extracted data may contain errors; please review before confirming"))))
 
 
-def column_starts(words: DataFrame, figures: DataFrame) -> DataFrame:
+def _placed(words: DataFrame, figures: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Words and thresholds, both dealt by (image, ``_salt``), which a line never leaves.
+
+    The lines of the images with the most words, at most ``HOT_KEYS`` of them, are spread over
+    ``LINE_SALTS`` salts, so that no task gets more than a small part of any image.
+    """
+    hot = F.broadcast(figures.filter(F.col("submission_id").isNotNull())
+                      .orderBy(F.desc("_n"), "submission_id").limit(HOT_KEYS)
+                      .select("submission_id", F.lit(True).alias("_hot")))
+    line = F.pmod(F.xxhash64(*LINE), F.lit(LINE_SALTS)).cast("int") + 1
+    spread = F.col("_hot").isNotNull() | F.col("submission_id").isNull()
+    dealt = (words.join(hot, "submission_id", "left")
+             .withColumn("_salt", F.when(spread, line).otherwise(F.lit(0))).drop("_hot"))
+    salts = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(1), F.lit(LINE_SALTS))).otherwise(
+        F.array(F.lit(0)))
+    thresholds = figures.join(hot, "submission_id", "left").select(
+        "submission_id", F.explode(salts).alias("_salt"), "gap_threshold")
+    return dealt.repartition("submission_id", "_salt"), thresholds
+
+
+def column_starts(words: DataFrame, figures: DataFrame, texts: bool = True) -> DataFrame:
     """Printed lines with their words in order and where each column starts.
 
-    The words are shuffled once, by (image, line); the image's threshold is
-    joined to the far fewer lines.  A line is bounded by the width of the page,
-    so its words fit one row; a page with very many words uses many tasks.
+    The words are shuffled once, by image, and what is made from them stays where it is: the
+    images' thresholds come to them.  A line is bounded by the width of the page, so its
+    words fit one row; a page with very many words uses many tasks.  Without ``texts`` the
+    words are places alone.
     """
     line = ["submission_id", *LINE]
-    lines = words.groupBy(*line).agg(
-        F.sort_array(F.collect_list(F.struct("left", "word_pos", "width", "text")))
-        .alias("words"), F.min("word_pos").alias("first_pos"))
-    threshold = figures.select("submission_id", "gap_threshold", "_n")
-    sized = lookup(lines, threshold, ["submission_id"], spread=list(LINE))
+    word = ["left", "word_pos", "width", *(["text"] if texts else [])]
+    dealt, thresholds = _placed(words.select(*line, *word), figures)
+    lines = dealt.groupBy("submission_id", "_salt", *LINE).agg(
+        F.sort_array(F.collect_list(F.struct(*word))).alias("words"),
+        F.min("word_pos").alias("first_pos"))
+    sized = lines.join(thresholds.hint("shuffle_hash"), ["submission_id", "_salt"], "left")
 
     def opens_column(i: Column) -> Column:
         word, before = F.col("words")[i - 1], F.col("words")[i - 2]
@@ -92,6 +115,12 @@ def column_starts(words: DataFrame, figures: DataFrame) -> DataFrame:
         "starts": F.filter(F.sequence(F.lit(1), F.size("words")), opens_column)})
 
 
+def line_widths(words: DataFrame, figures: DataFrame) -> DataFrame:
+    """One row per printed line with its number of cells: enough for the checks."""
+    return column_starts(words, figures, texts=False).select(
+        "submission_id", F.size("starts").alias("width"))
+
+
 def table_lines(words: DataFrame, figures: DataFrame) -> DataFrame:
     """One row per printed line: its first word's position, its cells and its place."""
     lines = column_starts(words, figures)
@@ -111,11 +140,13 @@ def ocr_table_checks(lines: DataFrame, images: DataFrame | None = None,
                      max_rows: int | None = None) -> DataFrame:
     """Reason per image (NULL when it holds a table): words, structure, size if limited.
 
-    ``images`` lists every submission, so that those without words are seen.
+    ``images`` lists every submission, so that those without words are seen.  ``lines`` have
+    their ``fields`` or, from ``line_widths``, only their number.
     """
+    width = F.col("width") if "width" in lines.columns else F.size("fields")
     many = F.lit(False) if max_rows is None else F.col("lines") - 1 > max_rows
     shape = lines.groupBy("submission_id").agg(
-        F.count(F.lit(1)).alias("lines"), F.max(F.size("fields")).alias("widest"))
+        F.count(F.lit(1)).alias("lines"), F.max(width).alias("widest"))
     if images is not None:
         shape = images.select("submission_id").join(shape, "submission_id", "left")
     reason = (F.when(F.col("lines").isNull(), "no text was detected in the image")

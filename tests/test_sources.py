@@ -173,3 +173,30 @@ def test_bodies_from_files(spark, tmp_path):
         {"target": "users", "records": [{"name": "A", "email": "a@b.c"}]}, indent=2))
     records, _ = json_records.json_records(json_records.read_bodies(spark, str(tmp_path)))
     assert records.select(F.col("fields")["name"].alias("n")).first().n == "A"
+
+
+def test_words_are_moved_once_and_hot_images_keep_their_lines(spark):
+    from sluice.sources import ocr
+    rows = [(None if i == 7 else f"i{0 if i % 3 else i % 40}", 1, 1, i % 97, 30 * (i // 97), i, 20,
+             10 + i % 3, f"w{i}") for i in range(4000)]
+    words = spark.createDataFrame(rows, "submission_id string, block_num int, par_num int, line_num"
+                                        " int, left int, word_pos int, width int, height int, text string")
+    figures = ocr.image_figures(words.withColumn("confidence", F.lit(1.0)))
+    heights, lines = {}, {}
+    for image, _, _, line, left, pos, width, height, _ in rows:
+        heights.setdefault(image, []).append(height)
+        lines.setdefault((image, line), []).append((left, pos, width))
+    wanted = set()
+    for (image, line), found in lines.items():
+        found.sort()
+        gap = float("inf") if image is None else 2 * sum(heights[image]) / len(heights[image])
+        wanted.add((image, line, len(found), 1 + sum(
+            b[0] - a[0] - a[2] > gap for a, b in zip(found, found[1:]))))
+    for texts in (True, False):
+        starts = ocr.column_starts(words, figures, texts=texts)
+        assert {tuple(r) for r in starts.select("submission_id", "line_num", F.size("words"),
+                                                F.size("starts")).collect()} == wanted
+        plan = starts._jdf.queryExecution().sparkPlan().toString()
+        physical = starts._jdf.queryExecution().executedPlan().toString()
+        assert "collect_list" in plan
+        assert "Exchange hashpartitioning" not in physical.split("collect_list")[0]
