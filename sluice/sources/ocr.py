@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice import functions as fn
+from sluice.lineage import cut
 from sluice.operators.barrier import compute_once
 from sluice.operators.ranges import dense_index
 from sluice.operators.skew import HOT_KEYS, lookup
@@ -132,6 +133,8 @@ def table_lines(words: DataFrame, figures: DataFrame) -> DataFrame:
 
     cells = compute_once(lines, ["submission_id", *LINE, "first_pos"],
                          {"fields": F.transform("starts", cell)})
+    # Ranges are drawn from a sample of the lines; these are not made from the words again for that.
+    cells = cut(cells, "cells")
     # Written once, in order: checks and rows are made from that.
     return dense_index(cells, ["submission_id", "first_pos"], index="line_at")
 

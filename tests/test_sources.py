@@ -200,3 +200,19 @@ def test_words_are_moved_once_and_hot_images_keep_their_lines(spark):
         physical = starts._jdf.queryExecution().executedPlan().toString()
         assert "collect_list" in plan
         assert "Exchange hashpartitioning" not in physical.split("collect_list")[0]
+
+
+def test_cells_are_written_before_ranges_are_drawn_from_them(spark):
+    from pathlib import Path
+
+    from sluice.lineage import shared_dir
+    from sluice.sources import ocr
+    words = spark.createDataFrame([("a", 1, 1, i % 3, 50 * i, i, 20, 10, f"w{i}", 90.0) for i in range(9)],
+                                  "submission_id string, block_num int, par_num int, line_num int, left int,"
+                                  " word_pos int, width int, height int, text string, confidence double")
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.glob("sluice-cells-*"))
+    lines = ocr.table_lines(words, ocr.image_figures(words))
+    assert [tuple(r) for r in lines.select("line_num", "line_at").orderBy("line_at").collect()] == [
+        (0, 0), (1, 1), (2, 2)]
+    assert len(set(folder.glob("sluice-cells-*")) - before) == 1
