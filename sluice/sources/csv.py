@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sluice.lineage import cut
 from sluice.operators.barrier import compute_once
 
 # The service's own limits.  Nothing applies them unless a caller asks for limits.
@@ -73,7 +74,17 @@ def _unquote(field: Column) -> Column:
 
 
 def split_record(record: Column) -> Column:
-    """Unquoted fields of one raw record (without its line end)."""
+    """Unquoted fields of one raw record (without its line end).
+
+    Without quotes and line ends, what the pattern finds is what lies between commas.
+    """
+    plain = F.lit(True)
+    for mark in '"\r\n':
+        plain = plain & ~F.contains(record, F.lit(mark))
+    return F.when(plain, F.split(record, ",")).when(record.isNotNull(), _matched_fields(record))
+
+
+def _matched_fields(record: Column) -> Column:
     pieces = F.regexp_extract_all(record, F.lit(SPLIT), F.lit(0))
     # Only the last piece has no comma; an empty match after it is not a field.
     commas = F.filter(pieces, lambda p: F.endswith(p, F.lit(",")))
@@ -92,17 +103,25 @@ def tokenize_csv(files: DataFrame, whole: bool = True) -> DataFrame:
     # A byte order mark is not part of the text.
     plain = text if not whole else F.when(
         F.startswith(text, F.lit("\ufeff")), F.substring(text, 2, 2**31 - 1)).otherwise(text)
-    read = files.withColumn("_text", plain).withColumn(
-        "_raw", F.regexp_extract_all("_text", F.lit(RECORD), F.lit(0)))
+    # One line without quotes is one record, or none: most pieces need no pattern.
+    end = F.instr("_text", "\r")
+    single = ~F.contains("_text", F.lit('"')) & ~F.contains("_text", F.lit("\n")) & (
+        (end == 0) | (end == F.length("_text")))
+    read = files.withColumn("_text", plain).withColumn("_single", single).withColumn(
+        "_raw", F.when(~F.col("_single"),
+                       F.regexp_extract_all("_text", F.lit(RECORD), F.lit(0))))
     used = F.aggregate("_raw", F.lit(0), lambda total, r: total + F.length(r))
     stripped = F.transform("_raw", lambda r: F.regexp_replace(r, r"(?:\r\n|\r|\n)\z", ""))
-    return (read.withColumn("_used", used)
-            .withColumn("records", F.filter(
-                stripped, lambda r: (r != "") & (r != '""')))
+    bare = F.replace("_text", F.lit("\r"), F.lit(""))
+    return (read.withColumn("_used", F.when(~F.col("_single"), used))
+            .withColumn("records", F.when(
+                F.col("_single"), F.when(bare == "", F.array().cast("array<string>"))
+                .otherwise(F.array(bare)))
+                .otherwise(F.filter(stripped, lambda r: (r != "") & (r != '""'))))
             .withColumn("stopped", F.when(
                 F.col("_used") < F.length("_text"),
                 F.expr("substring(_text, _used + 1)")))
-            .drop("_text", "_raw", "_used"))
+            .drop("_text", "_single", "_raw", "_used"))
 
 
 def csv_file_admission(files: DataFrame, max_bytes: int | None = None,
@@ -197,12 +216,16 @@ def row_arity_check(rows: DataFrame, noun: str = "fields") -> DataFrame:
         F.size("fields").cast("string"))))
 
 
-def row_to_record(rows: DataFrame) -> DataFrame:
-    """Header and fields as a map; of equal labels the first one counts."""
+def row_to_record(rows: DataFrame, distinct: bool = False) -> DataFrame:
+    """Header and fields as a map; of equal labels the first one counts.
+
+    ``distinct`` says that no header has equal labels.
+    """
     firsts = F.filter(F.arrays_zip("header", "fields"),
                       lambda e, i: F.array_position(F.col("header"), e["header"]) == i + 1)
     fits = F.size("fields") == F.size("header")
-    record = F.when(fits, F.map_from_entries(firsts))
+    record = F.when(fits, F.map_from_arrays("header", "fields") if distinct
+                    else F.map_from_entries(firsts))
     keep = [c for c in rows.columns if c not in ("header", "fields")]
     return compute_once(rows, keep, {"fields": record})
 
@@ -226,89 +249,127 @@ def extract_csv(files: DataFrame, strict_users: bool = False, max_bytes: int | N
 
 def _before(column: str) -> Column:
     """Sum of a column over the splits of a file before this one."""
-    window = Window.partitionBy("submission_id").orderBy("_block").rowsBetween(
+    window = Window.partitionBy("_file").orderBy("_block").rowsBetween(
         Window.unboundedPreceding, -1)
     return F.coalesce(F.sum(column).over(window), F.lit(0))
 
 
 def _so_far(column: Column) -> Column:
     """Sum of a column over the rows of a split before this one."""
-    window = Window.partitionBy("submission_id", "_block").orderBy("_id").rowsBetween(
+    window = Window.partitionBy("_file", "_block").orderBy("_id").rowsBetween(
         Window.unboundedPreceding, -1)
     return F.coalesce(F.sum(column).over(window), F.lit(0))
 
 
-def read_pieces(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Files of any size in splits, as pieces that begin and end between records.
+def _counted(pieces: DataFrame, keep: list[str]) -> DataFrame:
+    """``pieces`` with what their content holds: records, bad encoding, a malformed rest."""
+    read = tokenize_csv(pieces, whole=False)
+    stop = (F.when(F.col("stopped").rlike(UNTERMINATED),
+                   F.lit("malformed CSV: unterminated quoted field"))
+            .when(F.col("stopped").isNotNull(),
+                  F.lit("malformed CSV: unexpected '\"' inside an unquoted field")))
+    return compute_once(read, ["_file", "_block", "_id", "content", *keep], {
+        "_n": F.size("records"), "_valid": F.is_valid_utf8("content"), "_stop": stop})
 
-    Gives submission_id, the place (``_block``, ``_id``) and the ``content`` of each
-    piece: a line, or the lines from one that opens a quote to the one that closes it.
-    Up to the first malformed record an odd number of quotes before a line says that it
-    begins inside one.
-    """
-    name = _file_name(F.col("_metadata.file_path"))
-    value = F.col("value")
-    quotes = F.octet_length(value) - F.octet_length(F.replace(value, F.lit('"'), F.lit("")))
-    lines = spark.read.option("lineSep", "\n").text(path).select(
-        name.alias("submission_id"), F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_id"), "value", (quotes % 2).alias("_odd"))
-    blocks = lines.groupBy("submission_id", "_block").agg(F.sum("_odd").alias("_odds")).select(
-        "submission_id", "_block", _before("_odds").alias("_flips"))
+
+def _split_figures(pieces: DataFrame, *more: Column) -> DataFrame:
+    """One row per split: counts, the first malformed rest, the first piece with a record."""
+    place = F.struct("_block", "_id")
+
+    def first(column: str, where: Column) -> Column:
+        return F.min(F.when(where, F.struct(place.alias("place"), F.col(column).alias("value"))))
+
+    return pieces.groupBy("_file", "_block").agg(
+        F.min("_id").alias("_first"), F.sum("_n").alias("_count"),
+        F.bool_and("_valid").alias("_valid"),
+        first("_stop", F.col("_stop").isNotNull()).alias("_stop"),
+        first("content", F.col("_n") > 0).alias("_head"), *more)
+
+
+def _joined_lines(lines: DataFrame, knots: DataFrame) -> DataFrame:
+    """Lines of the splits ``knots`` as pieces that begin and end between records: a line, or
+    the lines from one that opens a quote to the one that closes it."""
     toggles = F.col("_inside") + F.col("_flips")
     # One row per split, as below.
-    placed = (lines.withColumn("_inside", _so_far(F.col("_odd")))
-              .join(blocks, ["submission_id", "_block"]).withColumn("_toggles", toggles))
+    placed = (lines.join(knots.select("_file", "_block", "_flips"), ["_file", "_block"])
+              .withColumn("_inside", _so_far(F.col("_odd"))).withColumn("_toggles", toggles))
     alone = (F.col("_toggles") % 2 == 0) & (F.col("_odd") == 0)
     several = (placed.filter(~alone)
-               .groupBy("submission_id", F.floor(F.col("_toggles") / 2).alias("_quote"))
-               .agg(F.sort_array(F.collect_list(F.struct("_block", "_id", "value")))
+               .groupBy("_file", F.floor(F.col("_toggles") / 2).alias("_quote"))
+               .agg(F.sort_array(F.collect_list(F.struct("_block", "_id", "content")))
                     .alias("_lines")))
-    text = F.array_join(F.transform("_lines", lambda x: x["value"]), "\n")
+    text = F.array_join(F.transform("_lines", lambda x: x["content"]), "\n")
     first = F.element_at("_lines", 1)
-    return (placed.filter(alone).select("submission_id", "_block", "_id",
-                                        value.alias("content"))
-            .unionByName(several.select("submission_id", first["_block"].alias("_block"),
+    return (placed.filter(alone).select("_file", "_block", "_id", "content")
+            .unionByName(several.select("_file", first["_block"].alias("_block"),
                                         first["_id"].alias("_id"), text.alias("content"))))
 
 
+def read_pieces(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """Files of any size in splits, as pieces that begin and end between records, and one row
+    of figures per split (``_even``: each of its pieces is one record).
+
+    A piece has its file, its place (``_block``, ``_id``), its ``content`` and counts.  Up to
+    the first malformed record an odd number of quotes before a line says that it begins
+    inside one.  The files are read once, and lines written with what they hold; only splits
+    in which a quote is open across a line end are sorted to join their lines.
+    """
+    value = F.col("value")
+    quotes = F.octet_length(value) - F.octet_length(F.replace(value, F.lit('"'), F.lit("")))
+    read = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_id"), value.alias("content"),
+        (quotes % 2).alias("_odd"))
+    lines = cut(_counted(read, ["_odd"]), "csv-lines")
+    splits = _split_figures(lines, F.sum("_odd").alias("_odds"),
+                            F.bool_and(F.col("_n") == 1).alias("_even"))
+    splits = cut(splits.withColumn("_flips", _before("_odds")), "csv-splits")
+    knotted = (F.col("_odds") > 0) | (F.col("_flips") % 2 == 1)
+    figures = [c for c in splits.columns if c not in ("_odds", "_flips")]
+    knots = splits.filter(knotted)
+    if knots.isEmpty():
+        return lines.drop("_odd"), splits.select(figures)
+    joined = cut(_counted(_joined_lines(lines, knots), []), "csv-pieces")
+    smooth = splits.filter(~knotted)
+    pieces = (lines.join(smooth.select("_file", "_block"), ["_file", "_block"])
+              .drop("_odd").unionByName(joined))
+    return pieces, smooth.select(figures).unionByName(
+        _split_figures(joined, F.lit(False).alias("_even")).select(figures))
+
+
 def extract_csv_split(spark: SparkSession, path: str | list[str],
                       strict_users: bool = False) -> tuple[DataFrame, DataFrame]:
     """As ``extract_csv`` without limits, but large files are split across tasks."""
     subject = "CSV file" if strict_users else "CSV input"
-    pieces = read_pieces(spark, path).withColumn("_valid", F.is_valid_utf8("content"))
-    read = tokenize_csv(pieces, whole=False)
-    stop = (F.when(F.col("stopped").rlike(UNTERMINATED),
-                   F.lit("malformed CSV: unterminated quoted field"))
-            .when(F.col("stopped").isNotNull(),
-                  F.lit("malformed CSV: unexpected '\"' inside an unquoted field")))
-    chunks = compute_once(read, ["submission_id", "_block", "_id", "_valid"],
-                          {"records": F.col("records"), "_stop": stop})
-    place = F.struct("_block", "_id")
-
-    def first(column: Column, where: Column) -> Column:
-        return F.min(F.when(where, F.struct(place.alias("place"), column.alias("value"))))
-
-    blocks = chunks.groupBy("submission_id", "_block").agg(
-        F.sum(F.size("records")).alias("_count"), F.bool_and("_valid").alias("_valid"),
-        first(F.col("_stop"), F.col("_stop").isNotNull()).alias("_stop"),
-        first(F.try_element_at("records", F.lit(1)), F.size("records") > 0).alias("_head"))
-    judged = blocks.groupBy("submission_id").agg(
+    pieces, blocks = read_pieces(spark, path)
+    judged = blocks.groupBy("_file").agg(
         F.bool_and("_valid").alias("_valid"), F.min("_stop")["value"].alias("_stop"),
-        F.min("_head")["value"].alias("_head"))
+        F.min("_head")["value"].alias("content"))
     reason = (F.when(~F.col("_valid"), F.lit(f"{subject} must be valid UTF-8"))
               .when(F.col("_stop").isNotNull(), F.col("_stop"))
-              .when(F.col("_head").isNull(), F.lit(f"{subject} must contain a header row")))
-    headed = compute_once(judged, ["submission_id"], {
-        "file_reason": reason, "header": F.when(reason.isNull(), split_record(F.col("_head")))})
+              .when(F.col("content").isNull(), F.lit(f"{subject} must contain a header row")))
+    judged = tokenize_csv(judged.withColumn("file_reason", reason), whole=False)
+    headed = compute_once(judged, ["_file"], {
+        "submission_id": _file_name(F.col("_file")), "file_reason": F.col("file_reason"),
+        "header": F.when(F.col("file_reason").isNull(),
+                         split_record(F.try_element_at("records", F.lit(1))))})
     checked = header_users_strict(headed) if strict_users else header_duplicates(headed)
-    admitted = checked.filter(F.col("file_reason").isNull()).select("submission_id", "header")
-    # One row per split and one per file: far smaller than the data, and AQE checks
-    # their size before they are broadcast.
-    offsets = blocks.select("submission_id", "_block", _before("_count").alias("_shift"))
-    placed = (chunks.withColumn("_done", _so_far(F.size("records")))
-              .join(offsets, ["submission_id", "_block"]).join(admitted, "submission_id"))
-    rows = placed.select("submission_id", "header", (F.col("_done") + F.col("_shift"))
-                         .alias("_from"), F.posexplode("records").alias("_position", "_record"))
+    admitted = checked.filter(F.col("file_reason").isNull()).select(
+        "_file", "submission_id", "header")
+    # One row per split: far smaller than the data.  It is written, so that Spark knows its
+    # size before it plans the join.
+    offsets = cut(blocks.select("_file", "_block", "_first", "_even", _before("_count")
+                                .alias("_shift")).join(admitted, "_file"), "csv-offsets")
+    placed = pieces.select("_file", "_block", "_id", "_n", "content").join(
+        offsets, ["_file", "_block"])
+    keep = ["submission_id", "header", "_shift", "_done", "content"]
+    # Where every line is one record, its place in the split is its number.
+    even = placed.filter("_even").withColumn("_done", F.col("_id") - F.col("_first"))
+    uneven = placed.filter("NOT _even").withColumn("_done", _so_far(F.col("_n")))
+    read = tokenize_csv(even.select(keep).unionByName(uneven.select(keep)), whole=False)
+    rows = read.select("submission_id", "header", (F.col("_done") + F.col("_shift"))
+                       .alias("_from"), F.posexplode("records").alias("_position", "_record"))
     numbered = rows.select("submission_id", (F.col("_from") + F.col("_position")).cast("bigint")
                            .alias("row_index"), "header", "_record").filter("row_index > 0")
     fields = compute_once(numbered, ["submission_id", "row_index", "header"],
@@ -317,7 +378,8 @@ def extract_csv_split(spark: SparkSession, path: str | list[str],
                .select("submission_id", F.col("file_reason").alias("reason")))
     empty = empty_files(spark, path).select("submission_id",
                                             F.lit(f"{subject} is empty").alias("reason"))
-    return row_to_record(row_arity_check(fields)), refused.unionByName(empty)
+    # Files with equal labels are refused.
+    return row_to_record(row_arity_check(fields), distinct=True), refused.unionByName(empty)
 
 
 # ------------------------------------------------------------- bulk path

@@ -235,3 +235,22 @@ def test_files_of_a_language_are_written_by_many_tasks(spark, tmp_path):
     assert {tuple(r) for r in found.collect()} == {("CSV input is empty", 2), (None, 2)}
     (drop,) = set(folder.glob("sluice-drop-*")) - before
     assert len(list(drop.glob("lang=en/part-*"))) > 1
+
+
+def test_lines_of_split_files_are_read_once_and_sorted_only_in_uneven_splits(spark, tmp_path):
+    lines = [f'r{i},"{i}, ""x"""' if i % 5 == 0 else f"r{i},{i}" for i in range(600)]
+    lines[300] = ""
+    (tmp_path / "a.csv").write_bytes(("a,b\r\n" + "\r\n".join(lines)).encode())
+    (tmp_path / "b.csv").write_text("a,b\n" + "\n".join(lines[:150] + ['"x\ny",1'] + lines))
+    previous = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        _, figures = source.read_pieces(spark, str(tmp_path))
+        even = [r["_even"] for r in figures.collect()]
+        assert len(even) > 10 and 0 < even.count(False) < 6
+        split = extract(spark, "csv", str(tmp_path))
+        whole = source.extract_csv(source.read_files(spark, str(tmp_path)))
+        assert sorted(map(repr, split.records.collect())) == sorted(map(repr, whole[0].collect()))
+        assert "FileScan text" not in split.records._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", previous)
