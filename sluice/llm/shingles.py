@@ -14,17 +14,22 @@ from sluice.llm.decontam import _TABLE
 BLOCK = 1 << 19
 WIDTH = 5
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
+_SHIFTS = np.uint64(30), np.uint64(27), np.uint64(31)
+_FACTORS = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _tables: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that scatters them."""
     x = x + _GOLD
-    x ^= x >> np.uint64(30)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(27)
-    x *= np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
+    moved = x >> _SHIFTS[0]
+    x ^= moved
+    x *= _FACTORS[0]
+    np.right_shift(x, _SHIFTS[1], out=moved)
+    x ^= moved
+    x *= _FACTORS[1]
+    np.right_shift(x, _SHIFTS[2], out=moved)
+    x ^= moved
     return x
 
 
