@@ -38,9 +38,12 @@ def ocr_word_scan(files: DataFrame) -> DataFrame:
     """
     lines = files.select("submission_id", F.posexplode(F.split("tsv", "\n"))
                          .alias("_line", "_raw")).filter(F.col("_line") > 0)
+    # A pattern would be run for every word.
+    raw = F.when(F.endswith("_raw", F.lit("\r")),
+                 F.substring("_raw", F.lit(1), F.length("_raw") - 1)).otherwise(F.col("_raw"))
     cells = compute_once(
         lines.withColumnRenamed("_line", "word_pos"), ["submission_id", "word_pos"],
-        {"c": F.split(F.regexp_replace("_raw", r"\r\z", ""), "\t", 12)})
+        {"c": F.split(raw, "\t", 12)})
 
     def integer(i: int) -> Column:
         value = F.try_element_at("c", F.lit(i))

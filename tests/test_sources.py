@@ -216,3 +216,15 @@ def test_cells_are_written_before_ranges_are_drawn_from_them(spark):
     assert [tuple(r) for r in lines.select("line_num", "line_at").orderBy("line_at").collect()] == [
         (0, 0), (1, 1), (2, 2)]
     assert len(set(folder.glob("sluice-cells-*")) - before) == 1
+
+
+def test_word_lines_lose_one_carriage_return_without_a_pattern(spark):
+    line = "5\t1\t1\t1\t1\t1\t10\t0\t4\t12\t90.5\t"
+    files = spark.createDataFrame(
+        [("a", f"head\r\n{line}one\r\n{line}two\r\r\n{line}th\rree\n{line}\r\n{line}\tfour")],
+        "submission_id string, tsv string")
+    words = ocr.ocr_word_scan(files)
+    assert [(r.word_pos, r.text) for r in words.orderBy("word_pos").collect()] == [
+        (1, "one"), (2, "two\r"), (3, "th\rree"), (5, "\tfour")]
+    plan = words._jdf.queryExecution().analyzed().toString()
+    assert "regexp_replace(_raw" not in plan
