@@ -5,21 +5,25 @@ last, then a hash of the text, then line number) has a Jaccard similarity of at
 ``THRESHOLD`` with it; lines without words stay.  All of it is exact:
 
 1. Rarity.  Words are counted over the whole corpus by a 16-bit part of their hash.  A word
-   becomes one number, rank of that count above the remaining 47 bits of the hash,
+   becomes one number, rank of that count above the remaining 48 bits of the hash,
    so a sorted array of numbers is the set ordered by rarity.
 2. Equal sets meet in one aggregate: the earliest stands for all.
-3. Prefixes.  Sets of similarity t share a word among their n - ceil(t n) + 1 rarest.
-   Only those words are joined on.  Candidates must pass the length filter, the
-   positional filter (what can still be common after this word) and a bitmap filter
-   (a 64-bit parity of the words differs in at most as many bits as the sets in words).
-4. Verification compares the whole sets of the candidates: a set's best partner first,
-   then, where that does not decide it, all others.
+3. Prefixes.  Sets of similarity t share a word among the n - ceil(t n) + 1 rarest of the
+   larger and the n - ceil(2t / (1 + t) n) + 1 rarest of the smaller.  Only those words are
+   joined on.  Candidates must pass the length filter, the positional filter (what can
+   still be common after this word) and a bitmap filter (a parity of the words differs
+   in at most as many bits as the sets in words; 64 bits, and 128 between long lines,
+   which would fill 64).
+4. Verification compares the whole sets of the candidates.
 
 Groups of thousands of variants of one line would pair up quadratically.  So the first
 ``LEADS`` words of each prefix are looked up first against the earliest set under the
-same word only, and lines this decides need no further partner: the full join then
-emits only pairs whose later side is undecided.  Nothing is capped by that, as a removed
-line still serves as the earlier partner of others.
+same word only, where more than ``FEW`` sets share it, and lines this decides need no
+further partner: the full join then emits only pairs whose later side is undecided.
+Nothing is capped by that, as a removed line still serves as the earlier partner of others.
+
+Sets are numbered in the order of their places, so that of a pair the larger number is the
+later line, also within one text.
 
 Joins are on plain keys, so adaptive execution can split hot ones; aggregates are partial
 before their shuffle.  Lines are cut once to narrow rows (no text) in the shared
@@ -42,19 +46,19 @@ from sluice.llm.common import WORD, bitmap, cut, in_bitmap, unused
 THRESHOLD = 0.8
 BUCKETS = 1 << 16
 LEADS = 3
-# A pair travels with a whole set; pairs are verified in so many turns, one after the other,
-# each of which frees its shuffle.
-TURNS = 4
+FEW = 16
+# Words from which a line has the second half of its parity.
+LONG = 64
 EPS = 1e-9
 
 
 def _rows(docs: DataFrame) -> DataFrame:
     """doc, hash of the text, line number from 0, line."""
-    # The hash comes first: beside the generator it would be taken once per line.
+    # The hash comes first: beside the generator it would be taken once per line.  The split
+    # stands in the generator: of a column, Spark would first filter by its size, split again.
     return (docs.filter(F.col("text").isNotNull())
-            .select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("h"),
-                    F.split("text", "\n").alias("parts"))
-            .select("doc", "h", F.posexplode("parts").alias("line", "words")))
+            .select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("h"), "text")
+            .select("doc", "h", F.posexplode(F.split("text", "\n")).alias("line", "words")))
 
 
 def _words(line: Column) -> Column:
@@ -72,8 +76,8 @@ def _bucket(h: Column) -> Column:
 
 
 def rarity(docs: DataFrame) -> Column:
-    """Rank of each bucket of words by how often its words occur, in the upper 16 bits, as
-    a constant array."""
+    """By bucket of words, as a constant array, what turns the upper 16 bits of their hashes
+    (the bucket) by XOR into its rank by how often its words occur, the rarest lowest."""
     # Words that other white space divides stay together here; only the order would tell.
     counts = (docs.filter(F.col("text").isNotNull())
               .select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "))
@@ -87,29 +91,38 @@ def rarity(docs: DataFrame) -> Column:
     ranked = ordered.select(F.posexplode("o").alias("rank", "x")).select("rank", "x.b")
     joined = ranked.agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("b", "rank"))),
-        lambda x: F.shiftleft(x["rank"].cast("bigint"), 47).cast("string")), ",").alias("r")).first()["r"]
+        lambda x: F.shiftleft((x["rank"] - BUCKETS // 2).bitwiseXOR(x["b"]).cast("bigint"), 48)
+        .cast("string")), ",").alias("r")).first()["r"]
     # A literal of BUCKETS numbers: subqueries may not stand inside higher-order functions.
     return F.split(F.lit(joined), ",").cast("array<bigint>")
 
 
 def _tokens(line: Column, ranks: Column) -> Column:
     """The line's set of words as numbers, rarest first."""
-    def number(w: Column) -> Column:
-        h = F.xxhash64(w)
-        return F.get(ranks, _bucket(h)).bitwiseOR(h.bitwiseAND(F.lit((1 << 47) - 1)))
-    return F.sort_array(F.array_distinct(F.transform(_words(line), number)))
+    # One hash per word, and as few steps on it as can be: they are not compiled.
+    hashes = F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
+    return F.sort_array(F.transform(hashes, lambda h: h.bitwiseXOR(
+        ranks[F.shiftrightunsigned(h, 48)])))
+
+
+def _prefix_length(size: Column, share: float) -> Column:
+    """Number of rarest words of which one is common to two sets that have ``share`` of this
+    set's words in common."""
+    return size - F.ceil(size * F.lit(share) - EPS).cast("int") + 1
 
 
 def line_sets(docs: DataFrame, ranks: Column, threshold: float) -> DataFrame:
     """Narrow rows of all lines: place, size, key of the set, parity, prefix."""
     rows = (_rows(docs).filter(F.col("words").rlike(WORD))
             .select("doc", "h", "line", _tokens(F.col("words"), ranks).alias("t")))
-    length = F.size("t") - F.ceil(F.size("t") * F.lit(threshold) - EPS).cast("int") + 1
-    parity = F.expr("aggregate(t, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int)))")
+    parity = "aggregate({}, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int)))"
+    half = F.expr(parity.format("filter(t, x -> (x & 64) = 64)"))
     # Prefix words by the upper 31 bits: order is kept, and clashes only add candidates.
-    prefix = F.transform(F.slice("t", F.lit(1), length), lambda x: F.shiftright(x, 32).cast("int"))
+    prefix = F.transform(F.slice("t", F.lit(1), _prefix_length(F.size("t"), threshold)),
+                         lambda x: F.shiftright(x, 32).cast("int"))
     return cut(rows.select("doc", "h", "line", F.size("t").alias("size"),
-                           F.xxhash64("t").alias("key"), parity.alias("sig"),
+                           F.xxhash64("t").alias("key"), F.expr(parity.format("t")).alias("sig"),
+                           F.when(F.size("t") >= LONG, half).otherwise(0).alias("wide"),
                            prefix.alias("prefix")), "lines")
 
 
@@ -118,108 +131,105 @@ def _place() -> Column:
     return F.struct(F.col("doc").isNull().alias("nodoc"), "doc", "h", "line")
 
 
+def line_reps(lines: DataFrame) -> DataFrame:
+    """The earliest line of every set, with an ``id`` that grows with its place."""
+    firsts = cut(lines.groupBy("key", "sig", "size")
+                 .agg(F.min(F.struct(_place().alias("place"), "wide", "prefix")).alias("first"),
+                      (F.count(F.lit(1)) > 1).alias("many"))
+                 .select("key", "sig", "size", "many", "first.place.*", "first.wide",
+                         "first.prefix"),
+                 "firsts")
+    # Sorted by ranges: numbers grow within a partition and from one to the next.
+    reps = cut(firsts.orderBy("nodoc", "doc", "h", "line").drop("nodoc")
+               .select(F.monotonically_increasing_id().alias("id"), "*"), "reps")
+    release(firsts)
+    return reps
+
+
 def _close(a: str, b: str, threshold: float, positions: bool) -> Column:
     """Length, positional and bitmap filter for two postings."""
     n, m = F.col(f"{a}.size"), F.col(f"{b}.size")
     total = n + m
+    whole = F.col(f"{a}.sig").bitwiseXOR(F.col(f"{b}.sig"))
+    half = F.col(f"{a}.wide").bitwiseXOR(F.col(f"{b}.wide"))
+    bits = F.when(F.least(n, m) >= LONG, F.bit_count(half) + F.bit_count(
+        whole.bitwiseXOR(half))).otherwise(F.bit_count(whole))
     ok = (F.least(n, m) >= F.greatest(n, m) * threshold - EPS) & (
-        F.bit_count(F.col(f"{a}.sig").bitwiseXOR(F.col(f"{b}.sig")))
-        <= total * ((1 - threshold) / (1 + threshold)) + EPS)
+        bits <= total * ((1 - threshold) / (1 + threshold)) + EPS)
     if positions:
         after = F.least(n - F.col(f"{a}.at"), m - F.col(f"{b}.at"))
-        ok = ok & (after >= total * (threshold / (1 + threshold)) - EPS)
+        ok = (after >= total * (threshold / (1 + threshold)) - EPS) & ok
     return ok
 
 
-def _later_key(a: str, b: str) -> Column:
-    """Key of the later of two sets; NULL for texts that share a doc_id."""
-    def follows(x: str, y: str) -> Column:
-        one_text = F.col(f"{x}.doc").eqNullSafe(F.col(f"{y}.doc")) & (
-            F.col(f"{x}.h") == F.col(f"{y}.h"))
-        return F.coalesce(F.col(f"{x}.doc") < F.col(f"{y}.doc"),
-                          F.col(f"{x}.doc").isNotNull() & F.col(f"{y}.doc").isNull()) | (
-            one_text & (F.col(f"{x}.line") < F.col(f"{y}.line")))
-    return F.when(follows(a, b), F.col(f"{b}.key")).when(follows(b, a), F.col(f"{a}.key"))
-
-
-def _undecided(a: str, b: str) -> Column:
-    """Whether the later of two sets is still undecided, as far as their places tell."""
-    late = _later_key(a, b)
-    return ~(F.col(f"{a}.done") & F.col(f"{b}.done")) & ~F.coalesce(
-        (F.col(f"{b}.done") & (late == F.col(f"{b}.key")))
-        | (F.col(f"{a}.done") & (late == F.col(f"{a}.key"))), F.lit(False))
-
-
-def _later(docs: DataFrame, ranks: Column, reps: DataFrame, pairs: DataFrame,
-           threshold: float) -> DataFrame:
-    """Keys of the sets that have an earlier match among the candidate ``pairs``."""
+def _matched(docs: DataFrame, ranks: Column, reps: DataFrame, pairs: DataFrame,
+             threshold: float, label: str) -> DataFrame:
+    """Numbers of the sets that match an earlier one of the candidate ``pairs`` (a before b)."""
     pairs = cut(pairs.distinct(), "pairs")
-    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b"))
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    wanted = cut(reps.select("id", "doc", "h", "line").join(ids, "id", "left_semi"), "wanted")
     loc = F.xxhash64("doc", "h", "line")
-    mask = bitmap(reps.join(keys.distinct(), "key", "left_semi").select("place.*"), loc, "bitmap")
-    chosen = in_bitmap(_rows(docs), loc, mask).select(
-        "doc", "h", "line", _tokens(F.col("words"), ranks).alias("t"))
-    sets = (chosen.groupBy(F.xxhash64("t").alias("key"))
-            .agg(F.min(F.struct(_place().alias("place"), "t")).alias("s")))
-    sets = cut(sets.join(keys.distinct(), "key", "left_semi")
-               .select("key", "s.place", "s.t"), "sets")
+    chosen = in_bitmap(_rows(docs), loc, bitmap(wanted, loc, "bitmap")).alias("c")
+    here = wanted.alias("w")
+    same = F.col("c.doc").eqNullSafe(F.col("w.doc")) & (F.col("c.h") == F.col("w.h")) & (
+        F.col("c.line") == F.col("w.line"))
+    # Repeated rows are one document.
+    sets = cut(chosen.join(here, same).groupBy("id").agg(F.min("words").alias("words"))
+               .select("id", _tokens(F.col("words"), ranks).alias("t")), "sets")
     common = F.size(F.array_intersect("ta", "tb"))
     union = F.size("ta") + F.size("tb") - common
-    later = F.when(F.col("pa") < F.col("pb"), F.col("b")).otherwise(F.col("a"))
-    found = []
-    for turn in range(TURNS):
-        some = pairs.filter(F.pmod(F.xxhash64("a", "b"), F.lit(TURNS)) == turn)
-        joined = (some.join(sets.select(F.col("key").alias("a"), F.col("place").alias("pa"),
-                                        F.col("t").alias("ta")), "a")
-                  .join(sets.select(F.col("key").alias("b"), F.col("place").alias("pb"),
-                                    F.col("t").alias("tb")), "b"))
-        found.append(cut(joined.filter(common >= union * threshold - EPS)
-                         .select(later.alias("key")).distinct(), "later"))
-    release(pairs)
-    release(sets)
-    every = found[0]
-    for part in found[1:]:
-        every = every.union(part)
-    return every.distinct()
+    joined = (pairs.join(sets.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a")
+              .join(sets.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b"))
+    found = cut(joined.filter(common >= union * threshold - EPS)
+                .select(F.col("b").alias("id")).distinct(), label)
+    for done in (pairs, wanted, sets):
+        release(done)
+    return found
+
+
+def led_pairs(reps: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a before b) of sets with the earliest set under one of their rarest words."""
+    leads = reps.select(F.explode(F.slice("prefix", 1, LEADS)).alias("word"), "id", "size",
+                        "sig", "wide")
+    leaders = (leads.groupBy("word")
+               .agg(F.min(F.struct("id", "size", "sig", "wide")).alias("x"),
+                    F.count(F.lit(1)).alias("n"))
+               .filter(F.col("n") > FEW).select("word", "x.*"))
+    return leads.alias("y").join(leaders.alias("x"), "word").filter(
+        (F.col("x.id") < F.col("y.id")) & _close("x", "y", threshold, False)).select(
+            F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+
+def candidate_pairs(reps: DataFrame, decided: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a before b) that pass all filters and whose later set is not ``decided``."""
+    marked = reps.join(decided.withColumn("done", F.lit(True)), "id", "left")
+    postings = marked.select("id", "size", "sig", "wide",
+                             F.coalesce("done", F.lit(False)).alias("done"),
+                             F.posexplode("prefix").alias("at", "word"))
+    # Of two sets the smaller, or of equal sizes the earlier, is met under fewer words.
+    few = _prefix_length(F.col("size"), 2 * threshold / (1 + threshold))
+    small = postings.filter(F.col("at") < few).alias("x")
+    x, y = F.col("x.id"), F.col("y.id")
+    order = (F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (x < y))
+    late_done = F.when(x < y, F.col("y.done")).otherwise(F.col("x.done"))
+    both = small.join(postings.alias("y"), "word").filter(
+        order & _close("x", "y", threshold, True) & ~late_done)
+    # A pair is found once per shared word.
+    return both.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
 
 
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document with lines to remove: doc, h, lines (sorted numbers)."""
     ranks = rarity(docs)
     lines = line_sets(docs, ranks, threshold)
-    reps = cut(lines.groupBy("key", "sig", "size")
-               .agg(F.min(F.struct(_place().alias("place"), "prefix")).alias("first"))
-               .select("key", "sig", "size", "first.place", "first.prefix"), "reps")
-    able = reps.filter(F.size("prefix") > 0)
-    leads = able.select(F.explode(F.slice("prefix", 1, LEADS)).alias("word"), "place", "size",
-                        "sig", "key")
-    leaders = (leads.groupBy("word").agg(F.min(F.struct("place", "size", "sig", "key"))
-                                         .alias("x")).select("word", "x.*"))
-    led = leads.alias("y").join(leaders.alias("x"), "word").filter(
-        (F.col("x.key") != F.col("y.key")) & _close("x", "y", threshold, False))
-    decided = cut(_later(docs, ranks, reps, led.select(F.col("x.key").alias("a"),
-                                                       F.col("y.key").alias("b")), threshold),
-                  "decided")
-    marked = able.join(decided.withColumn("done", F.lit(True)), "key", "left").select(
-        "key", "sig", "size", F.coalesce("done", F.lit(False)).alias("done"),
-        "place.doc", "place.h", "place.line", "prefix")
-    postings = marked.select("key", "sig", "size", "done", "doc", "h", "line",
-                             F.posexplode("prefix").alias("at", "word"))
-    both = postings.alias("x").join(postings.alias("y"), "word").filter(
-        (F.col("x.key") < F.col("y.key")) & _undecided("x", "y")
-        & _close("x", "y", threshold, True))
-    # A pair is found once per shared word; a set's best partner shares the most.
-    pairs = cut(both.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"),
-                            _later_key("x", "y").alias("late"))
-                .groupBy("a", "b", "late").agg(F.count(F.lit(1)).alias("n")), "candidates")
-    best = (pairs.filter(F.col("late").isNotNull()).groupBy("late")
-            .agg(F.max(F.struct("n", "a", "b")).alias("p")).select("p.a", "p.b"))
-    found = cut(_later(docs, ranks, reps, best, threshold), "found")
-    rest = pairs.join(found.select(F.col("key").alias("late")), "late", "left_anti")
-    more = _later(docs, ranks, reps, rest.select("a", "b"), threshold)
-    late = decided.union(found).union(more).distinct().withColumn("late", F.lit(True))
-    verdict = reps.select("key", "sig", "size", F.col("place").alias("first")).join(
-        late, "key", "left")
+    reps = line_reps(lines)
+    decided = _matched(docs, ranks, reps, led_pairs(reps, threshold), threshold, "decided")
+    found = _matched(docs, ranks, reps, candidate_pairs(reps, decided, threshold), threshold,
+                     "found")
+    late = decided.union(found).withColumn("late", F.lit(True))
+    verdict = reps.join(late, "id", "left").filter(
+        F.col("many") | F.col("late").isNotNull()).select(
+        "key", "sig", "size", _place().alias("first"), "late")
     gone = (lines.join(verdict, ["key", "sig", "size"])
             .filter(F.col("late").isNotNull() | (_place() != F.col("first"))))
     return gone.groupBy("doc", "h").agg(F.array_sort(F.collect_set("line")).alias("lines"))

@@ -83,3 +83,23 @@ def test_main_path_is_native(spark):
     docs = spark.createDataFrame([(1, "a b c d e\nf")], "doc_id bigint, text string")
     plan = line_dedup.remove_lines(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_long_lines_of_common_words_are_no_candidates(spark):
+    """Their parities fill 64 bits; pairs grew with the square of such lines."""
+    ready(spark)
+    words = [f"v{i}" for i in range(400)]
+    rows = [(i, " ".join(rng.sample(words, 150))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    reps = line_dedup.line_reps(line_dedup.line_sets(docs, line_dedup.rarity(docs), 0.8))
+    none = reps.select("id").limit(0)
+    assert line_dedup.candidate_pairs(reps, none, 0.8).distinct().count() < 30
+
+
+def test_sets_are_numbered_by_place(spark):
+    ready(spark)
+    rows = [(None, "z"), (2, "a b\nc d"), (1, "e f\na b")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    reps = line_dedup.line_reps(line_dedup.line_sets(docs, line_dedup.rarity(docs), 0.8))
+    assert [(r["doc"], r["line"]) for r in reps.orderBy("id").collect()] == [
+        (1, 0), (1, 1), (2, 1), (None, 0)]
