@@ -5,8 +5,10 @@ last, then a hash of the text, then line number) has a Jaccard similarity of at
 ``THRESHOLD`` with it; lines without words stay.  All of it is exact:
 
 1. Rarity.  Words are counted over the whole corpus by a 16-bit part of their hash.  A word
-   becomes one number, rank of that count above the remaining 48 bits of the hash,
-   so a sorted array of numbers is the set ordered by rarity.
+   becomes one number, the level of that count (``LEVELS`` steps of its logarithm) above
+   the remaining 58 bits of the hash, so a sorted array of numbers is the set ordered by
+   rarity.  The levels are a constant of each plan: as small numbers they keep plans small,
+   which the driver holds as text for every job.
 2. Equal sets meet in one aggregate: the earliest stands for all.
 3. Prefixes.  Sets of similarity t share a word among the n - ceil(t n) + 1 rarest of the
    larger and the n - ceil(2t / (1 + t) n) + 1 rarest of the smaller.  Only those words are
@@ -19,7 +21,10 @@ last, then a hash of the text, then line number) has a Jaccard similarity of at
 Groups of thousands of variants of one line would pair up quadratically.  So the first
 ``LEADS`` words of each prefix are looked up first against the earliest set under the
 same word only, where more than ``FEW`` sets share it, and lines this decides need no
-further partner: the full join then emits only pairs whose later side is undecided.
+further partner.  Changed words are the rarest, so lines of such a group may share none of
+these: the whole prefixes of undecided lines are then looked up under ``hot`` words, those
+which more than ``HOT`` sets share among their last prefix words, against ``PARTS`` early sets
+each.  The full join then emits only pairs whose later side is undecided.
 Nothing is capped by that, as a removed line still serves as the earlier partner of others.
 
 Sets are numbered in the order of their places, so that of a pair the larger number is the
@@ -45,8 +50,11 @@ from sluice.llm.common import WORD, bitmap, cut, in_bitmap, unused
 
 THRESHOLD = 0.8
 BUCKETS = 1 << 16
+LEVELS = 64
 LEADS = 3
 FEW = 16
+HOT = 128
+PARTS = 4
 # Words from which a line has the second half of its parity.
 LONG = 64
 EPS = 1e-9
@@ -76,25 +84,28 @@ def _bucket(h: Column) -> Column:
 
 
 def rarity(docs: DataFrame) -> Column:
-    """By bucket of words, as a constant array, what turns the upper 16 bits of their hashes
-    (the bucket) by XOR into its rank by how often its words occur, the rarest lowest."""
+    """By bucket of words, as a constant array, what turns the upper 6 bits of their hashes
+    by XOR into the level of how often its words occur, the rarest lowest."""
     # Words that other white space divides stay together here; only the order would tell.
     counts = (docs.filter(F.col("text").isNotNull())
               .select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "))
                       .alias("w"))
               .select(_bucket(F.xxhash64("w")).alias("b"))
               .groupBy("b").agg(F.count(F.lit(1)).alias("n")))
-    known = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(
-        counts, "b", "left")
-    ordered = known.agg(F.array_sort(F.collect_list(
-        F.struct(F.coalesce("n", F.lit(0)).alias("n"), "b"))).alias("o"))
-    ranked = ordered.select(F.posexplode("o").alias("rank", "x")).select("rank", "x.b")
-    joined = ranked.agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("b", "rank"))),
-        lambda x: F.shiftleft((x["rank"] - BUCKETS // 2).bitwiseXOR(x["b"]).cast("bigint"), 48)
-        .cast("string")), ",").alias("r")).first()["r"]
+    known = (docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"))
+             .join(counts, "b", "left").select("b", F.coalesce("n", F.lit(0)).alias("n")))
+    whole = known.agg(F.array_sort(F.collect_list(F.struct("b", "n"))).alias("o"),
+                      F.greatest(F.max("n"), F.lit(1)).alias("most"))
+
+    def turn(x: Column) -> Column:
+        level = F.floor(F.log2(x["n"] + 1) / F.log2(F.col("most") + 1) * (LEVELS - 1))
+        return (level.cast("int") - LEVELS // 2).bitwiseXOR(
+            F.shiftright(x["b"], 10)).bitwiseAND(LEVELS - 1)
+
+    joined = whole.select(F.array_join(F.transform("o", lambda x: turn(x).cast("string")), ",")
+                          .alias("r")).first()["r"]
     # A literal of BUCKETS numbers: subqueries may not stand inside higher-order functions.
-    return F.split(F.lit(joined), ",").cast("array<bigint>")
+    return F.split(F.lit(joined), ",").cast("array<tinyint>")
 
 
 def _tokens(line: Column, ranks: Column) -> Column:
@@ -102,7 +113,7 @@ def _tokens(line: Column, ranks: Column) -> Column:
     # One hash per word, and as few steps on it as can be: they are not compiled.
     hashes = F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
     return F.sort_array(F.transform(hashes, lambda h: h.bitwiseXOR(
-        ranks[F.shiftrightunsigned(h, 48)])))
+        F.shiftleft(ranks[F.shiftrightunsigned(h, 48)].cast("bigint"), 58))))
 
 
 def _prefix_length(size: Column, share: float) -> Column:
@@ -200,6 +211,26 @@ def led_pairs(reps: DataFrame, threshold: float) -> DataFrame:
             F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
+def hot_words(reps: DataFrame) -> DataFrame:
+    """Words that more than ``HOT`` sets have among the last of their prefixes."""
+    ends = reps.select(F.explode(F.slice(F.reverse("prefix"), 1, LEADS)).alias("word"))
+    return cut(ends.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+               .filter(F.col("n") > HOT).select("word"), "hot")
+
+
+def hot_pairs(reps: DataFrame, decided: DataFrame, hot: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a before b) of sets that are not ``decided`` with ``PARTS`` early sets, each the
+    earliest of its share of the sets, under every ``hot`` word of their prefix."""
+    columns = ["id", "size", "sig", "wide"]
+    postings = reps.select(F.explode("prefix").alias("word"), *columns).join(hot, "word")
+    leaders = (postings.groupBy("word", F.pmod("id", F.lit(PARTS)).alias("part"))
+               .agg(F.min(F.struct(*columns)).alias("x")).select("word", "x.*"))
+    late = postings.join(decided, "id", "left_anti")
+    return late.alias("y").join(leaders.alias("x"), "word").filter(
+        (F.col("x.id") < F.col("y.id")) & _close("x", "y", threshold, False)).select(
+            F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+
 def candidate_pairs(reps: DataFrame, decided: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a before b) that pass all filters and whose later set is not ``decided``."""
     marked = reps.join(decided.withColumn("done", F.lit(True)), "id", "left")
@@ -224,6 +255,10 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     lines = line_sets(docs, ranks, threshold)
     reps = line_reps(lines)
     decided = _matched(docs, ranks, reps, led_pairs(reps, threshold), threshold, "decided")
+    hot = hot_words(reps)
+    if not hot.isEmpty():
+        decided = decided.union(_matched(docs, ranks, reps, hot_pairs(
+            reps, decided, hot, threshold), threshold, "decided"))
     found = _matched(docs, ranks, reps, candidate_pairs(reps, decided, threshold), threshold,
                      "found")
     late = decided.union(found).withColumn("late", F.lit(True))

@@ -3,6 +3,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from sluice.llm import line_dedup
 from sluice.llm.common import ready
 
@@ -103,3 +105,36 @@ def test_sets_are_numbered_by_place(spark):
     reps = line_dedup.line_reps(line_dedup.line_sets(docs, line_dedup.rarity(docs), 0.8))
     assert [(r["doc"], r["line"]) for r in reps.orderBy("id").collect()] == [
         (1, 0), (1, 1), (2, 1), (None, 0)]
+
+
+def test_rarity_keeps_plans_small_and_rare_words_first(spark):
+    """The driver holds every plan as text; with a number of 64 bits a bucket these filled it."""
+    ready(spark)
+    docs = spark.createDataFrame([(i, f"common r{i}") for i in range(50)],
+                                 "doc_id bigint, text string")
+    ranks = line_dedup.rarity(docs)
+    tokens = docs.select(line_dedup._tokens(F.col("text"), ranks).alias("t"))
+    assert len(tokens._jdf.queryExecution().toString()) < 3_000_000
+    assert len({r["t"][1] for r in tokens.collect()}) == 1
+    assert len({r["t"][0] for r in tokens.collect()}) == 50
+
+
+def test_near_copies_do_not_pair_up(spark):
+    """Every line has rare words of its own: those decide none, and pairs grew with the square."""
+    ready(spark)
+    base = [f"b{i}" for i in range(60)]
+    rows = [(i, " ".join([w for w in base if w != f"b{i % 60}"] + [f"own{i}-{j}" for j in range(5)]))
+            for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    ranks = line_dedup.rarity(docs)
+    reps = line_dedup.line_reps(line_dedup.line_sets(docs, ranks, 0.8))
+    decided = reps.select("id").limit(0)
+    hot = line_dedup.hot_words(reps)
+    pairs = line_dedup.hot_pairs(reps, decided, hot, 0.8).distinct()
+    assert 0 < pairs.count() <= 300 * 8 * line_dedup.PARTS
+    late = line_dedup._matched(docs, ranks, reps, pairs, 0.8, "late")
+    assert late.count() > 280
+    assert line_dedup.candidate_pairs(reps, late, 0.8).distinct().count() < 1000
+    # Whatever the groups, the lines are those of the brute force.
+    gone = line_dedup.removed_lines(docs).count()
+    assert gone == len(brute(rows))
