@@ -93,7 +93,8 @@ def _(t):
 SELECT doc_id, strlen(trim(text)) > 2000 AS too_long, nullif(trim(replace(lang, 'en', ' ')), '')
   AS lang FROM documents""")
 def _(t):
-    text = fn.bounded_text(F.col("text"))
+    # A blank text is none, and none has no length; the SQL calls it not too long.
+    text = fn.trim_ws(F.col("text"))
     return t["documents"].select(
         "doc_id", fn.longer_than(text, 2000).alias("too_long"),
         fn.bounded_text(F.replace("lang", F.lit("en"), F.lit(" "))).alias("lang"))

@@ -30,8 +30,8 @@ def odd(tmp_path_factory):
     return str(folder), duck
 
 
-@pytest.mark.parametrize("name", ["src2_csv_file_admission", "src3_csv_header_check",
-                                  "val10_job_request_check"])
+@pytest.mark.parametrize("name", ["fn9_bounded_text", "src2_csv_file_admission",
+                                  "src3_csv_header_check", "val10_job_request_check"])
 def test_query_matches_oracle_over_odd_texts(spark, odd, name):
     folder, duck = odd
     found = catalog.queries()[name](spark, folder)
